@@ -123,12 +123,13 @@ _CODES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03
 
 
 def powers(n: int, base: np.uint64) -> np.ndarray:
+    base = np.full(1, base)
     out = np.empty(max(n, 1), np.uint64)
     out[0] = 1
     have = 1
     while have < n:
         take = min(have, n - have)
-        out[have : have + take] = out[:take] * (out[have - 1] * base)
+        out[have : have + take] = out[:take] * (out[have - 1 : have] * base)
         have += take
     return out
 

@@ -66,47 +66,63 @@ def packed_kmers(words: Column) -> Column:
     return F.when(n == 0, F.array().cast("array<bigint>")).when(n < K, whole).otherwise(F.sort_array(several))
 
 
-def numbered(kmers: Column) -> Column:
-    """Packed hashes of (k-mer, occurrence number); kmers is sorted.
+#: Bits below the bin in a packed long.
+BIN_SHIFT = PLACE_BITS + 39 - BINS.bit_length() + 1
 
-    Runs of equal hashes are found by comparing neighbours; the o-th element of
-    a run is hashed anew with o, the first one keeps its hash.
+
+def _bin(packed: Column) -> Column:
+    return F.shiftrightunsigned(packed, BIN_SHIFT)
+
+
+def selected(s: Column) -> Column:
+    """The elements of a sorted k-mer array that can matter, in its order.
+
+    These are the first of each bin and every repeat of a k-mer: a neighbour
+    that differs in the place alone is a repeat, one that differs in the bin's
+    bits is the first of its bin.
     """
 
-    def with_runs(s: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: (j == 0) | (_hash_of(F.get(s, j)) != _hash_of(F.get(s, F.greatest(j - 1, F.lit(0))))))
+    def matters(x: Column, j: Column) -> Column:
+        return ~F.coalesce(x.bitwiseXOR(F.get(s, j - 1)), F.lit(0).cast("long")).between(F.lit(1 << PLACE_BITS), F.lit((1 << BIN_SHIFT) - 1))
 
-        def runs(b: Column) -> Column:
-            spans = F.transform(F.sequence(F.lit(0), F.size(b) - 1), lambda r: F.struct(F.get(b, r).alias("a"), F.coalesce(F.get(b, r + 1), F.size(s)).alias("z")))
-            return F.flatten(F.transform(spans, lambda r: F.transform(F.sequence(r["a"], r["z"] - 1), lambda j: F.when(j == r["a"], F.get(s, j)).otherwise(_pack(F.xxhash64(_hash_of(F.get(s, j)), j - r["a"]), F.get(s, j).bitwiseAND(F.lit(PLACE)))))))
+    return F.filter(s, matters)
+
+
+def numbered_repeats(d: Column) -> Column:
+    """Repeats hashed anew with their occurrence number; d is sorted.
+
+    Runs of equal hashes are found by comparing neighbours; the k-mer's first
+    occurrence is not in d, so the i-th of a run is occurrence i + 2.
+    """
+    starts = F.filter(F.sequence(F.lit(0), F.size(d) - 1), lambda j: (j == 0) | (_hash_of(F.get(d, j)) != _hash_of(F.get(d, F.greatest(j - 1, F.lit(0))))))
 
-        # without repeats, the common case, there is nothing to number
-        return _let(starts, lambda b: F.when(F.size(b) == F.size(s), s).otherwise(F.sort_array(runs(b))))
+    def runs(b: Column) -> Column:
+        spans = F.transform(b, lambda a, r: F.struct(a.alias("a"), F.coalesce(F.get(b, r + 1), F.size(d)).alias("z")))
+        return F.flatten(F.transform(spans, lambda r: F.transform(F.sequence(r["a"], r["z"] - 1), lambda j: _pack(F.xxhash64(_hash_of(F.get(d, j)), j - r["a"]), F.get(d, j).bitwiseAND(F.lit(PLACE))))))
 
-    return F.when(F.size(kmers) == 0, kmers).otherwise(_let(kmers, with_runs))
+    return _let(starts, runs)
 
 
-def bin_minima(elements: Column) -> Column:
-    """BINS packed longs: the minimal element of each bin; elements is sorted.
+def bin_minima(kmers: Column) -> Column:
+    """BINS packed longs: the minimal (k-mer, occurrence) of each bin.
 
-    The bin is the top bits of the hash, so a bin's minimum is its first element
-    in sorted order.
+    kmers is sorted and not empty; the bin is the top bits of the hash.
     """
-    shift = PLACE_BITS + 39 - BINS.bit_length() + 1
 
-    def of(s: Column) -> Column:
-        firsts = F.filter(s, lambda x, j: (j == 0) | (F.shiftrightunsigned(x, shift) != F.shiftrightunsigned(F.get(s, F.greatest(j - 1, F.lit(0))), shift)))
+    def first_of_bin(c: Column) -> Column:
+        return F.filter(c, lambda x, j: (j == 0) | (_bin(x) != _bin(F.get(c, F.greatest(j - 1, F.lit(0))))))
 
-        def dense(m: Column) -> Column:
-            # the next bin with an element, cyclically
-            full = F.transform(m, lambda x: F.shiftrightunsigned(x, shift).cast("int"))
-            steps = F.transform(F.sequence(F.lit(0), F.size(m) - 1), lambda i: F.array_repeat(F.get(m, i), (F.get(full, i) - F.coalesce(F.get(full, i - 1), F.lit(-1)))))
-            head = F.flatten(steps)
-            return F.concat(head, F.array_repeat(F.get(m, F.lit(0)), F.lit(BINS) - F.size(head)))
+    def with_repeats(c: Column) -> Column:
+        repeats = F.filter(c, lambda x, j: (j > 0) & (_bin(x) == _bin(F.get(c, F.greatest(j - 1, F.lit(0))))))
+        renewed = lambda d: F.when(F.size(d) == 0, c).otherwise(_let(F.sort_array(F.concat(first_of_bin(c), numbered_repeats(d))), first_of_bin))
+        return _let(repeats, renewed)
 
-        return _let(firsts, lambda m: F.when(F.size(m) == BINS, m).otherwise(dense(m)))
+    def dense(m: Column) -> Column:
+        # an empty bin takes the next one's element, cyclically
+        steps = F.transform(m, lambda x, i: F.array_repeat(x, (_bin(x) - F.coalesce(_bin(F.get(m, i - 1)), F.lit(-1).cast("long"))).cast("int")))
+        return _let(F.flatten(steps), lambda head: F.concat(head, F.array_repeat(F.get(m, F.lit(0)), F.lit(BINS) - F.size(head))))
 
-    return _let(elements, of)
+    return _let(_let(selected(kmers), with_repeats), lambda m: F.when(F.size(m) == BINS, m).otherwise(dense(m)))
 
 
 def signature(text: Column) -> Column:
@@ -123,8 +139,8 @@ def signature(text: Column) -> Column:
 
         return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), entry), "")
 
-    kmers = _let(words, packed_kmers)
-    return _let(numbered(kmers), lambda e: F.when(F.size(e) == 0, F.lit(NO_ELEMENT)).otherwise(_let(bin_minima(e), entries)))
+    of_kmers = lambda s: F.when(F.size(s) == 0, F.lit(NO_ELEMENT)).otherwise(_let(bin_minima(s), entries))
+    return _let(_let(words, packed_kmers), of_kmers)
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import rows_of, shared_folder, shuffle_parts, small_batches, table, written
+from ._common import SpanHash, rows_of, shared_folder, shuffle_parts, small_batches, table, utf8, word_spans, written
 
 CHUNK_BITS = 8
 RANK_WORDS = 8
@@ -152,21 +152,82 @@ class DacReader:
         return rest if rest is not None else np.zeros(0, np.uint32)
 
 
-def encoded(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
-    """doc_id and ids (binary, little-endian uint32, end id last) of every row."""
-    small_batches(docs.sparkSession)
+class WordEncoder:
+    """Ids of texts, each different word encoded once.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The tokenizer's pieces never hold white space, so a text's ids are those of
+    its words in turn.  The memory of words is emptied when it holds MOST_WORDS.
+    """
+
+    MOST_WORDS = 400_000
+
+    def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_file)
-        encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-        end = np.array([end_id], "<u4").tobytes()
+        self.encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.ends = np.zeros(1, np.int64)
+
+    def _learn(self, words: list[bytes]) -> None:
+        found = [e.ids for e in self.encode([w.decode() for w in words], add_special_tokens=False)]
+        values = np.fromiter((i for ids in found for i in ids), np.uint32)
+        ends = self.ends[-1] + np.cumsum([len(ids) for ids in found])
+        while ends[-1] > len(self.flat):
+            self.flat = np.r_[self.flat, np.zeros(len(self.flat), np.uint32)]
+        self.flat[self.ends[-1] : ends[-1]] = values
+        self.known.update(zip(words, range(len(self.ends) - 1, len(self.ends) - 1 + len(words)), strict=True))
+        self.ends = np.r_[self.ends, ends]
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, an end id after each text, and the n + 1 offsets of the texts."""
+        if len(self.known) > self.MOST_WORDS:
+            self._clear()
+        starts, ends, first = word_spans(data, offsets)
+        _, at, which = np.unique(SpanHash(data).of(starts, ends), return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        words = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        new = [w for w in words if w not in self.known]
+        if new:
+            self._learn(new)
+        place = np.array([self.known[w] for w in words], np.int64)[which] if words else np.zeros(0, np.int64)
+        size = self.ends[place + 1] - self.ends[place]
+        # an end id is a word of its own, after the words of its text
+        n_text = len(offsets) - 1
+        room = np.insert(size, first[1:], 1)
+        is_end = np.zeros(len(room), bool)
+        is_end[first[1:] + np.arange(n_text)] = True
+        source = np.zeros(len(room), np.int64)
+        source[~is_end] = self.ends[place]
+        total = np.cumsum(room)
+        inside = np.arange(total[-1] if len(total) else 0) - np.repeat(total - room, room)
+        out = self.flat[np.repeat(source, room) + inside]
+        out[total[is_end] - 1] = end_id
+        return out, np.r_[0, total[is_end]]
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoded(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
+    """doc_id and ids (binary, little-endian uint32, end id last) of every row."""
+    small_batches(docs.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a worker keeps its memory of words between tasks
+        if tokenizer_file not in _ENCODERS:
+            _ENCODERS[tokenizer_file] = WordEncoder(tokenizer_file)
+        encoder = _ENCODERS[tokenizer_file]
         for batch in rows_of(batches, BLOCK, "text"):
-            texts = batch.column("text").fill_null("").to_pylist()
-            rows = [np.array(e.ids, "<u4").tobytes() + end for e in encode(texts, add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary())], names=["doc_id", "ids"])
+            ids, at = encoder.ids(*utf8(batch.column("text")), end_id)
+            buffers = [None, pa.py_buffer((at * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))]
+            rows = pa.Array.from_buffers(pa.binary(), batch.num_rows, buffers)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), rows], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, ids binary")
 
