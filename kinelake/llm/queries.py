@@ -10,9 +10,9 @@ _QUERIES = {
     # "op2_decontaminate": ("decontam", "op2_decontaminate"),
     "op3_extract_main_text": ("html_text", "op3_extract_main_text"),
     "op4_order_minhash": ("order_minhash", "op4_order_minhash"),
-    # "op5_near_dedup": ("near_dedup", "op5_near_dedup"),
-    # "op6_repeated_substrings": ("suffix_dedup", "op6_repeated_substrings"),
-    # "op7_lm_score": ("lm_score", "op7_lm_score"),
+    "op5_near_dedup": ("near_dedup", "op5_near_dedup"),
+    "op6_repeated_substrings": ("suffix_dedup", "op6_repeated_substrings"),
+    "op7_lm_score": ("lm_score", "op7_lm_score"),
     "op8_mix_sources": ("mixing", "op8_mix_sources"),
     "op9_toxicity": ("toxicity", "op9_toxicity"),
     "op10_token_files": ("token_files", "op10_token_files"),
