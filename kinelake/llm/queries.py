@@ -7,7 +7,7 @@ import importlib
 #: Query name -> (module, function); a module is imported when its query is built.
 _QUERIES = {
     "op1_langid": ("langid", "op1_langid"),
-    # "op2_decontaminate": ("decontam", "op2_decontaminate"),
+    "op2_decontaminate": ("decontam", "op2_decontaminate"),
     "op3_extract_main_text": ("html_text", "op3_extract_main_text"),
     "op4_order_minhash": ("order_minhash", "op4_order_minhash"),
     "op5_near_dedup": ("near_dedup", "op5_near_dedup"),
