@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import io
 import os
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,11 +34,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import SpanHash, rows_of, shared_folder, shuffle_parts, small_batches, table, utf8, word_spans, written
+from ._common import SpanHash, ascii_lower, rows_of, shared_folder, shuffle_parts, small_batches, table, utf8, word_spans, written
 
 CHUNK_BITS = 8
 RANK_WORDS = 8
@@ -152,6 +154,34 @@ class DacReader:
         return rest if rest is not None else np.zeros(0, np.uint32)
 
 
+def without_marks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans with marks at a word's end as words of their own.
+
+    Marks after an ASCII letter or digit are a piece of the tokenizer's, so the
+    ids stay the same and there are fewer different words.
+    """
+    if not len(starts):
+        return starts, ends
+    place = np.arange(len(data))
+    core = np.maximum.accumulate(np.where(_MARK[data], -1, place))[ends - 1] + 1
+    split = (core > starts) & (core < ends)
+    split[split] = _ALNUM[data[core[split] - 1]]
+    at = np.flatnonzero(split)
+    cut = ends.copy()
+    cut[at] = core[at]
+    return np.insert(starts, at + 1, core[at]), np.insert(cut, at + 1, ends[at])
+
+
+def _bytes(values: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(values)] = True
+    return out
+
+
+_MARK = _bytes(b".,!?;:%*&$#|-")
+_ALNUM = _bytes(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+
+
 class WordEncoder:
     """Ids of texts, each different word encoded once.
 
@@ -161,12 +191,19 @@ class WordEncoder:
 
     MOST_WORDS = 400_000
 
+    #: Words that are encoded as one text.
+    TOGETHER = 500
+    #: Fixed value: the pieces that the tokenizer cuts words into.
+    PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_file)
         self.encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        # tokens that end a piece, where the tokenizer marks them
+        self.ends_piece = np.array([(tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(tokenizer.get_vocab_size())])
         self._clear()
 
     def _clear(self) -> None:
@@ -174,10 +211,25 @@ class WordEncoder:
         self.flat = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1, np.int64)
 
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words and the number of each, from the ids of the joined text.
+
+        A word of n pieces takes the ids up to its n-th end of a piece; where
+        these don't add up, the words are encoded one by one.
+        """
+        ids = np.array(self.encode([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        pieces = np.array([len(self.PIECES.findall(unicodedata.normalize("NFC", w).lower())) for w in words])
+        ends = np.flatnonzero(self.ends_piece[ids])
+        if len(ends) == pieces.sum() and pieces.all() and (not len(ids) or ends[-1] == len(ids) - 1):
+            return ids, np.diff(np.r_[0, ends[np.cumsum(pieces) - 1] + 1])
+        alone = [e.ids for e in self.encode(words, add_special_tokens=False)]
+        return np.array([i for x in alone for i in x], np.uint32), np.array([len(x) for x in alone])
+
     def _learn(self, words: list[bytes]) -> None:
-        found = [e.ids for e in self.encode([w.decode() for w in words], add_special_tokens=False)]
-        values = np.fromiter((i for ids in found for i in ids), np.uint32)
-        ends = self.ends[-1] + np.cumsum([len(ids) for ids in found])
+        text = [w.decode() for w in words]
+        found = [self._encoded(text[i : i + self.TOGETHER]) for i in range(0, len(text), self.TOGETHER)]
+        values = np.concatenate([f[0] for f in found])
+        ends = self.ends[-1] + np.cumsum(np.concatenate([f[1] for f in found]))
         while ends[-1] > len(self.flat):
             self.flat = np.r_[self.flat, np.zeros(len(self.flat), np.uint32)]
         self.flat[self.ends[-1] : ends[-1]] = values
@@ -188,7 +240,11 @@ class WordEncoder:
         """All ids, an end id after each text, and the n + 1 offsets of the texts."""
         if len(self.known) > self.MOST_WORDS:
             self._clear()
+        if b"<|" not in data.tobytes():
+            data = ascii_lower(data)  # as the tokenizer does, but for its special tokens
         starts, ends, first = word_spans(data, offsets)
+        starts, ends = without_marks(data, starts, ends)
+        first = np.searchsorted(starts, offsets)
         _, at, which = np.unique(SpanHash(data).of(starts, ends), return_index=True, return_inverse=True)
         raw = data.tobytes()
         words = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
@@ -214,61 +270,49 @@ class WordEncoder:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-def encoded(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
-    """doc_id and ids (binary, little-endian uint32, end id last) of every row."""
-    small_batches(docs.sparkSession)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a worker keeps its memory of words between tasks
-        if tokenizer_file not in _ENCODERS:
-            _ENCODERS[tokenizer_file] = WordEncoder(tokenizer_file)
-        encoder = _ENCODERS[tokenizer_file]
-        for batch in rows_of(batches, BLOCK, "text"):
-            ids, at = encoder.ids(*utf8(batch.column("text")), end_id)
-            buffers = [None, pa.py_buffer((at * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))]
-            rows = pa.Array.from_buffers(pa.binary(), batch.num_rows, buffers)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), rows], names=["doc_id", "ids"])
-
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, ids binary")
+def write_files(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str) -> DataFrame:
+    """Write the ids of docs in order of doc_id; the manifest has a row per file.
 
-
-def write_files(ids: DataFrame, folder: str) -> DataFrame:
-    """Write ids in order of doc_id; the manifest: path, part, seq, n_ids, n_docs."""
-    spark = ids.sparkSession
-    ordered = ids.repartitionByRange(shuffle_parts(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    The texts are dealt by range of doc_id before they are encoded, so a task
+    encodes and writes its range in one pass.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    key = F.col("doc_id").asc_nulls_first()
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(shuffle_parts(spark), key).sortWithinPartitions(key, "text")
     ordered = ordered.withColumn("part", F.spark_partition_id())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        count = seq = 0
+        # a worker keeps its memory of words between tasks
+        if tokenizer_file not in _ENCODERS:
+            _ENCODERS[tokenizer_file] = WordEncoder(tokenizer_file)
+        held: list[tuple[list[int | None], np.ndarray, np.ndarray]] = []
+        count = seq = part = 0
 
-        def flush(part: int) -> pa.RecordBatch:
+        def flush() -> pa.RecordBatch:
             nonlocal held, count, seq
             doc_ids = [d for h in held for d in h[0]]
             values = np.concatenate([h[1] for h in held])
             ends = np.cumsum(np.concatenate([h[2] for h in held]))
-            known = np.array([d is not None for d in doc_ids])
-            data = DacWriter.to_bytes(values, np.array([d if d is not None else 0 for d in doc_ids], np.int64), ends)
+            data = DacWriter.to_bytes(values, np.array([d or 0 for d in doc_ids], np.int64), ends)
             path = f"{root}/{part:06d}-{seq:06d}-{uuid.uuid4().hex}.dac"
             fs.create_dir(root, recursive=True)
             with fs.open_output_stream(path) as out:
                 out.write(data)
-            row = {"path": [path], "part": [part], "seq": [seq], "n_ids": [int(len(values))], "n_docs": [int(len(doc_ids))], "nulls": [int((~known).sum())]}
+            row = {"path": [path], "part": [part], "seq": [seq], "n_ids": [len(values)], "n_docs": [len(doc_ids)], "nulls": [sum(d is None for d in doc_ids)]}
             held, count, seq = [], 0, seq + 1
             return pa.RecordBatch.from_pydict(row, schema=pa.schema([("path", pa.string()), ("part", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("n_docs", pa.int64()), ("nulls", pa.int64())]))
 
-        part = 0
-        for batch in rows_of(batches, FILE_IDS, "ids"):
-            rows = batch.column("ids").to_pylist()
+        for batch in rows_of(batches, BLOCK, "text"):
             part = batch.column("part")[0].as_py()
-            sizes = np.array([len(r) // 4 for r in rows], np.int64)
-            held.append((batch.column("doc_id").to_pylist(), np.frombuffer(b"".join(rows), "<u4"), sizes, None))
-            count += int(sizes.sum())
+            ids, at = _ENCODERS[tokenizer_file].ids(*utf8(batch.column("text")), end_id)
+            held.append((batch.column("doc_id").to_pylist(), ids, np.diff(at)))
+            count += len(ids)
             if count >= FILE_IDS:
-                yield flush(part)
+                yield flush()
         if held:
-            yield flush(part)
+            yield flush()
 
     return ordered.mapInArrow(work, "path string, part int, seq int, n_ids long, n_docs long, nulls long")
 
@@ -306,7 +350,7 @@ def default_tokenizer() -> str:
 def token_files(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID) -> tuple[DataFrame, str]:
     """Write the files; the manifest and their folder."""
     folder = f"{shared_folder(docs.sparkSession)}/tokens"
-    return written(write_files(encoded(docs, tokenizer_file, end_id), folder), "manifest"), folder
+    return written(write_files(docs, tokenizer_file, end_id, folder), "manifest"), folder
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
