@@ -55,11 +55,10 @@ _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
 class Node:
-    __slots__ = ("tag", "path", "skip", "link", "own", "score", "parts")
+    __slots__ = ("tag", "path", "skip", "link", "score", "parts")
 
     def __init__(self, tag: str, path: str, skip: bool, link: bool):
         self.tag, self.path, self.skip, self.link = tag, path, skip, link
-        self.own = 0  # characters of text outside links, directly or in plain blocks
         self.score = 0.0
         self.parts: list[int] = []  # first and last + 1 index into the page's pieces
 
@@ -96,10 +95,8 @@ class Page:
         stack = [root]
         self.containers.append(root)
         at = 0
-        raw_end = None
-        for m in _TOKEN.finditer(html):
-            if m.start() < at:
-                continue
+        # searched anew from `at`: a tag that seems to start in a script is none
+        while m := _TOKEN.search(html, at):
             if m.start() > at:
                 self._text(html[at : m.start()], stack)
             at = m.end()
@@ -157,7 +154,7 @@ class Page:
         # text counts for the nearest container; half of it for the next one up
         share = 1.0
         for up in reversed(stack):
-            if up.tag in CONTAINERS:
+            if up.tag in CONTAINERS or up is stack[0]:
                 up.score += weight * share
                 if share < 1.0:
                     break

@@ -34,31 +34,25 @@ SHARD_SLOTS = 1 << 14
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 #: Documents of a prefix-sum bucket, about.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 SEED = "mix"
+#: Rounds of the swap-or-not shuffle.
+SHUFFLE_ROUNDS = 12
 
 
 def permuted(index: Column, size: Column, key: Column) -> Column:
     """index's image under a pseudorandom permutation of 0 .. size - 1.
 
-    Invertible steps (add, odd multiply, xor-shift) on the next power of two,
-    walked along the cycle until the value is below size.  The multipliers have
-    24 bits, so products stay within a long for sizes up to 2 ** 38.
+    The swap-or-not shuffle: round r pairs x with (k_r - x) mod size and swaps
+    the two or not, by a bit of the hash of the larger one; any size will do.
     """
-    bits = F.greatest(F.ceil(F.log2(F.greatest(size, F.lit(2)).cast("double"))).cast("int"), F.lit(2))
-    mask = F.expr("1L") * F.pow(F.lit(2.0), bits).cast("long") - 1
-    half = (bits / F.lit(2)).cast("int")
 
-    def step(x: Column) -> Column:
-        for r in range(3):
-            part = F.shiftrightunsigned(key, 20 * r).bitwiseAND(F.lit(0xFFFFFF))
-            x = (x * part.bitwiseOR(F.lit(1)) + part).bitwiseAND(mask)
-            x = x.bitwiseXOR(F.call_function("shiftright", x, half))
-        return x.bitwiseAND(mask)
+    def turn(x: Column, r: Column) -> Column:
+        partner = F.pmod(F.pmod(F.xxhash64(key, r), size) - x, size)
+        swap = F.xxhash64(key, r, F.greatest(x, partner)).bitwiseAND(F.lit(1)) == 1
+        return F.when(swap, partner).otherwise(x)
 
-    first = step(index.cast("long"))
-    walk = F.aggregate(F.sequence(F.lit(1), F.lit(64)), first, lambda x, _: F.when(x < size, x).otherwise(step(x)))
-    return F.when(walk < size, walk).otherwise(F.raise_error(F.lit("permutation walk too long")).cast("long"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(SHUFFLE_ROUNDS)), index.cast("long"), turn)
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -148,7 +142,8 @@ def mix(docs: DataFrame, columns: list[str]) -> DataFrame:
     # a block drawn up to three times is one row, so the join keys are unique on
     # the drawn side and no (source, block) of the other is larger than a block
     draws = block_draws(targets).groupBy("_s", "_block").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("_round"))).alias("_rounds"))
-    pieces = pieces.join(draws, pieces["source"].eqNullSafe(draws["_s"]) & (pieces["_b"] == draws["_block"]))
+    # the optimiser takes the exploded plan of the draws for small: no broadcast
+    pieces = pieces.join(draws.hint("merge"), pieces["source"].eqNullSafe(draws["_s"]) & (pieces["_b"] == draws["_block"]))
     lo = F.greatest(F.col("_b") * BLOCK_WORDS - F.col("_from"), F.lit(0))
     hi = F.least((F.col("_b") + 1) * BLOCK_WORDS - F.col("_from"), F.col("size"))
     taken = pieces.groupBy("_row").agg(F.sum((hi - lo) * F.bit_count("_rounds")).alias("taken"), *([F.collect_list(F.struct(lo.alias("lo"), (hi - lo).alias("n"), F.col("_rounds").alias("rounds"))).alias("pieces")] if "text" in columns else []))
@@ -171,7 +166,10 @@ def mix_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     taken words in text order; taken whole, the text stays as it is.
     """
     names = docs.columns
-    mixed = mix(docs, names)
+    # other columns travel in a struct, so their names can't clash
+    others = [c for c in names if c not in ("doc_id", "text", "source")]
+    rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("int")
+    mixed = mix(docs.select("doc_id", "text", "source", rest.alias("_rest")), ["text", "_rest"])
     rounds = mixed.filter("taken > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(MOST_REPEATS - 1))).alias("_r"))
     mine = F.array_sort(F.filter("pieces", lambda p: p["rounds"].bitwiseAND(F.call_function("shiftleft", F.lit(1), F.col("_r"))) != 0))
     rounds = rounds.withColumn("_mine", mine).filter(F.size("_mine") > 0)
@@ -179,6 +177,5 @@ def mix_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     words = F.regexp_extract_all("text", F.lit(f"({WORD_PATTERN})"), F.lit(1))
     part = F.array_join(F.flatten(F.transform("_mine", lambda p: F.slice(words, (p["lo"] + 1).cast("int"), p["n"].cast("int")))), " ")
     rounds = rounds.withColumn("text", F.when(whole, F.col("text")).otherwise(part))
-    if "n_chars" in names:
-        rounds = rounds.withColumn("n_chars", F.length("text").cast("long"))
-    return rounds.select(*names)
+    given = {"n_chars": F.length("text").cast("long")}
+    return rounds.select(*[given.get(c, F.col(f"_rest.`{c}`") if c in others else F.col(c)).alias(c) for c in names])

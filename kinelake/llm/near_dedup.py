@@ -344,7 +344,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows with an equal doc_id are one document and stay or go together.
     """
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept"))
+    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept_doc_id"))
     names = docs.columns
-    rows = docs.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    rows = docs.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("_kept_doc_id")), "left_semi")
     return rows.select(*names)
