@@ -50,7 +50,8 @@ def angle(a: str, b: str, c: str, least: float = CONFIDENT) -> Column:
     ux, uy = F.col(f"{a}_x") - F.col(f"{b}_x"), F.col(f"{a}_y") - F.col(f"{b}_y")
     vx, vy = F.col(f"{c}_x") - F.col(f"{b}_x"), F.col(f"{c}_y") - F.col(f"{b}_y")
     cos = (ux * vx + uy * vy) / F.nullif(F.hypot(ux, uy) * F.hypot(vx, vy), F.lit(0.0))
-    return F.when(confident(a, b, c, least=least), F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))))
+    # greatest and least skip nulls
+    return F.when(confident(a, b, c, least=least) & cos.isNotNull(), F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))))
 
 
 def both_sides(part: tuple[str, str, str]) -> Column:
@@ -131,7 +132,8 @@ def azimuth_bin(theta: Column) -> Column:
 
 def azimuth(apparent: Column, true_ratio: Column) -> Column:
     """Camera azimuth from the apparent over the true shoulder width, in degrees."""
-    return F.degrees(F.asin(F.greatest(F.lit(0.0), F.least(F.lit(1.0), apparent / true_ratio))))
+    ratio = apparent / true_ratio
+    return F.when(ratio.isNotNull(), F.degrees(F.asin(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ratio)))))
 
 
 def settled_bin(theta: Column, low: Column, high: Column, share: float = 0.8) -> Column:
