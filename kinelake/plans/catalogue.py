@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kinelake.functions import arrays, num, text
-from kinelake.operators import aggregates, contracts, graph, jobs, relational, rules, sequences
+from kinelake.operators import aggregates, contracts, evaluation, graph, jobs, longitudinal, relational, reps, rules, sequences
 from kinelake.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -417,3 +417,53 @@ def ordered_narrative(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     roles = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda s: s["role"]), "|")
     return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.min_by("role", "turn").alias("first_role"), F.max_by("role", "turn").alias("last_role"), roles.alias("roles"))
+
+
+@query(f"""WITH {_EVIDENCE}, g AS (SELECT clip, movement, error, count(*) FILTER (status = 'observed') AS yes, count(*) FILTER (status <> 'unobservable') AS judged FROM a GROUP BY 1, 2, 3)
+    SELECT clip, movement, error, CASE WHEN judged = 0 THEN 'unclear' WHEN yes >= least(2, judged) THEN 'present' WHEN yes = 0 THEN 'absent' ELSE 'unclear' END AS verdict FROM g""")
+def clip_verdicts(spark, sf_dir):
+    return evaluation.clip_verdicts(assessments(spark, sf_dir), ["clip", "movement"])
+
+
+@query(f"""WITH {_EVIDENCE}, g AS (SELECT movement, error, avg(CAST(status <> 'unobservable' AS DOUBLE)) AS judgeable, avg(CASE WHEN status <> 'unobservable' THEN CAST(status = 'observed' AS DOUBLE) END) AS fire_rate, list_sort(list(value) FILTER (status <> 'unobservable' AND value IS NOT NULL)) AS v FROM a GROUP BY 1, 2)
+    SELECT movement, error, round(judgeable, 6) AS judgeable, round(fire_rate, 6) AS fire_rate, round(CASE WHEN len(v) > 0 THEN v[least(len(v) - 1, CAST(floor(len(v) * 0.5) AS BIGINT)) + 1] END, 6) AS median, coalesce(fire_rate = 0, true) AS dead FROM g""")
+def rule_coverage(spark, sf_dir):
+    out = evaluation.rule_coverage(assessments(spark, sf_dir)).select("movement", "error", "judgeable", "fire_rate", "median", "dead")
+    return rounded(out, 6, "judgeable", "fire_rate", "median")
+
+
+@query("""WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) FILTER (event_type = 'click') AS reps FROM events GROUP BY ALL),
+    g AS (SELECT user_id, CAST(sum(CASE WHEN day - DATE '2024-01-15' BETWEEN 0 AND 6 THEN reps ELSE 0 END) AS BIGINT) AS reps, CAST(sum(CASE WHEN day - DATE '2024-01-15' BETWEEN -7 AND -1 THEN reps ELSE 0 END) AS BIGINT) AS reps_before, count(*) FILTER (day - DATE '2024-01-15' BETWEEN 0 AND 6 AND reps = 0) AS blank_days FROM d GROUP BY 1)
+    SELECT user_id, reps, reps_before, blank_days, reps - reps_before AS change FROM g""")
+def week_review(spark, sf_dir):
+    days = table(spark, sf_dir, "events").groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.count_if(F.col("event_type") == "click").alias("reps")).withColumn("score", F.lit(0))
+    return longitudinal.week_review(days, ["user_id"], F.lit("2024-01-15").cast("date")).drop("best_day")
+
+
+@query("""WITH d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events), r AS (SELECT user_id, day, day - CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS INTEGER) AS id FROM d),
+    s AS (SELECT user_id, max(day) AS last, count(*) AS length FROM r GROUP BY user_id, id)
+    SELECT user_id, max(CASE WHEN DATE '2024-01-30' - last BETWEEN 0 AND 1 THEN length ELSE 0 END) AS streak FROM s GROUP BY 1""")
+def current_streak(spark, sf_dir):
+    days = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("date").alias("day"))
+    return sequences.current_streak(sequences.streaks(days, ["user_id"], "day"), ["user_id"], F.lit("2024-01-30").cast("date"))
+
+
+@query("""WITH g AS (SELECT l_orderkey, min(l_quantity) AS lo, max(l_quantity) AS hi, count(l_quantity) AS n FROM lineitem GROUP BY 1) SELECT l_orderkey, CASE WHEN n > 0 AND hi - lo <= 1 THEN lo END AS count, hi > lo AS ranged FROM g""")
+def count_reconciliation(spark, sf_dir):
+    return aggregates.count_agreement(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_quantity")
+
+
+@query("""SELECT o_custkey, arg_min(o_totalprice, struct_pack(a := o_orderdate, b := o_orderkey)) AS a_price, arg_max(o_totalprice, struct_pack(a := o_orderdate, b := o_orderkey)) AS b_price FROM orders GROUP BY 1 HAVING count(*) >= 3""")
+def first_and_last_session(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_custkey", F.struct("o_orderdate", "o_orderkey").alias("at"), F.col("o_totalprice").alias("price"))
+    return relational.first_and_last(rows, ["o_custkey"], "at", ["price"]).select("o_custkey", "a_price", "b_price")
+
+
+@query(f"""SELECT user_id, frame, value FROM (SELECT *, greatest(ceil(count(*) OVER (PARTITION BY user_id) / 40), 1) AS step FROM {_FRAMES}) WHERE (frame - 1) % step = 0""")
+def thinned_trace(spark, sf_dir):
+    return sequences.thinned(frames(spark, sf_dir), ["user_id"], "frame", 40).select("user_id", "frame", "value")
+
+
+@query(f"""WITH f AS (SELECT user_id, value, quantile_cont(value, 0.5) OVER (PARTITION BY user_id) AS m FROM {_FRAMES}) SELECT user_id, CASE WHEN count(*) >= 6 THEN round(avg(CAST(abs(value - m) <= 20 AS DOUBLE)), 6) END AS parked FROM f GROUP BY 1""")
+def parked_share(spark, sf_dir):
+    return rounded(reps.parked(frames(spark, sf_dir), "user_id", "value", 20), 6, "parked")
