@@ -44,6 +44,8 @@ BANDS = HASHES // BAND_ROWS
 BATCH = 32
 MISS = 2e-4
 CHUNK = 1024
+#: Bits of the bitmap of chosen documents.
+SLOTS = 1 << 23
 BLOCK = 4 << 20
 
 _A = (mix64(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
@@ -126,14 +128,15 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def band_rows(nodes: DataFrame) -> DataFrame:
-    """bucket and node, a row per band."""
+    """bucket, band and node, a row per band."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, _ = utf8(batch.column("bands"))
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw.tobytes(), np.int64)), pa.array(np.repeat(batch.column("node").to_numpy(), BANDS))], names=["bucket", "node"])
+            band = np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw.tobytes(), np.int64)), pa.array(band), pa.array(np.repeat(batch.column("node").to_numpy(), BANDS))], names=["bucket", "band", "node"])
 
-    return nodes.select("node", "bands").mapInArrow(work, "bucket long, node long")
+    return nodes.select("node", "bands").mapInArrow(work, "bucket long, band int, node long")
 
 
 def least_matches() -> list[int]:
@@ -152,8 +155,17 @@ def least_matches() -> list[int]:
     return out
 
 
-def plausible(sig: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs whose similarity may reach the threshold, by sequential tests."""
+def first_shared(sig: np.ndarray, a: np.ndarray, b: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """Whether a pair shares no band before the one it met in."""
+    same = (sig[a] == sig[b]).reshape(len(a), BANDS, BAND_ROWS).all(2)
+    return ~(same & (np.arange(BANDS) < band[:, None])).any(1)
+
+
+def plausible(sig: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, band: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose similarity may reach the threshold, by sequential tests.
+
+    With the rows' band, a pair is kept in the first band that it shares alone.
+    """
     fits = 100 * np.minimum(size[a], size[b]) >= PERCENT * np.maximum(size[a], size[b])
     a, b = a[fits], b[fits]
     matches = np.zeros(len(a), np.int64)
@@ -162,6 +174,9 @@ def plausible(sig: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -
         matches = matches + (sig[a, part] == sig[b, part]).sum(1)
         alive = matches >= least
         a, b, matches = a[alive], b[alive], matches[alive]
+    if band is not None and len(a):
+        new = first_shared(sig, a, b, band[a])
+        a, b = a[new], b[new]
     return a, b
 
 
@@ -177,13 +192,14 @@ def medoid(sig: np.ndarray) -> int:
 def bucket_pairs(members: DataFrame, every: bool) -> DataFrame:
     """a, b (a < b): plausible pairs of the members of each bucket.
 
-    members: bucket, lo, hi (chunks), chunk, label, node, n, sig.  Of a bucket,
-    the pairs with its medoid, or (every) all pairs with different labels.
+    members: bucket, band, lo, hi (chunks), chunk, label, node, n, sig.  Of a
+    bucket, the pairs with its medoid, or (every) all pairs with different labels
+    that share no earlier band, so that each comes from one bucket.
     """
     ordered = members.repartition(shuffle_parts(members.sparkSession), "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
 
-    def pairs(node, label, chunk, size, sig, one_chunk) -> tuple[np.ndarray, np.ndarray]:
-        count = len(node)
+    def pairs(label, chunk, size, sig, band, one_chunk) -> tuple[np.ndarray, np.ndarray]:
+        count = len(label)
         if not every:
             pivot = medoid(sig) if count > 2 else 0
             b = np.delete(np.arange(count), pivot)
@@ -196,7 +212,7 @@ def bucket_pairs(members: DataFrame, every: bool) -> DataFrame:
             if not one_chunk:
                 other = other[chunk[other] != chunk[i]]
             if len(other):
-                a, b = plausible(sig, size, np.full(len(other), i), other)
+                a, b = plausible(sig, size, np.full(len(other), i), other, band)
                 found_a.append(a)
                 found_b.append(b)
         return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (np.zeros(0, np.int64),) * 2
@@ -219,21 +235,21 @@ def bucket_pairs(members: DataFrame, every: bool) -> DataFrame:
                 yield held, np.r_[0, edge, held.num_rows]
 
         for rows, edge in groups():
-            node, label, chunk, lo, hi, size = (rows.column(c).to_numpy() for c in ("node", "label", "chunk", "lo", "hi", "n"))
+            node, label, chunk, lo, hi, size, band = (rows.column(c).to_numpy() for c in ("node", "label", "chunk", "lo", "hi", "n", "band"))
             raw, _ = utf8(rows.column("sig"))
             sig = np.frombuffer(raw.tobytes(), np.uint16).reshape(-1, HASHES)
             width = np.diff(edge)
             two = edge[:-1][width == 2]
             two = two[(label[two] != label[two + 1]) & ((lo[two] == hi[two]) | (chunk[two] != chunk[two + 1]))]
-            got = [plausible(sig, size, two, two + 1)]
+            got = [plausible(sig, size, two, two + 1, band if every else None)]
             for s, e in zip(edge[:-1][width > 2], edge[1:][width > 2], strict=True):
-                a, b = pairs(node[s:e], label[s:e], chunk[s:e], size[s:e], sig[s:e], lo[s] == hi[s])
+                a, b = pairs(label[s:e], chunk[s:e], size[s:e], sig[s:e], band[s:e], lo[s] == hi[s])
                 got.append((a + s, b + s))
             a, b = (node[np.concatenate([g[i] for g in got])] for i in (0, 1))
             pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pair[0], pa.int64()), pa.array(pair[1], pa.int64())], names=["a", "b"])
 
-    return ordered.select("bucket", "lo", "hi", "chunk", "label", "node", "n", "sig").mapInArrow(work, "a long, b long").distinct()
+    return ordered.select("bucket", "band", "lo", "hi", "chunk", "label", "node", "n", "sig").mapInArrow(work, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -294,9 +310,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = written(bands.join(shared, "bucket"), "members")
     wanted = members.select("node").distinct()
-    chosen = written(rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "chosen")
-    sets = written(node_sets(docs, chosen), "sets")
-    light = nodes.select("node", "n", "sig")
+    light = written(nodes.join(wanted, "node", "left_semi").select("node", "low", "n", "sig"), "light")
+    sets = written(node_sets(docs, light.select("low")), "sets")
+    light = light.select("node", "n", "sig")
 
     first = chunked(members.withColumn("label", F.col("node")), False).join(light, "node")
     links = written(confirmed(bucket_pairs(first, False), sets), "links1")
@@ -317,22 +333,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def node_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """node and shingles (sorted 64-bit hashes) of the chosen nodes.
+    """node and shingles (sorted 64-bit hashes) of documents, the chosen among them.
 
-    The texts are joined by doc_id and made into sets anew; a row whose doc_id
-    is chosen but whose set is another node's is dropped by its node.
+    chosen: doc_ids.  They set a bitmap of SLOTS bits, whatever their number; the
+    texts whose doc_id hits it are made into sets anew, so no text is moved.
+    Others that hit it by chance come along and do no harm.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    bitmap = np.zeros(SLOTS, bool)
+    bitmap[chosen.select(slot("low").alias("s")).distinct().toArrow().column("s").to_numpy()] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("text", slot("doc_id").alias("slot"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches, BLOCK, "text"):
-            values, at = uniform_sets(*utf8(batch.column("text")))
-            raw = values.tobytes()
-            sets = [raw[8 * a : 8 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            same = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) == n for x, n in zip(sets, batch.column("node").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"]).filter(pa.array(same, pa.bool_()))
-
-    return texts.select("node", "text").mapInArrow(work, "node long, shingles binary").dropDuplicates(["node"])
+        for batch in batches:
+            at = batch.column("slot").to_numpy()
+            hit = batch.filter(pa.array((shared.value[at >> 3] >> (7 - (at & 7))) & 1 == 1))
+            for part in rows_of([hit], BLOCK, "text"):
+                values, at = uniform_sets(*utf8(part.column("text")))
+                raw = values.tobytes()
+                sets = [raw[8 * a : 8 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                node = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    return rows.mapInArrow(work, "node long, shingles binary")
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
