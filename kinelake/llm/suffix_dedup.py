@@ -33,7 +33,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ._common import SpanHash, mix64, rows_of, shuffle_parts, small_batches, table, utf8
 
@@ -251,13 +250,16 @@ def _order_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """key, start and length of ranges that repeats cover; docs has key and text."""
+    """key, start and length of ranges that repeats cover; docs: key, doc_id, text."""
     spark = docs.sparkSession
-    found = docs.mapInArrow(_find_pieces, "h long, key long, start int, windows int, offset int")
-    counted = found.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter(F.col("n") > 1)
+    found = docs.select("key", "text").mapInArrow(_find_pieces, "h long, key long, start int, windows int, offset int")
+    # a join and no window: a frequent minimiser's rows can be split over tasks
+    counts = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    counted = found.join(counts.hint("merge"), "h")
     # the pieces of one text, as many as its length allows
     lists = counted.groupBy("key").agg(F.collect_list(F.struct("start", "windows", "offset", "h", "n")).alias("found"))
-    cut = docs.join(lists, "key").select("key", "text", "found").mapInArrow(_cut_pieces, "part long, content binary, spots binary")
+    # doc_id comes along so that the texts are dealt as for the result, once
+    cut = docs.join(lists, "key").select("key", "doc_id", "text", "found").mapInArrow(_cut_pieces, "part long, content binary, spots binary")
     dealt = cut.repartition(shuffle_parts(spark), "part").sortWithinPartitions("part")
     return dealt.mapInArrow(_order_parts, "key long, start long, length long")
 
@@ -270,7 +272,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     # the same files give the same partitions, so a row keeps its key in every scan
     rows = docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    spans = repeated_ranges(rows.select("key", "text")).groupBy("key").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
+    spans = repeated_ranges(rows).groupBy("key").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, BLOCK, "text"):
