@@ -56,12 +56,13 @@ _FRAMES = "(SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event
 _WEEKS = "(SELECT user_id, event_type, value, CAST(date_trunc('week', ts) AS DATE) AS week FROM events)"
 
 
-@query(f"""SELECT user_id, week, count(*) AS n, count(*) FILTER (value >= 50) AS n_usable, round(avg(value), 4) AS mean_quality,
+@query(f"""SELECT user_id, week, count(*) AS n, count(*) FILTER (value >= 50) AS n_usable, round(avg(value), 9) AS mean_quality,
     array_to_string(list_sort(list_distinct(list(event_type))), ',') AS event_types, round(quantile_cont(value, 0.5), 4) AS value_median, count(value) AS value_n
     FROM {_WEEKS} GROUP BY user_id, week""")
 def user_session_metrics(spark, sf_dir):
     out = aggregates.session_table(weekly(spark, sf_dir), ["user_id", "week"], ["value"], "value", 50, ["event_type"])
-    return rounded(out, 4, "mean_quality", "value_median")
+    # a mean of few decimals may lie on a tie at 4 decimals
+    return rounded(rounded(out, 9, "mean_quality"), 4, "value_median")
 
 
 @query(f"""WITH own AS (SELECT user_id, week, quantile_cont(value, 0.5) AS m, count(*) AS k FROM {_WEEKS} GROUP BY ALL HAVING count(*) >= 2),
