@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -181,19 +182,22 @@ def fit_weights(docs: DataFrame, contexts: np.ndarray, n_main: int, parts: int)
     return weights, vocabulary
 
 
-_SENT = ("words", "df", "kinds", "docs", "tf", "keys", "train")
+_SENT = ("words", "df", "kinds", "docs", "tf", "train", "ids")
+_BACK = ("docs", "tokens", "known", "base", "score", "ids")
 
 
 def word_shares(docs: DataFrame, contexts: np.ndarray, weights: np.ndarray, n_tokens: int, vocabulary: int, parts: int) -> DataFrame:
-    """key, tokens, known, base and score, several rows per document.
+    """doc_id, train, tokens, known, base and score of every row of docs.
 
-    docs has key, text and train (boolean).  The sums over a document's rows are
-    its tokens, those seen in training, and the sums over its tokens of
-    log10(c + 0.5) and of log10 P(w | h).
+    docs has doc_id, text and train (boolean).  tokens counts a document's
+    tokens, known those seen in training; base and score are the sums over its
+    tokens of log10(c + 0.5) and of log10 P(w | h).  A partition of words returns
+    one row per block; the rows of a block are added up together.
     """
     shared = docs.sparkSession.sparkContext.broadcast(contexts)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
         for batch in rows_of(batches, BLOCK, "text"):
             hashes, before, owner = tokens(batch)
             words, which = np.unique(hashes, return_inverse=True)
@@ -201,25 +205,31 @@ def word_shares(docs: DataFrame, contexts: np.ndarray, weights: np.ndarray, n_to
             of, owner = triple >> (CLASS_BITS + ROW_BITS), triple & ((1 << ROW_BITS) - 1)
             kinds = triple >> ROW_BITS & (CLASSES - 1)
             edge = np.searchsorted(of, np.arange(len(words) + 1))
-            keys = batch.column("key").to_numpy()
-            train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
-            rows: dict[str, list] = {c: [] for c in ("p", *_SENT)}
+            train = np.packbits(batch.column("train").to_numpy(zero_copy_only=False).astype(bool)).tobytes()
+            ids = batch.column("doc_id")
+            # the ids go with one of the rows
+            known = np.packbits(ids.is_valid().to_numpy(zero_copy_only=False)).tobytes()
+            ids = np.int64(batch.num_rows).tobytes() + ids.fill_null(0).to_numpy().tobytes() + known
+            rows: dict[str, list] = {c: [] for c in ("p", "block", *_SENT)}
             for p, mine in _dealt(words, parts):
                 df = edge[mine + 1] - edge[mine]
                 at = np.repeat(edge[mine] - (np.cumsum(df) - df), df) + np.arange(int(df.sum()))
-                here, local = np.unique(owner[at], return_inverse=True)
-                for c, x in (("p", p), ("words", words[mine].tobytes()), ("df", df.astype(np.uint32).tobytes()), ("kinds", _narrow(kinds[at])), ("docs", local.astype(np.uint16).tobytes()), ("tf", tf[at].astype(np.uint32).tobytes()), ("keys", keys[here].tobytes()), ("train", np.packbits(train[here]).tobytes())):
+                for c, x in (("p", p), ("block", block), ("words", words[mine].tobytes()), ("df", df.astype(np.uint32).tobytes()), ("kinds", _narrow(kinds[at])), ("docs", owner[at].astype(np.uint16).tobytes()), ("tf", tf[at].astype(np.uint32).tobytes()), ("train", train), ("ids", ids)):
                     rows[c].append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(rows["p"], pa.int32()), *[pa.array(rows[c], pa.binary()) for c in _SENT]], names=list(rows))
+                ids = b""
+            block += 1
+            yield pa.RecordBatch.from_arrays([pa.array(rows["p"], pa.int32()), pa.array(rows["block"], pa.int64()), *[pa.array(rows[c], pa.binary()) for c in _SENT]], names=list(rows))
 
     def count(rows: pa.Table) -> pa.Table:
         words, df, tf = _joined(rows, "words", np.uint64), _joined(rows, "df", np.uint32), _joined(rows, "tf", np.uint32)
         kinds = np.concatenate([_wide(x) for x in rows.column("kinds").to_pylist()])
-        keys = [np.frombuffer(x, np.int64) for x in rows.column("keys").to_pylist()]
-        start = np.cumsum([0, *[len(k) for k in keys]])
-        doc = np.concatenate([np.frombuffer(x, np.uint16).astype(np.int64) + s for x, s in zip(rows.column("docs").to_pylist(), start, strict=False)])
-        train = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)).astype(bool) for x, k in zip(rows.column("train").to_pylist(), keys, strict=True)])
-        keys = np.concatenate(keys)
+        docs_ = [np.frombuffer(x, np.uint16).astype(np.int64) for x in rows.column("docs").to_pylist()]
+        width = 1 << ROW_BITS
+        doc = np.concatenate([x + i * width for i, x in enumerate(docs_)])
+        train = np.zeros(len(docs_) * width, bool)
+        for i, x in enumerate(rows.column("train").to_pylist()):
+            flags = np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool)[:width]
+            train[i * width : i * width + len(flags)] = flags
         learned = np.where(train[doc], tf, 0)
         unique, of = np.unique(words, return_inverse=True)
         entry = np.repeat(of, df)
@@ -230,11 +240,27 @@ def word_shares(docs: DataFrame, contexts: np.ndarray, weights: np.ndarray, n_to
         w = weights[bucket_of(total)]
         logp = np.log10(w[:, 2] * c2 / np.maximum(total, 1) + w[:, 1] * c1_pair / max(n_tokens, 1) + w[:, 0] / (vocabulary + 1))[at]
         known, base = c1[entry] > 0, np.log10(c1 + 0.5)[entry]
-        sums = [np.bincount(doc, x, len(keys)) for x in (tf, np.where(known, tf, 0), tf * base, tf * logp)]
-        return pa.table({"key": keys, "tokens": sums[0].astype(np.int64), "known": sums[1].astype(np.int64), "base": sums[2], "score": sums[3]})
-
-    sent = docs.select("key", "text", "train").mapInArrow(send, "p int, " + ", ".join(f"{c} binary" for c in _SENT))
-    return sent.groupBy("p").applyInArrow(count, "key long, tokens long, known long, base double, score double")
+        sums = [np.bincount(doc, x, len(train)).reshape(-1, width) for x in (tf, np.where(known, tf, 0), tf * base, tf * logp)]
+        out: dict[str, list] = {c: [] for c in _BACK}
+        for i in range(len(docs_)):
+            here = np.flatnonzero(sums[0][i])
+            for c, x in (("docs", here.astype(np.uint16)), ("tokens", sums[0][i][here].astype(np.uint32)), ("known", sums[1][i][here].astype(np.uint32)), ("base", sums[2][i][here]), ("score", sums[3][i][here])):
+                out[c].append(x.tobytes())
+        out["ids"] = rows.column("ids").to_pylist()
+        return pa.table({"block": rows.column("block"), **{c: pa.array(out[c], pa.binary()) for c in _BACK}})
+
+    def merge(rows: pa.Table) -> pa.Table:
+        raw = next(x for x in rows.column("ids").to_pylist() if x)
+        n = int(np.frombuffer(raw, np.int64, 1)[0])
+        ids = np.frombuffer(raw, np.int64, n, 8)
+        valid = np.unpackbits(np.frombuffer(raw, np.uint8, -1, 8 + 8 * n), count=n).astype(bool)
+        at = _joined(rows, "docs", np.uint16).astype(np.int64)
+        sums = {c: np.bincount(at, _joined(rows, c, t), n) for c, t in (("tokens", np.uint32), ("known", np.uint32), ("base", np.float64), ("score", np.float64))}
+        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=~valid), "tokens": sums["tokens"].astype(np.int64), "known": sums["known"].astype(np.int64), "base": sums["base"], "score": sums["score"]})
+
+    sent = docs.select("doc_id", "text", "train").mapInArrow(send, "p int, block long, " + ", ".join(f"{c} binary" for c in _SENT))
+    back = sent.groupBy("p").applyInArrow(count, "block long, " + ", ".join(f"{c} binary" for c in _BACK))
+    return back.groupBy("block").applyInArrow(merge, "doc_id long, tokens long, known long, base double, score double")
 
 
 def score(docs: DataFrame, train) -> DataFrame:
@@ -246,8 +272,6 @@ def score(docs: DataFrame, train) -> DataFrame:
     small_batches(spark)
     parts = shuffle_parts(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), train.alias("train"))
-    # equal rows share a key: their parts add up and are divided by their number
-    rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
     learned = rows.filter("train").select("text", (F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(HELD_PARTS)) == 0).alias("held"))
     main, held = context_counts(learned)
     weights, vocabulary = fit_weights(learned, main, int(main.sum()), parts)
@@ -255,15 +279,9 @@ def score(docs: DataFrame, train) -> DataFrame:
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     n = int(main.sum() + held.sum())
-    shares = word_shares(rows, main + held, weights, n, vocabulary, parts)
-    zero = F.lit(0).cast("long")
-    info = rows.select("key", "doc_id", F.lit(1).cast("long").alias("rows"), zero.alias("tokens"), zero.alias("known"), F.lit(0.0).alias("base"), F.lit(0.0).alias("score"))
-    shares = shares.select("key", F.lit(None).cast("long").alias("doc_id"), zero.alias("rows"), "tokens", "known", "base", "score")
-    each = info.unionByName(shares).groupBy("key").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("rows", "tokens", "known", "base", "score")])
-    each = each.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("_"))
-    mean = lambda c: F.col(c) / F.col("rows")
-    base = mean("base") - mean("tokens") * math.log10(n + 0.5 * (vocabulary + 1))
-    return each.select("doc_id", (~train).alias("held_out"), mean("tokens").cast("long").alias("n_tokens"), mean("known").cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), mean("score").alias("score"))
+    each = word_shares(rows, main + held, weights, n, vocabulary, parts)
+    base = F.col("base") - F.col("tokens") * math.log10(n + 0.5 * (vocabulary + 1))
+    return each.select("doc_id", (~train).alias("held_out"), F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
