@@ -139,8 +139,12 @@ class SpanHash:
 
     def __init__(self, data: np.ndarray):
         n = len(data)
+        terms = _CODES[data]
+        if n:
+            terms *= powers(n, _BASE)
         self.total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_CODES[data] * powers(n, _BASE), out=self.total[1:])
+        np.cumsum(terms, out=self.total[1:])
+        del terms
         self.back = powers(n + 1, _INV)
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -270,7 +270,8 @@ def score(docs: DataFrame, train) -> DataFrame:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    parts = shuffle_parts(spark)
+    # two groups of words for each task: a group is what a worker holds
+    parts = 2 * shuffle_parts(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), train.alias("train"))
     learned = rows.filter("train").select("text", (F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(HELD_PARTS)) == 0).alias("held"))
     main, held = context_counts(learned)
