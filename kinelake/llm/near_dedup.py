@@ -1,11 +1,12 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 A document's set holds its distinct 5-word shingles.  Documents with equal sets
-are one node from the start, so copies are never paired.  Candidates are nodes
-that share a band of BAND_ROWS min-hashes.  A candidate's signatures are
+are one node from the start, so copies are never paired.  A link is a similarity
+of percent in a hundred: PERCENT for op5, STAGE_PERCENT for the pipeline's stage.
+Candidates are nodes that share a band of min-hashes, bands and rows by percent.  A candidate's signatures are
 compared in batches of BATCH hashes; after n hashes with m matches, the
 posterior of the similarity under a uniform prior is Beta(m + 1, n - m + 1) and
-the pair is dropped when P(J >= THRESHOLD) < MISS.  Survivors are confirmed
+the pair is dropped when P(J >= percent / 100) is too small.  Survivors are confirmed
 exactly on the full sets.
 
 Pairs are not expanded within a band's bucket at first: round 1 pairs every
@@ -36,11 +37,12 @@ from pyspark.sql import functions as F
 from ._common import SpanHash, ascii_lower, mix64, rows_of, shuffle_parts, small_batches, table, utf8, word_spans, written
 
 SHINGLE_WORDS = 5
-#: A link: 100 * intersection >= PERCENT * union.
+#: A link of op5: 100 * intersection >= PERCENT * union; of the pipeline's stage.
 PERCENT = 85
+STAGE_PERCENT = 80
 HASHES = 256
-BAND_ROWS = 8
-BANDS = HASHES // BAND_ROWS
+#: Most pairs at the threshold that share no band.
+BAND_MISS = 4e-5
 BATCH = 32
 MISS = 2e-4
 CHUNK = 1024
@@ -53,6 +55,16 @@ _B = mix64(np.arange(1001, HASHES + 1001, dtype=np.uint64)).astype(np.uint32)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and rows of a band: the longest bands that HASHES leave room for."""
+    t = percent / 100
+    for rows in range(HASHES, 0, -1):
+        bands = math.ceil(math.log(BAND_MISS) / math.log1p(-(t**rows)))
+        if bands * rows <= HASHES:
+            return bands, rows
+    raise ValueError(f"no banding of {HASHES} hashes for {percent} %")
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts, and their n + 1 offsets."""
     data = ascii_lower(data)
@@ -107,19 +119,20 @@ def signatures(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n, node, sig (HASHES uint16) and bands (BANDS int64) of each row."""
+def signed(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, n, node, sig (HASHES uint16) and bands (int64 each) of each row."""
     small_batches(docs.sparkSession)
+    bands, rows = banding(percent)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, BLOCK, "text"):
             values, at = uniform_sets(*utf8(batch.column("text")))
             full = signatures(values, at)
             sig = ((full * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
-            band = np.zeros((len(full), BANDS), np.uint64)
-            for r in range(BAND_ROWS):
-                band = mix64(band * _STEP + full[:, r::BAND_ROWS])
-            band = mix64(band + np.arange(1, BANDS + 1, dtype=np.uint64))
+            band = np.zeros((len(full), bands), np.uint64)
+            for r in range(rows):
+                band = mix64(band * _STEP + full[:, r : bands * rows : rows])
+            band = mix64(band + np.arange(1, bands + 1, dtype=np.uint64))
             raw = values.tobytes()
             node = [int.from_bytes(hashlib.blake2b(raw[8 * a : 8 * b], digest_size=8).digest(), "little", signed=True) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at).astype(np.int64)), pa.array(node, pa.int64()), pa.array([r.tobytes() for r in sig], pa.binary()), pa.array([r.tobytes() for r in band], pa.binary())], names=["doc_id", "n", "node", "sig", "bands"])
@@ -127,24 +140,25 @@ def signed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, n long, node long, sig binary, bands binary")
 
 
-def band_rows(nodes: DataFrame) -> DataFrame:
+def band_rows(nodes: DataFrame, percent: int) -> DataFrame:
     """bucket, band and node, a row per band."""
+    bands, _ = banding(percent)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, _ = utf8(batch.column("bands"))
-            band = np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw.tobytes(), np.int64)), pa.array(band), pa.array(np.repeat(batch.column("node").to_numpy(), BANDS))], names=["bucket", "band", "node"])
+            band = np.tile(np.arange(bands, dtype=np.int32), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw.tobytes(), np.int64)), pa.array(band), pa.array(np.repeat(batch.column("node").to_numpy(), bands))], names=["bucket", "band", "node"])
 
     return nodes.select("node", "bands").mapInArrow(work, "bucket long, band int, node long")
 
 
-def least_matches() -> list[int]:
+def least_matches(percent: int = PERCENT) -> list[int]:
     """Matches that a pair needs after BATCH, 2 * BATCH, ... hashes.
 
     P(J >= t) under Beta(m + 1, n - m + 1) is P(Binomial(n + 1, t) <= m).
     """
-    t = PERCENT / 100
+    t = percent / 100
     out = []
     for n in range(BATCH, HASHES + 1, BATCH):
         total, m = 0.0, -1
@@ -155,27 +169,29 @@ def least_matches() -> list[int]:
     return out
 
 
-def first_shared(sig: np.ndarray, a: np.ndarray, b: np.ndarray, band: np.ndarray) -> np.ndarray:
+def first_shared(sig: np.ndarray, a: np.ndarray, b: np.ndarray, band: np.ndarray, percent: int) -> np.ndarray:
     """Whether a pair shares no band before the one it met in."""
-    same = (sig[a] == sig[b]).reshape(len(a), BANDS, BAND_ROWS).all(2)
-    return ~(same & (np.arange(BANDS) < band[:, None])).any(1)
+    bands, rows = banding(percent)
+    used = slice(bands * rows)
+    same = (sig[a, used] == sig[b, used]).reshape(len(a), bands, rows).all(2)
+    return ~(same & (np.arange(bands) < band[:, None])).any(1)
 
 
-def plausible(sig: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, band: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def plausible(sig: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, band: np.ndarray | None = None, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """The pairs whose similarity may reach the threshold, by sequential tests.
 
     With the rows' band, a pair is kept in the first band that it shares alone.
     """
-    fits = 100 * np.minimum(size[a], size[b]) >= PERCENT * np.maximum(size[a], size[b])
+    fits = 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
     a, b = a[fits], b[fits]
     matches = np.zeros(len(a), np.int64)
-    for i, least in enumerate(least_matches()):
+    for i, least in enumerate(least_matches(percent)):
         part = slice(i * BATCH, (i + 1) * BATCH)
         matches = matches + (sig[a, part] == sig[b, part]).sum(1)
         alive = matches >= least
         a, b, matches = a[alive], b[alive], matches[alive]
     if band is not None and len(a):
-        new = first_shared(sig, a, b, band[a])
+        new = first_shared(sig, a, b, band[a], percent)
         a, b = a[new], b[new]
     return a, b
 
@@ -189,7 +205,7 @@ def medoid(sig: np.ndarray) -> int:
     return int(score.argmax())
 
 
-def bucket_pairs(members: DataFrame, every: bool) -> DataFrame:
+def bucket_pairs(members: DataFrame, every: bool, percent: int) -> DataFrame:
     """a, b (a < b): plausible pairs of the members of each bucket.
 
     members: bucket, band, lo, hi (chunks), chunk, label, node, n, sig.  Of a
@@ -204,7 +220,7 @@ def bucket_pairs(members: DataFrame, every: bool) -> DataFrame:
             pivot = medoid(sig) if count > 2 else 0
             b = np.delete(np.arange(count), pivot)
             a = np.full(len(b), pivot)
-            return plausible(sig, size, a, b)
+            return plausible(sig, size, a, b, percent=percent)
         found_a, found_b = [], []
         for i in range(count):
             other = np.arange(i + 1, count)
@@ -212,7 +228,7 @@ def bucket_pairs(members: DataFrame, every: bool) -> DataFrame:
             if not one_chunk:
                 other = other[chunk[other] != chunk[i]]
             if len(other):
-                a, b = plausible(sig, size, np.full(len(other), i), other, band)
+                a, b = plausible(sig, size, np.full(len(other), i), other, band, percent)
                 found_a.append(a)
                 found_b.append(b)
         return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (np.zeros(0, np.int64),) * 2
@@ -241,7 +257,7 @@ def bucket_pairs(members: DataFrame, every: bool) -> DataFrame:
             width = np.diff(edge)
             two = edge[:-1][width == 2]
             two = two[(label[two] != label[two + 1]) & ((lo[two] == hi[two]) | (chunk[two] != chunk[two + 1]))]
-            got = [plausible(sig, size, two, two + 1, band if every else None)]
+            got = [plausible(sig, size, two, two + 1, band if every else None, percent)]
             for s, e in zip(edge[:-1][width > 2], edge[1:][width > 2], strict=True):
                 a, b = pairs(label[s:e], chunk[s:e], size[s:e], sig[s:e], band[s:e], lo[s] == hi[s])
                 got.append((a + s, b + s))
@@ -252,8 +268,8 @@ def bucket_pairs(members: DataFrame, every: bool) -> DataFrame:
     return ordered.select("bucket", "band", "lo", "hi", "chunk", "label", "node", "n", "sig").mapInArrow(work, "a long, b long").distinct()
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs with 100 * intersection >= PERCENT * union; sets: node, shingles."""
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs with 100 * intersection >= percent * union; sets: node, shingles."""
     first = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     both = first.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
 
@@ -263,7 +279,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both_ = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both_ >= PERCENT * (len(x) + len(y) - both_))
+                keep.append(100 * both_ >= percent * (len(x) + len(y) - both_))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("a", "b", "sa", "sb").mapInArrow(work, "a long, b long")
@@ -302,11 +318,11 @@ def chunked(members: DataFrame, every: bool) -> DataFrame:
     return rows.withColumn("lo", F.least("chunk", "_other")).withColumn("hi", F.greatest("chunk", "_other")).drop("_other")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of docs."""
-    rows = written(signed(docs), "signed")
+    rows = written(signed(docs, percent), "signed")
     nodes = written(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
-    bands = band_rows(nodes)
+    bands = band_rows(nodes, percent)
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = written(bands.join(shared, "bucket"), "members")
     wanted = members.select("node").distinct()
@@ -315,13 +331,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     light = light.select("node", "n", "sig")
 
     first = chunked(members.withColumn("label", F.col("node")), False).join(light, "node")
-    links = written(confirmed(bucket_pairs(first, False), sets), "links1")
+    links = written(confirmed(bucket_pairs(first, False, percent), sets, percent), "links1")
     labels = components(links)
     marked = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     marked = written(marked, "marked")
     mixed = marked.groupBy("bucket").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi").select("bucket")
     second = chunked(marked.join(mixed, "bucket", "left_semi"), True).join(light, "node")
-    more = written(confirmed(bucket_pairs(second, True), sets), "links2")
+    more = written(confirmed(bucket_pairs(second, True, percent), sets, percent), "links2")
     labels = components(links.union(more))
 
     low = nodes.select("node", "low").join(labels, "node")
@@ -360,7 +376,7 @@ def node_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), PERCENT)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -368,7 +384,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows with an equal doc_id are one document and stay or go together.
     """
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept_doc_id"))
+    kept = near_duplicates(docs, STAGE_PERCENT).filter("kept").select(F.col("doc_id").alias("_kept_doc_id"))
     names = docs.columns
     rows = docs.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("_kept_doc_id")), "left_semi")
     return rows.select(*names)
