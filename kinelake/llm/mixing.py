@@ -4,9 +4,11 @@ Words are packed, source by source in hash order of the documents, into blocks
 of BLOCK_WORDS.  The mix is a run of slots as long as the corpus; a slot draws
 its source from the target weights and the j-th slot of a source takes block
 j mod n of the source's n blocks, mapped through a pseudorandom permutation
-that differs by source and round.  Slot counts by source and output shard
-follow a multinomial draw whose totals are fixed: slot t uses the stratified
-uniform (p(t) + 1/2) / slots with p a pseudorandom permutation of the slots.
+that differs by source and round.  An output shard is a run of SHARD_SLOTS slots;
+slot counts by source and shard follow a multinomial draw whose totals are fixed:
+slot t uses the stratified uniform (p(t) + 1/2) / slots with p a pseudorandom
+permutation of the slots.  op8 gives the shard and slot of all words that are
+taken; the pipeline's stage deals its rows to the shards and orders them by slot.
 
 Targets: sources in code point order (null last) weigh 5, 2, 1, repeating, and
 share the corpus's words; a target stops at 3 times its source's size and the
@@ -20,11 +22,13 @@ without words has target 0 throughout.  Only text, source and doc_id are read.
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import WORD_PATTERN, table, written
+from ._common import WORD_PATTERN, shuffle_parts, table, written
 
 #: Words of a block; the last block of a source may be shorter.
 BLOCK_WORDS = 32
@@ -96,7 +100,7 @@ def packed(docs: DataFrame, rows: int) -> DataFrame:
 
 
 def block_draws(targets: DataFrame) -> DataFrame:
-    """_s, _round, _block and _slot: the blocks that the mix takes."""
+    """_s, _block and _slots: the blocks that the mix takes, with a slot (or null) for each round."""
     spark = targets.sparkSession
     all_ = Window.partitionBy(F.lit(1))
     upto = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
@@ -110,25 +114,29 @@ def block_draws(targets: DataFrame) -> DataFrame:
     plan = plan.withColumn("_hi", F.round(F.sum("_want").over(upto)).cast("long")).withColumn("_lo", F.coalesce(F.lag("_hi").over(Window.orderBy(F.col("source").asc_nulls_last())), F.lit(0))).withColumn("_slots", F.max("_hi").over(all_)).drop("source", "_want")
     # Slots of the mix in shards: p(t) falls in a source's range [lo, hi), so the
     # slots of a source are the images of lo .. hi - 1 and its j-th slot is the
-    # image of lo + j; t itself only orders the output.
+    # image of lo + j.
     shards = plan.filter("_hi > _lo").select("_s", "_n", "_lo", "_hi", "_slots", F.explode(F.sequence(F.lit(0).cast("long"), ((F.col("_hi") - F.col("_lo") - 1) / SHARD_SLOTS).cast("long"))).alias("_part"))
     shards = shards.repartition(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), F.xxhash64("_s", "_part"))
     first = F.col("_part") * SHARD_SLOTS
     slots = shards.select("_s", "_n", "_lo", "_hi", "_slots", F.explode(F.sequence(first, F.least(first + SHARD_SLOTS, F.col("_hi") - F.col("_lo")) - 1)).alias("_j"))
     round_ = F.floor(F.col("_j") / F.col("_n")).cast("long")
-    return slots.filter(F.col("_j") < MOST_REPEATS * F.col("_n")).select(
+    taken = slots.filter(F.col("_j") < MOST_REPEATS * F.col("_n")).select(
         "_s",
         round_.cast("int").alias("_round"),
         permuted(F.col("_j") % F.col("_n"), F.col("_n"), F.xxhash64(F.lit(SEED), "_s", round_)).alias("_block"),
         permuted(F.col("_lo") + F.col("_j"), F.col("_slots"), F.xxhash64(F.lit(SEED), F.lit("slot"))).alias("_slot"),
     )
+    # a block drawn up to three times is one row, so the join keys are unique on
+    # the drawn side and no (source, block) of the other is larger than a block
+    by_round = [F.max(F.when(F.col("_round") == r, F.col("_slot"))).alias(f"_slot{r}") for r in range(MOST_REPEATS)]
+    return taken.groupBy("_s", "_block").agg(*by_round).select("_s", "_block", F.array(*[f"_slot{r}" for r in range(MOST_REPEATS)]).alias("_slots"))
 
 
 def mix(docs: DataFrame, columns: list[str]) -> DataFrame:
     """columns of docs with size, source_size, target, _from and pieces.
 
-    pieces: array of (lo, n, rounds), rounds a bit mask: the runs of the document's words
-    that the mix takes, joined from the drawn blocks by block index.
+    pieces: array of (lo, n, slots), slots by round or null: the runs of the document's
+    words that the mix takes, joined from the drawn blocks by block index.
     """
     spark = docs.sparkSession
     wanted = list(dict.fromkeys(["doc_id", "source", *columns]))
@@ -139,14 +147,13 @@ def mix(docs: DataFrame, columns: list[str]) -> DataFrame:
     placed = written(placed, "placed")
     first, last = F.floor(F.col("_from") / BLOCK_WORDS), F.floor((F.col("_from") + F.col("size") - 1) / BLOCK_WORDS)
     pieces = placed.filter("size > 0").select("source", "_row", "_from", "size", F.explode(F.sequence(first, last)).alias("_b"))
-    # a block drawn up to three times is one row, so the join keys are unique on
-    # the drawn side and no (source, block) of the other is larger than a block
-    draws = block_draws(targets).groupBy("_s", "_block").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("_round"))).alias("_rounds"))
+    draws = block_draws(targets)
     # the optimiser takes the exploded plan of the draws for small: no broadcast
     pieces = pieces.join(draws.hint("merge"), pieces["source"].eqNullSafe(draws["_s"]) & (pieces["_b"] == draws["_block"]))
     lo = F.greatest(F.col("_b") * BLOCK_WORDS - F.col("_from"), F.lit(0))
     hi = F.least((F.col("_b") + 1) * BLOCK_WORDS - F.col("_from"), F.col("size"))
-    taken = pieces.groupBy("_row").agg(F.sum((hi - lo) * F.bit_count("_rounds")).alias("taken"), *([F.collect_list(F.struct(lo.alias("lo"), (hi - lo).alias("n"), F.col("_rounds").alias("rounds"))).alias("pieces")] if "text" in columns else []))
+    times = F.size(F.filter("_slots", lambda t: t.isNotNull()))
+    taken = pieces.groupBy("_row").agg(F.sum((hi - lo) * times).alias("taken"), F.collect_list(F.struct(lo.alias("lo"), (hi - lo).alias("n"), F.col("_slots").alias("slots"))).alias("pieces"))
     out = light.join(taken, "_row", "left")
     targets = targets.select(F.col("source").alias("_s"), "source_size", "target")
     # one row per source: a table as large as the number of sources
@@ -154,28 +161,47 @@ def mix(docs: DataFrame, columns: list[str]) -> DataFrame:
     return out.withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).drop("_s", "_row")
 
 
+def shard_of(slot: Column) -> Column:
+    return F.floor(slot / SHARD_SLOTS).cast("int")
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken and slots of every document.
+
+    slots: array of (slot, shard, lo, n) in order of slot: the words lo .. lo + n - 1
+    of the document are in that slot.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs, ["doc_id", "source"]).select("doc_id", "size", "source_size", "target", "taken")
+    each = F.flatten(F.transform("pieces", lambda p: F.transform(F.filter(p["slots"], lambda t: t.isNotNull()), lambda t: F.struct(t.alias("slot"), shard_of(t).alias("shard"), p["lo"].alias("lo"), p["n"].alias("n")))))
+    slots = F.array_sort(F.coalesce(each, F.array().cast("array<struct<slot:bigint,shard:int,lo:bigint,n:bigint>>")))
+    return mix(docs, ["doc_id", "source"]).select("doc_id", "size", "source_size", "target", "taken", slots.alias("slots"))
 
 
 def mix_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the words that the mix takes, as documents.
 
     A document gives one row for each round that takes any of it, with the
-    taken words in text order; taken whole, the text stays as it is.
+    taken words in text order; taken whole, the text stays as it is.  A row is in
+    the shard of the slot of its first word; a shard is in one partition, and its
+    rows are in order of these slots.
     """
+    # lets Spark drop the finished shuffles' files: the texts are dealt twice here
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     names = docs.columns
     # other columns travel in a struct, so their names can't clash
     others = [c for c in names if c not in ("doc_id", "text", "source")]
     rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("int")
     mixed = mix(docs.select("doc_id", "text", "source", rest.alias("_rest")), ["text", "_rest"])
     rounds = mixed.filter("taken > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(MOST_REPEATS - 1))).alias("_r"))
-    mine = F.array_sort(F.filter("pieces", lambda p: p["rounds"].bitwiseAND(F.call_function("shiftleft", F.lit(1), F.col("_r"))) != 0))
+    mine = F.array_sort(F.filter("pieces", lambda p: F.get(p["slots"], F.col("_r")).isNotNull()))
     rounds = rounds.withColumn("_mine", mine).filter(F.size("_mine") > 0)
     whole = F.aggregate("_mine", F.lit(0).cast("long"), lambda a, p: a + p["n"]) == F.col("size")
     words = F.regexp_extract_all("text", F.lit(f"({WORD_PATTERN})"), F.lit(1))
     part = F.array_join(F.flatten(F.transform("_mine", lambda p: F.slice(words, (p["lo"] + 1).cast("int"), p["n"].cast("int")))), " ")
     rounds = rounds.withColumn("text", F.when(whole, F.col("text")).otherwise(part))
     given = {"n_chars": F.length("text").cast("long")}
-    return rounds.select(*[given.get(c, F.col(f"_rest.`{c}`") if c in others else F.col(c)).alias(c) for c in names])
+    slot = F.get(F.get("_mine", F.lit(0))["slots"], F.col("_r"))
+    rounds = rounds.select("*", slot.alias("_slot"), shard_of(slot).alias("_shard"))
+    dealt = rounds.select("doc_id", "text", "source", "_rest", "_slot", "_shard").repartition(shuffle_parts(spark), "_shard").sortWithinPartitions("_shard", "_slot", "doc_id")
+    return dealt.select(*[given.get(c, F.col(f"_rest.`{c}`") if c in others else F.col(c)).alias(c) for c in names])

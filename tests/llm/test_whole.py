@@ -2,7 +2,7 @@
 
 import random
 
-from kinelake.llm import near_dedup
+from kinelake.llm import mixing, near_dedup
 
 
 def shingle_similarity(a, b):
@@ -34,3 +34,42 @@ def test_banding_misses_few_pairs_at_the_threshold():
         bands, rows = near_dedup.banding(percent)
         assert bands * rows <= near_dedup.HASHES
         assert (1 - (percent / 100) ** rows) ** bands <= near_dedup.BAND_MISS
+
+
+def mixed_sources(spark, folder):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.randrange(999)}" for _ in range(rng.randrange(1, 200))), "abc"[i // 100], i) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").coalesce(1)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    return rows, spark.read.parquet(f"{folder}/documents.parquet")
+
+
+def test_op8_gives_shard_and_slot_of_all_taken_words(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 64)
+    rows, _ = mixed_sources(spark, tmp_path)
+    source = {r[0]: r[2] for r in rows}
+    got = mixing.op8_mix_sources(spark, str(tmp_path)).collect()
+    filled, shards = {}, {}
+    for r in got:
+        assert r.taken == sum(s.n for s in r.slots)
+        for s in r.slots:
+            assert s.shard == s.slot // 64 and 0 <= s.lo and s.lo + s.n <= r.size
+            filled[s.slot] = filled.get(s.slot, 0) + s.n
+            shards.setdefault(s.shard, {}).setdefault(source[r.doc_id], set()).add(s.slot)
+            # a slot has one source
+            assert all(s.slot not in slots for other, slots in shards[s.shard].items() if other != source[r.doc_id])
+    assert max(filled.values()) <= mixing.BLOCK_WORDS
+    # drawn counts: each shard mixes all sources, and they differ by shard
+    whole = [{k: len(v) for k, v in shards[s].items()} for s in sorted(shards)[:-1]]
+    assert len(whole) > 5 and all(set(w) == set("abc") for w in whole)
+    assert len({w["a"] for w in whole}) > 2
+
+
+def test_the_mixing_stage_interleaves_sources(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 64)
+    _, docs = mixed_sources(spark, tmp_path)
+    out = mixing.mix_documents(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    for part in out.rdd.map(lambda r: r.source).glom().collect():
+        if len(part) > 40:
+            assert sum(a != b for a, b in zip(part, part[1:])) > len(part) / 8
