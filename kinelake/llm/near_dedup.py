@@ -6,7 +6,8 @@ of percent in a hundred: PERCENT for op5, STAGE_PERCENT for the pipeline's stage
 Candidates are nodes that share a band of min-hashes, bands and rows by percent.  A candidate's signatures are
 compared in batches of BATCH hashes; after n hashes with m matches, the
 posterior of the similarity under a uniform prior is Beta(m + 1, n - m + 1) and
-the pair is dropped when P(J >= percent / 100) is too small.  Survivors are confirmed
+the pair is dropped when P(J >= percent / 100) is less than an equal share of MISS
+for each look.  Survivors are confirmed
 exactly on the full sets.
 
 Pairs are not expanded within a band's bucket at first: round 1 pairs every
@@ -44,6 +45,7 @@ HASHES = 256
 #: Most pairs at the threshold that share no band.
 BAND_MISS = 4e-5
 BATCH = 32
+#: Most pairs at the threshold that the sequential test loses, over all looks.
 MISS = 2e-4
 CHUNK = 1024
 #: Bits of the bitmap of chosen documents.
@@ -158,11 +160,12 @@ def least_matches(percent: int = PERCENT) -> list[int]:
 
     P(J >= t) under Beta(m + 1, n - m + 1) is P(Binomial(n + 1, t) <= m).
     """
+    looks = range(BATCH, HASHES + 1, BATCH)
     t = percent / 100
     out = []
-    for n in range(BATCH, HASHES + 1, BATCH):
+    for n in looks:
         total, m = 0.0, -1
-        while total < MISS:
+        while total < MISS / len(looks):
             m += 1
             total += math.comb(n + 1, m) * t**m * (1 - t) ** (n + 1 - m)
         out.append(m)

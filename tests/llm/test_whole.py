@@ -1,5 +1,6 @@
 """Cases that earlier versions of the training-data operators cut short."""
 
+import math
 import random
 
 from kinelake.llm import mixing, near_dedup
@@ -73,3 +74,16 @@ def test_the_mixing_stage_interleaves_sources(spark, tmp_path, monkeypatch):
     for part in out.rdd.map(lambda r: r.source).glom().collect():
         if len(part) > 40:
             assert sum(a != b for a, b in zip(part, part[1:])) > len(part) / 8
+
+
+def test_the_sequential_test_misses_what_it_says_over_all_looks():
+    for percent in (80, 85):
+        t, batch = percent / 100, near_dedup.BATCH
+        alive = {0: 1.0}
+        for least in near_dedup.least_matches(percent):
+            after = {}
+            for m, p in alive.items():
+                for k in range(batch + 1):
+                    after[m + k] = after.get(m + k, 0.0) + p * math.comb(batch, k) * t**k * (1 - t) ** (batch - k)
+            alive = {m: p for m, p in after.items() if m >= least}
+        assert 1 - sum(alive.values()) <= near_dedup.MISS
