@@ -3,7 +3,7 @@
 import math
 import random
 
-from kinelake.llm import mixing, near_dedup
+from kinelake.llm import langid, mixing, near_dedup
 
 
 def shingle_similarity(a, b):
@@ -87,3 +87,11 @@ def test_the_sequential_test_misses_what_it_says_over_all_looks():
                     after[m + k] = after.get(m + k, 0.0) + p * math.comb(batch, k) * t**k * (1 - t) ** (batch - k)
             alive = {m: p for m, p in after.items() if m >= least}
         assert 1 - sum(alive.values()) <= near_dedup.MISS
+
+
+def test_the_language_stage_keeps_texts_that_several_languages_share(spark):
+    rows = [(i, "uno due tre quattro cinque sei", "abc"[i % 3]) for i in range(60)] + [(60, "12 !?", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.identify(docs, langid.fit(docs.filter(langid.remainder("doc_id", 3) != 1)), ["doc_id"])
+    assert found.filter("lang_pred <> 'und' and score < 0.5").count() == 60
+    assert {r.doc_id for r in langid.keep_identified(spark, docs, "").collect()} == set(range(60))
