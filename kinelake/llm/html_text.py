@@ -12,7 +12,8 @@
 
 Boilerplate subtrees (menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles, comments of readers) are left out by tag, role, class
-and id.  Character references are decoded, white space inside a block becomes
+and id.  A name that only has a boilerplate word among its parts (has-sidebar) does
+not hide a subtree with most of the page's text.  Character references are decoded, white space inside a block becomes
 one space, blocks are joined in page order by one space.
 
 Defined results: null html counts as empty; a page without an article has an
@@ -41,6 +42,8 @@ SKIP = frozenset("nav header footer aside form script style noscript template sv
 SKIP_ROLE = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 #: Words in class and id names of boilerplate.
 SKIP_NAME = frozenset("ad ads advert adverts advertisement advertising adbox adslot banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer foot gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification popup promo promoted promotion related recommended respond share sharing sidebar side sidenav signup social sponsor sponsored subscribe subscription topbar toolbar widget widgets".split())
+#: Of these, the ones whose subtrees go in compound names too, whatever their text.
+READERS = frozenset("comment comments commentlist disqus respond".split())
 CONTAINERS = frozenset("article main section div body td blockquote center".split())
 #: Elements whose start ends an open paragraph.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -55,17 +58,18 @@ _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
 class Node:
-    __slots__ = ("tag", "path", "skip", "link", "score", "parts")
+    __slots__ = ("tag", "path", "skip", "link", "score", "parts", "doubt")
 
     def __init__(self, tag: str, path: str, skip: bool, link: bool):
         self.tag, self.path, self.skip, self.link = tag, path, skip, link
         self.score = 0.0
         self.parts: list[int] = []  # first and last + 1 index into the page's pieces
+        self.doubt = 0  # number of the tag whose compound name alone hides this node
 
 
-def _opened(tag: str, attributes: str, parent: Node) -> Node:
-    skip = parent.skip or tag in SKIP
-    name = ""
+def _opened(tag: str, attributes: str, parent: Node, number: int, shown: frozenset[int]) -> Node:
+    skip = (parent.skip and not parent.doubt) or tag in SKIP
+    name, doubt = "", parent.doubt
     if attributes and not skip:
         for key, a, b, c in _ATTR.findall(attributes):
             value = a or b or c
@@ -75,18 +79,38 @@ def _opened(tag: str, attributes: str, parent: Node) -> Node:
             elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and "display:none" in value.replace(" ", "").lower()):
                 skip = True
             elif key in ("class", "id"):
-                if tag not in ("body", "html", "article", "main") and any(w.lower() in SKIP_NAME for w in _NAME.findall(value)):
-                    skip = True
+                if tag not in ("body", "html", "article", "main"):
+                    words = {w.lower() for w in _NAME.findall(value)} & SKIP_NAME
+                    if words & READERS or any(w in SKIP_NAME for w in value.lower().split()):
+                        skip = True
+                    elif words and not doubt and number not in shown:
+                        doubt = number
                 if not name and value:
                     name = _GENERAL.sub("", value.split()[0]) if value.split() else ""
     path = f"{parent.path}>{tag}.{name}" if name else f"{parent.path}>{tag}"
-    return Node(tag, path, skip, parent.link or tag == "a")
+    node = Node(tag, path, skip or doubt > 0, parent.link or tag == "a")
+    node.doubt = 0 if skip else doubt
+    return node
 
 
 class Page:
-    """One pass over the html: pieces of content in page order, and containers."""
+    """Pieces of content in page order, and containers.
+
+    One pass over the html, and one more for each compound name that hides most text.
+    """
 
     def __init__(self, html: str):
+        shown: frozenset[int] = frozenset()
+        while True:
+            self._parse(html, shown)
+            tag = max(self.hidden, key=self.hidden.get, default=0)
+            if not tag or 2 * self.hidden[tag] <= self.plain + sum(self.hidden.values()):
+                return
+            shown |= {tag}
+
+    def _parse(self, html: str, shown: frozenset[int]) -> None:
+        #: characters outside links: in view, and by the tag whose compound name hides them
+        self.plain, self.hidden = 0, {}
         #: text pieces; None is a border between blocks
         self.pieces: list[str | None] = []
         self.containers: list[Node] = []
@@ -119,7 +143,7 @@ class Page:
                 self._implied(stack, ("td", "th") if tag != "tr" else ("td", "th", "tr"), ("table",))
             elif tag in ("dt", "dd"):
                 self._implied(stack, ("dt", "dd"), ("dl",))
-            node = _opened(tag, m.group(3), stack[-1])
+            node = _opened(tag, m.group(3), stack[-1], m.start() + 1, shown)
             if tag not in INLINE:
                 self.pieces.append(None)
             if m.group(3).endswith("/") and tag not in INLINE | CONTAINERS | {"p", "li", "ul", "ol", "table"}:
@@ -142,6 +166,8 @@ class Page:
 
     def _text(self, text: str, stack: list[Node]) -> None:
         node = stack[-1]
+        if node.doubt and not node.link and node.tag not in RAW:
+            self.hidden[node.doubt] = self.hidden.get(node.doubt, 0) + len(text.strip())
         if node.skip or node.tag in RAW:
             return
         if "&" in text:
@@ -151,6 +177,7 @@ class Page:
         if not size:
             return
         weight = -0.5 * size if node.link else size
+        self.plain += 0 if node.link else size
         # text counts for the nearest container; half of it for the next one up
         share = 1.0
         for up in reversed(stack):

@@ -3,7 +3,9 @@
 import math
 import random
 
-from kinelake.llm import langid, mixing, near_dedup
+import pytest
+
+from kinelake.llm import html_text, langid, mixing, near_dedup
 
 
 def shingle_similarity(a, b):
@@ -95,3 +97,17 @@ def test_the_language_stage_keeps_texts_that_several_languages_share(spark):
     found = langid.identify(docs, langid.fit(docs.filter(langid.remainder("doc_id", 3) != 1)), ["doc_id"])
     assert found.filter("lang_pred <> 'und' and score < 0.5").count() == 60
     assert {r.doc_id for r in langid.keep_identified(spark, docs, "").collect()} == set(range(60))
+
+
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "has-sidebar", "no-sidebar x", "elementor-widget-container"])
+def test_a_compound_name_does_not_hide_the_article(name):
+    article = "<p>" + "The article goes on. " * 20 + "</p>"
+    page = html_text.Page(f"<body><div class='{name}'><div class='entry'>{article}</div><div class='sidebar'>Links</div><div class='widget-area'>More</div></div><p>Imprint</p></body>")
+    assert page.text([page.best()]) == ("The article goes on. " * 20).strip()
+
+
+@pytest.mark.parametrize("name", ["sidebar", "comments", "comment-list", "site-nav"])
+def test_boilerplate_names_still_hide(name):
+    long = "Readers say much more. " * (20 if name != "site-nav" else 1)
+    page = html_text.Page(f"<body><article><p>Short article, but the article.</p><div class='{name}'><p>{long}</p></div></article></body>")
+    assert page.text([page.best()]) == "Short article, but the article."
