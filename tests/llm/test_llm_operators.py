@@ -372,14 +372,90 @@ def test_toxicity_query(spark, tables, docs):
     assert got.score.between(0, 1).all() and (got.predicted == (got.score >= 0.3)).all()
 
 
-def test_kernel_decision_is_the_inner_product():
-    words = [b"idiot", b"id.iot", b"house", b"a"]
+def kernel_map(window):
+    """phi of a window, subsequence by subsequence."""
+    out = collections.Counter()
+    for i in range(len(window)):
+        for j in range(i + 1, len(window)):
+            for k in range(j + 1, min(len(window), i + toxicity.SPAN)):
+                out[window[i], window[j], window[k]] += toxicity.DECAY ** (k - i + 1)
+    return out
+
+
+def test_kernel_decisions_against_brute_force():
+    texts = ["I.d i-o t lives here, in the Big house. So what?", "a", "", "Überraschung: 1d10t\nnext line of it is long enough", "жизнь хороша и долга, нет?"]
+    raw = [t.encode() for t in texts]
+    read = toxicity.Sentences(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    letters = {k: 96 for k in range(1, 27)}
+    first = "".join(chr(x + letters[x]) if 0 < x < 27 else "|" for x in read.symbols[: read.end[0]])
+    assert first == "idiotliveshereinthebighouse"
+    assert "idiot" in "".join(chr(x + 96) if 0 < x < 27 else "|" for x in read.symbols)
     v = np.random.default_rng(0).normal(size=toxicity.SYMBOLS**3)
-    data = np.frombuffer(b"".join(words), np.uint8)
-    ends = np.cumsum([len(w) for w in words])
-    starts = ends - [len(w) for w in words]
-    got = toxicity.decisions(data, starts, ends, toxicity.weight_tables(v), 0.25)
-    assert got == pytest.approx(toxicity.embed(words) @ v + 0.25, abs=1e-4)
+    sums = toxicity.by_span(read.symbols, toxicity.weight_tables(v))
+    for width in toxicity.WINDOWS:
+        begin, size, text = read.windows(width)
+        assert set(text) == {0, 1, 3, 4}
+        got = toxicity.decisions(sums, begin, size, 0.25)
+        for b, n, value in zip(begin, size, got):
+            window = read.symbols[b : b + n].tolist()
+            assert 0 not in window
+            g = math.sqrt(max(sum((j - 1) * max(n - j, 0) * toxicity.DECAY ** (2 * (j + 1)) for j in range(2, toxicity.SPAN)), toxicity.DECAY**6))
+            want = sum(x * v[(p << 12) | (q << 6) | r] for (p, q, r), x in kernel_map(window).items()) / g + 0.25
+            assert value == pytest.approx(want, abs=1e-3)
+
+
+def test_nystroem_features_are_kernel_values():
+    rng = np.random.default_rng(1)
+    windows = rng.integers(1, 27, (12, 14)).astype(np.int32)
+    windows[3, 9:] = 0
+    maps = toxicity.Nystroem(windows)
+    x = maps.features(windows)
+
+    def scaled(w):
+        w = [c for c in w.tolist() if c]
+        g = math.sqrt(sum((j - 1) * max(len(w) - j, 0) * toxicity.DECAY ** (2 * (j + 1)) for j in range(2, toxicity.SPAN)))
+        return {k: x / g for k, x in kernel_map(w).items()}
+
+    maps_of = [scaled(w) for w in windows]
+    kernel = [[sum(x * b.get(k, 0) for k, x in a.items()) for b in maps_of] for a in maps_of]
+    assert x @ x.T == pytest.approx(np.array(kernel), abs=1e-3)
+
+
+def test_long_texts_are_scored_in_pieces_as_a_whole(monkeypatch):
+    rng = random.Random(8)
+    lines = [" ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(9)) for _ in range(60)]
+    texts = ["\n".join(lines), "short", "no line ends " * 90, ""]
+    raw = [t.encode() for t in texts]
+    data, at = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    model = toxicity.SentenceKernelModel([], [])
+    model.v, model.link = np.random.default_rng(0).normal(size=toxicity.SYMBOLS**3), np.array([0.5, 0.5, 0.0, -0.1])
+    want = model.score(data, at)
+    monkeypatch.setattr(toxicity, "BLOCK", 700)
+    monkeypatch.setattr(toxicity, "OVERLAP", 64)
+    assert model.score(data, at) == pytest.approx(want)
+
+
+def test_altered_insults_are_caught_when_only_plain_ones_were_seen():
+    rng = random.Random(6)
+    syllables = "ka lo mi ren tas vo pel dri sun ga".split()
+    insults = ["worthless", "idiot", "disgusting", "moron"]
+
+    def text(toxic, change=lambda w: w):
+        w = ["".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4))) for _ in range(80)]
+        for _ in range(2 if toxic else 0):
+            w.insert(rng.randrange(80), change(rng.choice(insults)))
+        return " ".join(w) + "."
+
+    train = [(text(i % 3 == 0), int(i % 3 == 0)) for i in range(450)]
+    model = toxicity.SentenceKernelModel([t for t, _ in train], [y for _, y in train])
+
+    def share(change, toxic):
+        raw = [text(toxic, change).encode() for _ in range(60)]
+        return (model.score(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])) >= 0.3).mean()
+
+    assert share(str, False) <= 0.1
+    for change in (str, " ".join, ".".join, str.upper, lambda w: w[:2] + " " + w[2:], lambda w: w[:3] + "x" + w[3:], lambda w: w.replace("o", "0").replace("i", "1")):
+        assert share(change, True) >= 0.9
 
 
 def test_token_files(spark, tables, docs):
