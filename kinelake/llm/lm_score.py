@@ -5,107 +5,226 @@ probability mixes maximum-likelihood estimates of three orders:
 
     P(w | h) = l2[b] * c(h, w) / c(h) + l1[b] * c(w) / N + l0[b] / (V + 1)
 
-h is the class of the token before (one of CLASSES hash classes of words, or
-the start of a text), b the bucket of c(h), its logarithm, N the training
-tokens and V their vocabulary.  The weights of each bucket are learned by
-expectation-maximisation: the counts come from seven eighths of the training
-documents and the weights maximise the likelihood of the counts of the held-out
-eighth; the final counts are those of all training documents.
-
-Counts cover the whole corpus and live where the words are: a block of documents
-sends each different word once, with the contexts and documents that hold it, to
-the word's partition, which so knows c(w) and c(h, w) and returns each
-document's share of the sums.  Only the counts of the CLASSES contexts are
-broadcast, a table of fixed size.
+h is the token before (or the start of the text), b the bucket of c(h), its
+logarithm, N the training tokens and V their vocabulary.  The weights of each
+bucket are learned by expectation-maximisation: the counts come from seven
+eighths of the training documents and the weights maximise the likelihood of the
+counts of the held-out eighth; the final counts are those of all training
+documents.
+
+Counts cover the whole corpus and are keyed by 64-bit hashes of words and word
+pairs, so no table of them is ever broadcast.  Documents are written once as
+blocks.  A block sends each of its different words and pairs once, with its count
+in the block, to the hash range's partition, which adds up the counts of all
+blocks and answers each block in the order of its keys; a word as common as may
+be so has one entry per block.  c(h) is the count of the word before, which the
+block knows too.
 
 Defined results: null text is empty and has one token, the end; repeated rows
 are scored (and count) each; without training documents every count is 0 and
-tokens are uniform.  Only doc_id and text are read.
+tokens are uniform.  Only doc_id and text are read.  A block holds one text at
+least, so a worker's memory follows the longest text.
 """
 
 from __future__ import annotations
 
-import gc
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import SpanHash, ascii_lower, rows_of, shuffle_parts, small_batches, table, utf8, word_spans
+from ._common import SpanHash, ascii_lower, mix64, rows_of, shuffle_parts, table, utf8, word_spans, written
 from .langid import remainder
 
-CLASS_BITS = 20
-CLASSES = 1 << CLASS_BITS
-#: Hash of the end token, and class of the start of a text.
+#: Hashes of the end token and of the start of a text.
 END_HASH = np.uint64(0x656E64206F662074)
-START_CLASS = 0
-#: Text bytes and rows of a block.
+START_HASH = np.uint64(0x7374617274206F66)
+#: Text bytes of a block.
 BLOCK = 4 << 20
-ROW_BITS = 10
 HELD_PARTS = 8
 #: Steps of the held-out histogram in an octave.
-STEPS = 4
+STEPS = 2
 BUCKETS = 64
+_ONE = np.uint64(1)
 
 
-def tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, class of the token before and text of every token of a block."""
-    data, at = utf8(batch.column("text"))
-    data = ascii_lower(data)
+def word_keys(words: np.ndarray) -> np.ndarray:
+    """Keys of single tokens are even, those of pairs odd."""
+    return mix64(words) & ~_ONE
+
+
+def pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mix64(mix64(before + np.uint64(0x2545F4914F6CDD1D)) ^ words * np.uint64(0x9E3779B97F4A7C15)) | _ONE
+
+
+START_KEY = word_keys(np.array([START_HASH]))[0]
+
+
+def tokens(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of every token and of the token before, and its text."""
+    data = ascii_lower(text)
     starts, ends, first = word_spans(data, at)
     n_text = len(at) - 1
     words = SpanHash(data).of(starts, ends) if len(starts) else np.zeros(0, np.uint64)
     words = np.insert(words, first[1:], END_HASH)
     owner = np.repeat(np.arange(n_text, dtype=np.int64), np.diff(first) + 1)
-    kind = (words >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
-    before = np.r_[START_CLASS, kind[:-1]]
-    before[np.r_[0, first[1:-1] + np.arange(1, n_text)]] = START_CLASS
+    before = np.r_[START_HASH, words[:-1]]
+    before[first[:-1] + np.arange(n_text)] = START_HASH
     return words, before, owner
 
 
-def _dealt(words: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
-    """(partition, indexes) of words, for the partitions that get any."""
-    part = (words % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    edge = np.searchsorted(part[order], np.arange(parts + 1))
-    return [(p, order[edge[p] : edge[p + 1]]) for p in range(parts) if edge[p + 1] > edge[p]]
+class Block:
+    """A block's tokens, and its different keys in ascending order."""
 
+    def __init__(self, text: bytes, lengths: np.ndarray):
+        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(text), np.uint8)
+        words, before, self.owner = tokens(raw, np.r_[0, np.cumsum(lengths)])
+        n = len(words)
+        # one start for each text, so that its count is a context's
+        all_ = np.concatenate([word_keys(words), pair_keys(before, words), np.full(len(lengths), START_KEY)])
+        self.keys, where = np.unique(all_, return_inverse=True)
+        self.word, self.pair = where[:n], where[n : 2 * n]
+        self.start = where[2 * n :]
+        self.context = np.r_[0, self.word[:-1]]
+        opens = np.flatnonzero(np.r_[True, self.owner[1:] != self.owner[:-1]])
+        self.context[opens] = self.start[:1]
 
-def _narrow(kinds: np.ndarray) -> bytes:
-    """Classes as a column of low halves and one of the rest: less to move."""
-    return (kinds & 0xFFFF).astype(np.uint16).tobytes() + (kinds >> 16).astype(np.uint8).tobytes()
+    def counts(self, train: np.ndarray) -> np.ndarray:
+        """Count of each key in the block's training texts."""
+        mine = train[self.owner]
+        out = np.bincount(self.word[mine], minlength=len(self.keys)) + np.bincount(self.pair[mine], minlength=len(self.keys))
+        return out + np.bincount(self.start[train], minlength=len(self.keys))
 
 
-def _wide(raw: bytes) -> np.ndarray:
-    n = len(raw) // 3
-    return np.frombuffer(raw, np.uint16, n).astype(np.int64) | np.frombuffer(raw, np.uint8, n, 2 * n).astype(np.int64) << 16
+def packed(values: np.ndarray) -> bytes:
+    """Unsigned integers byte plane by byte plane, compressed."""
+    values = np.ascontiguousarray(values.astype("<u8"))
+    wide = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    planes = values.view(np.uint8).reshape(-1, 8)[:, :wide].T
+    return bytes([wide]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
-def _joined(rows: pa.Table, column: str, kind) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x, kind) for x in rows.column(column).to_pylist()])
+def unpacked(raw: bytes) -> np.ndarray:
+    wide = raw[0]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8).reshape(wide, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :wide] = planes.T
+    return out.view("<u8").ravel()
 
 
-def context_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of context classes in docs (text, held) not held out, and held out.
+def steps_of(keys: np.ndarray) -> np.ndarray:
+    return np.diff(keys, prepend=np.uint64(0))
 
-    2 * CLASSES numbers at most reach the driver.
-    """
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """Blocks of docs (doc_id, text, train, held); held-out documents have blocks of their own."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches, BLOCK, "text"):
-            _, before, owner = tokens(batch)
-            held = batch.column("held").to_numpy(zero_copy_only=False).astype(bool)
-            code, n = np.unique(before + CLASSES * held[owner], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], names=["code", "n"])
+        number = TaskContext.get().partitionId() << 32
+        waiting: dict[bool, list] = {False: [], True: []}
+        size = {False: 0, True: 0}
+
+        def block(held: bool) -> pa.RecordBatch:
+            nonlocal number
+            rows = pa.Table.from_batches(waiting[held])
+            text, at = utf8(rows.column("text"))
+            waiting[held], size[held] = [], 0
+            number += 1
+            lists = {"ids": pa.list_(pa.int64()), "train": pa.list_(pa.bool_()), "lengths": pa.list_(pa.int64())}
+            values = [rows.column("doc_id").to_pylist(), rows.column("train").to_pylist(), np.diff(at)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([number]), pa.array([held]), *[pa.array([v], t) for v, t in zip(values, lists.values(), strict=True)], pa.array([zstandard.ZstdCompressor(level=3).compress(text.tobytes())], pa.binary())],
+                names=["block", "held", *lists, "text"],
+            )
+
+        for batch in batches:
+            is_held = batch.column("held").to_numpy(zero_copy_only=False).astype(bool)
+            for held in (False, True):
+                part = batch.filter(pa.array(is_held == held))
+                for piece in rows_of([part], BLOCK, "text"):
+                    length = int(utf8(piece.column("text"))[1][-1])
+                    if waiting[held] and size[held] + length > BLOCK:
+                        yield block(held)
+                    waiting[held].append(piece)
+                    size[held] += length
+        for held in (False, True):
+            if waiting[held]:
+                yield block(held)
+
+    return docs.mapInArrow(work, "block long, held boolean, ids array<bigint>, train array<boolean>, lengths array<bigint>, text binary")
+
+
+def _opened(rows: pa.RecordBatch | pa.Table, i: int) -> tuple[Block, np.ndarray, np.ndarray]:
+    lengths = rows.column("lengths")[i].values.to_numpy()
+    train = rows.column("train")[i].values.to_numpy(zero_copy_only=False).astype(bool)
+    return Block(rows.column("text")[i].as_py(), lengths), train, lengths
+
+
+def corpus_counts(texts: DataFrame, parts: int) -> DataFrame:
+    """Answers to the blocks: block, p, and the counts of the block's keys in range p.
+
+    A range's own row has no block and holds the vocabulary and the tokens (main and
+    held-out) of the words in it.
+    """
+    edge = np.array([(p << 64) // parts for p in range(parts)] + [(1 << 64) - 1], np.uint64)
 
-    got = docs.mapInArrow(work, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(2 * CLASSES, np.int64)
-    out[got.column("code").to_numpy()] = got.column("n").to_numpy()
-    return out[:CLASSES], out[CLASSES:]
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, train, _ = _opened(batch, i)
+                n = block.counts(train)
+                at = np.searchsorted(block.keys, edge[:-1])
+                cuts = [(p, a, b) for p, (a, b) in enumerate(zip(at, [*at[1:], len(block.keys)], strict=True)) if b > a]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([p for p, _, _ in cuts], pa.int32()),
+                        pa.array([batch.column("block")[i].as_py()] * len(cuts), pa.int64()),
+                        pa.array([batch.column("held")[i].as_py()] * len(cuts), pa.bool_()),
+                        pa.array([packed(steps_of(block.keys[a:b])) for _, a, b in cuts], pa.binary()),
+                        pa.array([packed(n[a:b]) for _, a, b in cuts], pa.binary()),
+                    ],
+                    names=["p", "block", "held", "keys", "n"],
+                )
+
+    def count(rows: pa.Table) -> pa.Table:
+        keys = [np.cumsum(unpacked(k), dtype=np.uint64) for k in rows.column("keys").to_pylist()]
+        n = np.concatenate([unpacked(k) for k in rows.column("n").to_pylist()]).astype(np.int64)
+        held = rows.column("held").to_pylist()
+        size = [len(k) for k in keys]
+        unique, at = np.unique(np.concatenate(keys), return_inverse=True)
+        del keys
+        out = np.repeat(np.array(held, bool), size)
+        main = np.bincount(at, np.where(out, 0, n), len(unique)).astype(np.int64)
+        all_ = main + np.bincount(at, np.where(out, n, 0), len(unique)).astype(np.int64)
+        words = ((unique & _ONE) == 0) & (unique != START_KEY)
+        totals = np.array([(all_[words] > 0).sum(), main[words].sum(), (all_ - main)[words].sum()])
+        answers, ends = [], np.cumsum(size)
+        for is_held, a, b in zip(held, ends - size, ends, strict=True):
+            answers.append((packed(all_[at[a:b]]), packed(main[at[a:b]]) if is_held else None))
+        p = rows.column("p")[0].as_py()
+        return pa.table(
+            {
+                "block": pa.array([*rows.column("block").to_pylist(), None], pa.int64()),
+                "p": pa.array([p] * (len(size) + 1), pa.int32()),
+                "n": pa.array([*[x for x, _ in answers], packed(totals)], pa.binary()),
+                "main": pa.array([*[x for _, x in answers], None], pa.binary()),
+                "held": pa.array([*held, None], pa.bool_()),
+            }
+        )
+
+    sent = texts.mapInArrow(send, "p int, block long, held boolean, keys binary, n binary")
+    return sent.groupBy("p").applyInArrow(count, "block long, p int, n binary, main binary, held boolean")
+
+
+def answered(answers: pa.Table, column: str) -> np.ndarray:
+    """Counts of a block's keys: its answers by range, in order."""
+    order = np.argsort(answers.column("p").to_numpy())
+    raw = answers.column(column).to_pylist()
+    return np.concatenate([unpacked(raw[i]) for i in order]).astype(np.int64)
 
 
 def bucket_of(count: np.ndarray) -> np.ndarray:
@@ -129,138 +248,56 @@ def learn_weights(bucket: np.ndarray, r2: np.ndarray, r1: np.ndarray, r0: float,
     return weights
 
 
-def fit_weights(docs: DataFrame, contexts: np.ndarray, n_main: int, parts: int) -> tuple[np.ndarray, int]:
-    """Weights of the buckets, and the vocabulary of docs (training rows: text, held).
+def fit_weights(texts: DataFrame, answers: DataFrame, n_main: int, vocabulary: int) -> np.ndarray:
+    """Weights of the buckets, from the held-out blocks and the main counts.
 
     A histogram of the held-out tokens by bucket and by logarithms of both
-    ratios, in STEPS to the octave, reaches the driver.
+    ratios, in STEPS to the octave, reaches the driver: a table of bounded size.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(contexts)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches, BLOCK, "text"):
-            hashes, before, owner = tokens(batch)
-            held = batch.column("held").to_numpy(zero_copy_only=False).astype(bool)[owner]
-            words, which = np.unique(hashes, return_inverse=True)
-            pair, n = np.unique((which << (CLASS_BITS + 1)) | (before << 1) | held, return_counts=True)
-            of = pair >> (CLASS_BITS + 1)
-            edge = np.searchsorted(of, np.arange(len(words) + 1))
-            rows: dict[str, list] = {c: [] for c in ("p", "words", "df", "kinds", "held", "n")}
-            for p, mine in _dealt(words, parts):
-                df = edge[mine + 1] - edge[mine]
-                at = np.repeat(edge[mine] - (np.cumsum(df) - df), df) + np.arange(int(df.sum()))
-                for c, x in (("p", p), ("words", words[mine].tobytes()), ("df", df.astype(np.uint32).tobytes()), ("kinds", _narrow(pair[at] >> 1 & (CLASSES - 1))), ("held", np.packbits((pair[at] & 1).astype(bool)).tobytes()), ("n", n[at].astype(np.uint32).tobytes())):
-                    rows[c].append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(rows["p"], pa.int32()), *[pa.array(rows[c], pa.binary()) for c in list(rows)[1:]]], names=list(rows))
-
-    def count(rows: pa.Table) -> pa.Table:
-        words, df, n = _joined(rows, "words", np.uint64), _joined(rows, "df", np.uint32), _joined(rows, "n", np.uint32)
-        raw = rows.column("kinds").to_pylist()
-        kinds = np.concatenate([_wide(x) for x in raw])
-        held = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=len(k) // 3) for b, k in zip(rows.column("held").to_pylist(), raw, strict=True)]).astype(bool)
-        unique, of = np.unique(words, return_inverse=True)
-        entry = np.repeat(of, df)
-        c1 = np.bincount(entry, np.where(held, 0, n), len(unique))
-        pair, at = np.unique((entry << CLASS_BITS) | kinds, return_inverse=True)
-        c2, out = np.bincount(at, np.where(held, 0, n), len(pair)), np.bincount(at, np.where(held, n, 0), len(pair))
-        on = out > 0
-        c2, out, kind, c1 = c2[on], out[on], pair[on] & (CLASSES - 1), c1[pair[on] >> CLASS_BITS]
-        total = shared.value[kind]
-        step = lambda x: np.where(x > 0, np.floor(STEPS * np.log2(np.maximum(x, 1e-12))).astype(np.int64) + 512, 0)
-        code = (bucket_of(total) << 20) | (step(c2 / np.maximum(total, 1)) << 10) | step(c1 / max(n_main, 1))
-        code, at = np.unique(code, return_inverse=True)
-        times = np.bincount(at, out, len(code)) if len(code) else np.zeros(0)
-        return pa.table({"code": pa.array([*code.tolist(), -1], pa.int64()), "n": pa.array(np.r_[times, len(unique)].astype(np.int64))})
-
-    sent = docs.mapInArrow(send, "p int, words binary, df binary, kinds binary, held binary, n binary")
-    got = sent.groupBy("p").applyInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    def bins(_key, left: pa.Table, right: pa.Table) -> pa.Table:
+        codes = []
+        for i in range(left.num_rows):
+            block, _, _ = _opened(left, i)
+            main = answered(right, "main")
+            c1, c2, total = main[block.word], main[block.pair], main[block.context]
+            step = lambda x: np.where(x > 0, np.floor(STEPS * np.log2(np.maximum(x, 1e-12))).astype(np.int64) + 512, 0)
+            codes.append((bucket_of(total) << 20) | (step(c2 / np.maximum(total, 1)) << 10) | step(c1 / max(n_main, 1)))
+        code, n = np.unique(np.concatenate(codes), return_counts=True) if codes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return pa.table({"code": pa.array(code, pa.int64()), "n": pa.array(n, pa.int64())})
+
+    got = texts.filter("held").groupBy("block").cogroup(answers.filter("held").groupBy("block")).applyInArrow(bins, "code long, n long")
+    got = got.groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     code, n = got.column("code").to_numpy(), got.column("n").to_numpy()
-    vocabulary = int(n[code < 0].sum())
-    code, n = code[code >= 0], n[code >= 0]
     ratio = lambda s: np.where(s > 0, np.exp2((s - 512 + 0.5) / STEPS), 0.0)
-    weights = learn_weights(code >> 20, ratio(code >> 10 & 1023), ratio(code & 1023), 1 / (vocabulary + 1), n.astype(float))
-    return weights, vocabulary
+    return learn_weights(code >> 20, ratio(code >> 10 & 1023), ratio(code & 1023), 1 / (vocabulary + 1), n.astype(float))
 
 
-_SENT = ("words", "df", "kinds", "docs", "tf", "train", "ids")
-_BACK = ("docs", "tokens", "known", "base", "score", "ids")
+def probabilities(c2: np.ndarray, c1: np.ndarray, total: np.ndarray, weights: np.ndarray, n: int, vocabulary: int) -> np.ndarray:
+    w = weights[bucket_of(total)]
+    return w[:, 2] * c2 / np.maximum(total, 1) + w[:, 1] * c1 / max(n, 1) + w[:, 0] / (vocabulary + 1)
 
 
-def word_shares(docs: DataFrame, contexts: np.ndarray, weights: np.ndarray, n_tokens: int, vocabulary: int, parts: int) -> DataFrame:
-    """doc_id, train, tokens, known, base and score of every row of docs.
+def block_scores(texts: DataFrame, answers: DataFrame, weights: np.ndarray, n: int, vocabulary: int) -> DataFrame:
+    """doc_id, train, n_tokens, n_known, base_score and score of every document."""
 
-    docs has doc_id, text and train (boolean).  tokens counts a document's
-    tokens, known those seen in training; base and score are the sums over its
-    tokens of log10(c + 0.5) and of log10 P(w | h).  A partition of words returns
-    one row per block; the rows of a block are added up together.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(contexts)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
-        for batch in rows_of(batches, BLOCK, "text"):
-            hashes, before, owner = tokens(batch)
-            words, which = np.unique(hashes, return_inverse=True)
-            triple, tf = np.unique((which << (CLASS_BITS + ROW_BITS)) | (before << ROW_BITS) | owner, return_counts=True)
-            of, owner = triple >> (CLASS_BITS + ROW_BITS), triple & ((1 << ROW_BITS) - 1)
-            kinds = triple >> ROW_BITS & (CLASSES - 1)
-            edge = np.searchsorted(of, np.arange(len(words) + 1))
-            train = np.packbits(batch.column("train").to_numpy(zero_copy_only=False).astype(bool)).tobytes()
-            ids = batch.column("doc_id")
-            # the ids go with one of the rows
-            known = np.packbits(ids.is_valid().to_numpy(zero_copy_only=False)).tobytes()
-            ids = np.int64(batch.num_rows).tobytes() + ids.fill_null(0).to_numpy().tobytes() + known
-            rows: dict[str, list] = {c: [] for c in ("p", "block", *_SENT)}
-            for p, mine in _dealt(words, parts):
-                df = edge[mine + 1] - edge[mine]
-                at = np.repeat(edge[mine] - (np.cumsum(df) - df), df) + np.arange(int(df.sum()))
-                for c, x in (("p", p), ("block", block), ("words", words[mine].tobytes()), ("df", df.astype(np.uint32).tobytes()), ("kinds", _narrow(kinds[at])), ("docs", owner[at].astype(np.uint16).tobytes()), ("tf", tf[at].astype(np.uint32).tobytes()), ("train", train), ("ids", ids)):
-                    rows[c].append(x)
-                ids = b""
-            block += 1
-            yield pa.RecordBatch.from_arrays([pa.array(rows["p"], pa.int32()), pa.array(rows["block"], pa.int64()), *[pa.array(rows[c], pa.binary()) for c in _SENT]], names=list(rows))
+    def work(_key, left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for i in range(left.num_rows):
+            block, train, lengths = _opened(left, i)
+            all_ = answered(right, "n")
+            c1 = all_[block.word]
+            logp = np.log10(probabilities(all_[block.pair], c1, all_[block.context], weights, n, vocabulary))
+            base = np.log10((c1 + 0.5) / (n + 0.5 * (vocabulary + 1)))
+            sums = [np.bincount(block.owner, x, len(lengths)) for x in (np.ones(len(c1)), c1 > 0, base, logp)]
+            ids = left.column("ids")[i].values
+            out.append(pa.table({"doc_id": ids, "train": pa.array(train), "n_tokens": sums[0].astype(np.int64), "n_known": sums[1].astype(np.int64), "base_score": sums[2], "score": sums[3]}))
+        names = ["doc_id", "train", "n_tokens", "n_known", "base_score", "score"]
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        return pa.concat_tables(out) if out else pa.schema(list(zip(names, kinds, strict=True))).empty_table()
 
-    def count(rows: pa.Table) -> pa.Table:
-        words, df, tf = _joined(rows, "words", np.uint64), _joined(rows, "df", np.uint32), _joined(rows, "tf", np.uint32)
-        kinds = np.concatenate([_wide(x) for x in rows.column("kinds").to_pylist()])
-        docs_ = [np.frombuffer(x, np.uint16).astype(np.int64) for x in rows.column("docs").to_pylist()]
-        width = 1 << ROW_BITS
-        doc = np.concatenate([x + i * width for i, x in enumerate(docs_)])
-        train = np.zeros(len(docs_) * width, bool)
-        for i, x in enumerate(rows.column("train").to_pylist()):
-            flags = np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool)[:width]
-            train[i * width : i * width + len(flags)] = flags
-        learned = np.where(train[doc], tf, 0)
-        unique, of = np.unique(words, return_inverse=True)
-        entry = np.repeat(of, df)
-        c1 = np.bincount(entry, learned, len(unique))
-        pair, at = np.unique((entry << CLASS_BITS) | kinds, return_inverse=True)
-        c2 = np.bincount(at, learned, len(pair))
-        total, c1_pair = shared.value[pair & (CLASSES - 1)], c1[pair >> CLASS_BITS]
-        w = weights[bucket_of(total)]
-        logp = np.log10(w[:, 2] * c2 / np.maximum(total, 1) + w[:, 1] * c1_pair / max(n_tokens, 1) + w[:, 0] / (vocabulary + 1))[at]
-        known, base = c1[entry] > 0, np.log10(c1 + 0.5)[entry]
-        sums = [np.bincount(doc, x, len(train)).reshape(-1, width) for x in (tf, np.where(known, tf, 0), tf * base, tf * logp)]
-        out: dict[str, list] = {c: [] for c in _BACK}
-        for i in range(len(docs_)):
-            here = np.flatnonzero(sums[0][i])
-            for c, x in (("docs", here.astype(np.uint16)), ("tokens", sums[0][i][here].astype(np.uint32)), ("known", sums[1][i][here].astype(np.uint32)), ("base", sums[2][i][here]), ("score", sums[3][i][here])):
-                out[c].append(x.tobytes())
-        out["ids"] = rows.column("ids").to_pylist()
-        return pa.table({"block": rows.column("block"), **{c: pa.array(out[c], pa.binary()) for c in _BACK}})
-
-    def merge(rows: pa.Table) -> pa.Table:
-        raw = next(x for x in rows.column("ids").to_pylist() if x)
-        n = int(np.frombuffer(raw, np.int64, 1)[0])
-        ids = np.frombuffer(raw, np.int64, n, 8)
-        valid = np.unpackbits(np.frombuffer(raw, np.uint8, -1, 8 + 8 * n), count=n).astype(bool)
-        at = _joined(rows, "docs", np.uint16).astype(np.int64)
-        sums = {c: np.bincount(at, _joined(rows, c, t), n) for c, t in (("tokens", np.uint32), ("known", np.uint32), ("base", np.float64), ("score", np.float64))}
-        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=~valid), "tokens": sums["tokens"].astype(np.int64), "known": sums["known"].astype(np.int64), "base": sums["base"], "score": sums["score"]})
-
-    sent = docs.select("doc_id", "text", "train").mapInArrow(send, "p int, block long, " + ", ".join(f"{c} binary" for c in _SENT))
-    back = sent.groupBy("p").applyInArrow(count, "block long, " + ", ".join(f"{c} binary" for c in _BACK))
-    return back.groupBy("block").applyInArrow(merge, "doc_id long, tokens long, known long, base double, score double")
+    ours = answers.filter("block IS NOT NULL").select("block", "p", "n")
+    return texts.groupBy("block").cogroup(ours.groupBy("block")).applyInArrow(work, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
 
 
 def score(docs: DataFrame, train) -> DataFrame:
@@ -268,21 +305,20 @@ def score(docs: DataFrame, train) -> DataFrame:
 
     train: a boolean expression of doc_id that marks the training documents.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    # two groups of words for each task: a group is what a worker holds
-    parts = 2 * shuffle_parts(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), train.alias("train"))
-    learned = rows.filter("train").select("text", (F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(HELD_PARTS)) == 0).alias("held"))
-    main, held = context_counts(learned)
-    weights, vocabulary = fit_weights(learned, main, int(main.sum()), parts)
-    # lets Spark drop the finished shuffle's files before the next one
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    n = int(main.sum() + held.sum())
-    each = word_shares(rows, main + held, weights, n, vocabulary, parts)
-    base = F.col("base") - F.col("tokens") * math.log10(n + 0.5 * (vocabulary + 1))
-    return each.select("doc_id", (~train).alias("held_out"), F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    # two hash ranges for each task: a range is what a worker holds
+    parts = 2 * shuffle_parts(docs.sparkSession)
+    held = train & (F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(HELD_PARTS)) == 0)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = written(blocks(rows.select("doc_id", "text", train.alias("train"), held.alias("held"))), "blocks")
+    answers = written(corpus_counts(texts, parts), "answers")
+    totals = [unpacked(r["n"]) for r in answers.filter("block IS NULL").select("n").collect()]  # one row for each range
+    vocabulary, main, out = (int(sum(int(t[k]) for t in totals)) for k in range(3))
+    n = main + out
+    weights = fit_weights(texts, answers, main, vocabulary)
+    if not n:
+        weights[:] = [1.0, 0.0, 0.0]
+    each = block_scores(texts, answers, weights, n, vocabulary)
+    return each.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from kinelake.llm import decontam, html_text, langid, lm_score, mixing, near_dedup, order_minhash, suffix_dedup, token_files, toxicity
 from kinelake.llm.queries import queries
@@ -183,7 +184,6 @@ def test_order_minhash(spark, tables, docs):
 
 def brute_signature(spark, text):
     """Order MinHash by explicit loops, with the hashes of the DataFrame functions."""
-    from pyspark.sql import functions as F
 
     words = WORD.findall(text)
     k = order_minhash.K
@@ -217,7 +217,6 @@ def brute_signature(spark, text):
 
 
 def test_signature_by_brute_force(spark):
-    from pyspark.sql import functions as F
 
     rng = random.Random(1)
     texts = [" ".join(rng.choice("a b c d e f g h".split()) for _ in range(n)) for n in (3, 5, 40, 300)] + [" ".join(str(rng.random()) for _ in range(200))]
@@ -291,6 +290,79 @@ def test_lm_score(spark, tables, docs):
     assert known.score.sum() > known.base_score.sum()
 
 
+def brute_force_lm(docs, held_part=None):
+    """Counts of tokens, pairs and contexts by plain dictionaries."""
+    one, two, ctx = collections.Counter(), collections.Counter(), collections.Counter()
+    for r in docs:
+        t = [*words_of(r[1]), "\0end"]
+        h = ["\0start", *t[:-1]]
+        one.update(t)
+        two.update(zip(h, t))
+        ctx.update(h)
+    return one, two, ctx
+
+
+def test_lm_scores_against_brute_force_at_any_batch_size(spark, tables, docs, monkeypatch):
+    train = [r for r in docs if zlib.crc32(str(r[0]).encode()) % 5 != 1]
+    one, two, ctx = brute_force_lm(train)
+    n, v = sum(one.values()), len(one)
+    rng = np.random.default_rng(3)
+    weights = rng.dirichlet([1, 1, 1], lm_score.BUCKETS)
+    monkeypatch.setattr(lm_score, "fit_weights", lambda *_: weights.copy())
+    monkeypatch.setattr(lm_score, "BLOCK", 20_000)
+
+    def expected(text):
+        total, before = 0.0, "\0start"
+        for w in [*words_of(text), "\0end"]:
+            l0, l1, l2 = weights[math.ceil(math.log2(ctx[before] + 1))]
+            total += math.log10(l2 * two[before, w] / max(ctx[before], 1) + l1 * one[w] / n + l0 / (v + 1))
+            before = w
+        return total
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for rows in ("7", "10000"):
+        spark.conf.set(key, "3")
+        query = queries()["op7_lm_score"](spark, tables)
+        spark.conf.set(key, rows)
+        got = by_id(query.toPandas(), docs)
+        spark.conf.unset(key)
+        for doc_id, text, *_ in docs:
+            assert got.loc[doc_id].score == pytest.approx(expected(text), rel=1e-9)
+
+
+def test_lm_weights_come_from_held_out_counts(spark, tables, docs, monkeypatch):
+    seen = {}
+    fit = lm_score.fit_weights
+    monkeypatch.setattr(lm_score, "fit_weights", lambda *a: seen.setdefault("weights", fit(*a)))
+    learn = lm_score.learn_weights
+    monkeypatch.setattr(lm_score, "learn_weights", lambda *a: seen.setdefault("given", a) and learn(*a))
+    monkeypatch.setattr(lm_score, "STEPS", 16)
+    queries()["op7_lm_score"](spark, tables)
+    held = {r.doc_id for r in spark.range(100).selectExpr("id AS doc_id", "pmod(xxhash64('held', id), 8) = 0 AS h").filter("h").collect()}
+    train = [r for r in docs if zlib.crc32(str(r[0]).encode()) % 5 != 1]
+    main, out = [r for r in train if r[0] not in held], [r for r in train if r[0] in held]
+    assert main and out
+    one, two, ctx = brute_force_lm(main)
+    want = collections.Counter()
+    for r in out:
+        before = "\0start"
+        for w in [*words_of(r[1]), "\0end"]:
+            want[math.ceil(math.log2(ctx[before] + 1)), two[before, w] > 0, one[w] > 0] += 1
+            before = w
+    bucket, r2, r1, r0, times = seen["given"]
+    got = collections.Counter()
+    for b, x, y, t in zip(bucket, r2, r1, times):
+        got[int(b), bool(x > 0), bool(y > 0)] += int(t)
+    assert got == want
+    assert seen["weights"].sum(1) == pytest.approx(np.ones(lm_score.BUCKETS))
+
+
+def test_lm_without_training_documents_is_uniform(spark):
+    rows = spark.createDataFrame([(1, "a b"), (None, None), (2, "")], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_score.score(rows, F.lit(False)).collect()}
+    assert got[1].n_tokens == 3 and got[1].score == pytest.approx(0.0) and got[None].n_tokens == 1
+
+
 def test_weights_maximise_the_held_out_likelihood():
     rng = np.random.default_rng(0)
     bucket = np.full(400, 5)
@@ -336,7 +408,6 @@ def test_mixing(spark, tables, docs):
 
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 100])
 def test_permutation(spark, n):
-    from pyspark.sql import functions as F
 
     got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(99).cast("long")).alias("x")).toPandas().x
     assert sorted(got) == list(range(n))
