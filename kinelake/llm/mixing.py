@@ -1,14 +1,15 @@
 """Mixing sources to target weights, with DataFrame operations only.
 
 Words are packed, source by source in hash order of the documents, into blocks
-of BLOCK_WORDS.  The mix is a run of slots as long as the corpus; a slot draws
-its source from the target weights and the j-th slot of a source takes block
-j mod n of the source's n blocks, mapped through a pseudorandom permutation
-that differs by source and round.  An output shard is a run of SHARD_SLOTS slots;
-slot counts by source and shard follow a multinomial draw whose totals are fixed:
-slot t uses the stratified uniform (p(t) + 1/2) / slots with p a pseudorandom
-permutation of the slots.  op8 gives the shard and slot of all words that are
-taken; the pipeline's stage deals its rows to the shards and orders them by slot.
+of BLOCK_WORDS.  The mix is a run of slots as long as the corpus, in output shards
+of SHARD_SLOTS.  shard_counts draws how many slots each source has in each shard:
+a multinomial draw by shard, conditioned on the totals of the sources, which are
+fixed by their targets (so it is made by a pseudorandom permutation of all slots).
+The slots of a source number on from shard to shard; its j-th slot takes block j mod
+n of its n blocks, mapped through a pseudorandom permutation that differs by source
+and round j div n, and sits at a pseudorandom place of its shard.  Blocks and slots
+are joined by source and block index.  op8 adds up the words taken; the pipeline's
+stage deals its rows to the shards and orders them by slot.
 
 Targets: sources in code point order (null last) weigh 5, 2, 1, repeating, and
 share the corpus's words; a target stops at 3 times its source's size and the
@@ -22,8 +23,6 @@ without words has target 0 throughout.  Only text, source and doc_id are read.
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,8 +31,9 @@ from ._common import WORD_PATTERN, shuffle_parts, table, written
 
 #: Words of a block; the last block of a source may be shorter.
 BLOCK_WORDS = 32
-#: Slots of an output shard.
+#: Slots of an output shard, and shards of a group in prefix sums.
 SHARD_SLOTS = 1 << 14
+SHARD_GROUP = 1 << 12
 #: Fixed values of the contract: weights by rank, and the most that a source grows.
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -99,11 +99,16 @@ def packed(docs: DataFrame, rows: int) -> DataFrame:
     return joined.withColumn("_from", F.col("_start") + F.col("_in")).drop("_src", "_b", "_start", "_in", "_h", "_bucket")
 
 
-def block_draws(targets: DataFrame) -> DataFrame:
-    """_s, _block and _slots: the blocks that the mix takes, with a slot (or null) for each round."""
-    spark = targets.sparkSession
+def before_in(partition: list[str], order: str, value: str) -> Column:
+    window = Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(value).over(window), F.lit(0))
+
+
+def shard_counts(targets: DataFrame) -> DataFrame:
+    """_s, _n, _shard and _count: the drawn number of slots of each source in each output shard."""
     all_ = Window.partitionBy(F.lit(1))
-    upto = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    turn = Window.orderBy(F.col("source").asc_nulls_last())
+    # one row per source
     plan = targets.filter("source_size > 0").select(
         F.col("source").alias("_s"),
         F.ceil(F.col("source_size") / BLOCK_WORDS).cast("long").alias("_n"),
@@ -111,40 +116,51 @@ def block_draws(targets: DataFrame) -> DataFrame:
         (F.col("target") / (F.col("source_size") / F.ceil(F.col("source_size") / BLOCK_WORDS))).alias("_want"),
         "source",
     )
-    plan = plan.withColumn("_hi", F.round(F.sum("_want").over(upto)).cast("long")).withColumn("_lo", F.coalesce(F.lag("_hi").over(Window.orderBy(F.col("source").asc_nulls_last())), F.lit(0))).withColumn("_slots", F.max("_hi").over(all_)).drop("source", "_want")
-    # Slots of the mix in shards: p(t) falls in a source's range [lo, hi), so the
-    # slots of a source are the images of lo .. hi - 1 and its j-th slot is the
-    # image of lo + j.
-    shards = plan.filter("_hi > _lo").select("_s", "_n", "_lo", "_hi", "_slots", F.explode(F.sequence(F.lit(0).cast("long"), ((F.col("_hi") - F.col("_lo") - 1) / SHARD_SLOTS).cast("long"))).alias("_part"))
-    shards = shards.repartition(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), F.xxhash64("_s", "_part"))
-    first = F.col("_part") * SHARD_SLOTS
-    slots = shards.select("_s", "_n", "_lo", "_hi", "_slots", F.explode(F.sequence(first, F.least(first + SHARD_SLOTS, F.col("_hi") - F.col("_lo")) - 1)).alias("_j"))
-    round_ = F.floor(F.col("_j") / F.col("_n")).cast("long")
-    taken = slots.filter(F.col("_j") < MOST_REPEATS * F.col("_n")).select(
+    plan = plan.withColumn("_hi", F.round(F.sum("_want").over(turn.rowsBetween(Window.unboundedPreceding, 0))).cast("long"))
+    plan = plan.withColumn("_lo", F.coalesce(F.lag("_hi").over(turn), F.lit(0))).withColumn("_slots", F.max("_hi").over(all_)).filter("_hi > _lo").drop("source", "_want")
+    # Slots lo .. hi - 1 of a permutation of all slots are the source's: their
+    # images fall into the shards as draws without replacement.
+    parts = plan.select("*", F.explode(F.sequence(F.lit(0).cast("long"), ((F.col("_hi") - F.col("_lo") - 1) / SHARD_SLOTS).cast("long"))).alias("_part"))
+    parts = parts.repartition(shuffle_parts(targets.sparkSession), F.xxhash64("_s", "_part"))
+    first = F.col("_lo") + F.col("_part") * SHARD_SLOTS
+    drawn = parts.select("_s", "_n", "_slots", F.explode(F.sequence(first, F.least(first + SHARD_SLOTS, F.col("_hi")) - 1)).alias("_t"))
+    drawn = drawn.select("_s", "_n", shard_of(permuted(F.col("_t"), F.col("_slots"), F.xxhash64(F.lit(SEED), F.lit("slot")))).alias("_shard"))
+    return drawn.groupBy("_s", "_n", "_shard").agg(F.count(F.lit(1)).alias("_count"))
+
+
+def block_draws(targets: DataFrame) -> DataFrame:
+    """_s, _block, _round and _slot: the block of each slot of the mix."""
+    counts = shard_counts(targets).withColumn("_group", F.floor(F.col("_shard") / SHARD_GROUP))
+    # a source's slots before each shard, in two levels: groups of shards, then shards
+    groups = counts.groupBy("_s", "_group").agg(F.sum("_count").alias("_sum"))
+    groups = groups.select(F.col("_s").alias("_gs"), F.col("_group").alias("_gg"), before_in(["_s"], "_group", "_sum").alias("_start"))
+    counts = counts.join(groups, F.col("_s").eqNullSafe(F.col("_gs")) & (F.col("_group") == F.col("_gg")))
+    counts = counts.withColumn("_first", F.col("_start") + before_in(["_s", "_group"], "_shard", "_count"))
+    shard = Window.partitionBy("_shard")
+    counts = counts.withColumn("_offset", F.coalesce(F.sum("_count").over(shard.orderBy(F.col("_s").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_size", F.sum("_count").over(shard))
+    slots = counts.select("_s", "_n", "_shard", "_first", "_offset", "_size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_count") - 1)).alias("_i"))
+    turn = F.col("_first") + F.col("_i")
+    round_ = F.floor(turn / F.col("_n")).cast("long")
+    place = permuted(F.col("_offset") + F.col("_i"), F.col("_size"), F.xxhash64(F.lit(SEED), F.lit("place"), "_shard"))
+    return slots.filter(turn < MOST_REPEATS * F.col("_n")).select(
         "_s",
+        permuted(turn % F.col("_n"), F.col("_n"), F.xxhash64(F.lit(SEED), "_s", round_)).alias("_block"),
         round_.cast("int").alias("_round"),
-        permuted(F.col("_j") % F.col("_n"), F.col("_n"), F.xxhash64(F.lit(SEED), "_s", round_)).alias("_block"),
-        permuted(F.col("_lo") + F.col("_j"), F.col("_slots"), F.xxhash64(F.lit(SEED), F.lit("slot"))).alias("_slot"),
+        (F.col("_shard").cast("long") * SHARD_SLOTS + place).alias("_slot"),
     )
-    # a block drawn up to three times is one row, so the join keys are unique on
-    # the drawn side and no (source, block) of the other is larger than a block
-    by_round = [F.max(F.when(F.col("_round") == r, F.col("_slot"))).alias(f"_slot{r}") for r in range(MOST_REPEATS)]
-    return taken.groupBy("_s", "_block").agg(*by_round).select("_s", "_block", F.array(*[f"_slot{r}" for r in range(MOST_REPEATS)]).alias("_slots"))
 
 
-def mix(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """columns of docs with size, source_size, target, _from and pieces.
+def mixed(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The mix of docs: its rows with _row and size, the targets, and the sequence.
 
-    pieces: array of (lo, n, slots), slots by round or null: the runs of the document's
-    words that the mix takes, joined from the drawn blocks by block index.
+    The sequence has a row for each slot and document in it: _row, _round, _slot, and
+    lo and n, the run of the document's words that is in the slot.
     """
-    spark = docs.sparkSession
     wanted = list(dict.fromkeys(["doc_id", "source", *columns]))
     rows = sized(docs).select(*wanted, "size")
-    light = written(rows.select("doc_id", "source", "size", F.monotonically_increasing_id().alias("_row")) if "text" not in columns else rows.withColumn("_row", F.monotonically_increasing_id()), "sized")
+    light = written(rows.withColumn("_row", F.monotonically_increasing_id()), "sized")
     targets = written(source_targets(light), "targets").coalesce(1)
     placed = packed(light.select("doc_id", "source", "size", "_row"), light.count())
-    placed = written(placed, "placed")
     first, last = F.floor(F.col("_from") / BLOCK_WORDS), F.floor((F.col("_from") + F.col("size") - 1) / BLOCK_WORDS)
     pieces = placed.filter("size > 0").select("source", "_row", "_from", "size", F.explode(F.sequence(first, last)).alias("_b"))
     draws = block_draws(targets)
@@ -152,13 +168,7 @@ def mix(docs: DataFrame, columns: list[str]) -> DataFrame:
     pieces = pieces.join(draws.hint("merge"), pieces["source"].eqNullSafe(draws["_s"]) & (pieces["_b"] == draws["_block"]))
     lo = F.greatest(F.col("_b") * BLOCK_WORDS - F.col("_from"), F.lit(0))
     hi = F.least((F.col("_b") + 1) * BLOCK_WORDS - F.col("_from"), F.col("size"))
-    times = F.size(F.filter("_slots", lambda t: t.isNotNull()))
-    taken = pieces.groupBy("_row").agg(F.sum((hi - lo) * times).alias("taken"), F.collect_list(F.struct(lo.alias("lo"), (hi - lo).alias("n"), F.col("_slots").alias("slots"))).alias("pieces"))
-    out = light.join(taken, "_row", "left")
-    targets = targets.select(F.col("source").alias("_s"), "source_size", "target")
-    # one row per source: a table as large as the number of sources
-    out = out.join(targets, out["source"].eqNullSafe(targets["_s"]), "left")
-    return out.withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).drop("_s", "_row")
+    return light, targets, pieces.select("_row", "_round", "_slot", lo.alias("lo"), (hi - lo).alias("n"))
 
 
 def shard_of(slot: Column) -> Column:
@@ -166,15 +176,13 @@ def shard_of(slot: Column) -> Column:
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken and slots of every document.
-
-    slots: array of (slot, shard, lo, n) in order of slot: the words lo .. lo + n - 1
-    of the document are in that slot.
-    """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    each = F.flatten(F.transform("pieces", lambda p: F.transform(F.filter(p["slots"], lambda t: t.isNotNull()), lambda t: F.struct(t.alias("slot"), shard_of(t).alias("shard"), p["lo"].alias("lo"), p["n"].alias("n")))))
-    slots = F.array_sort(F.coalesce(each, F.array().cast("array<struct<slot:bigint,shard:int,lo:bigint,n:bigint>>")))
-    return mix(docs, ["doc_id", "source"]).select("doc_id", "size", "source_size", "target", "taken", slots.alias("slots"))
+    """doc_id, size, source_size, target and taken of every document."""
+    light, targets, sequence = mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), [])
+    taken = sequence.groupBy("_row").agg(F.sum("n").alias("taken"))
+    targets = targets.select(F.col("source").alias("_s"), "source_size", "target")
+    # one row per source: a table as large as the number of sources
+    out = light.join(taken, "_row", "left").join(targets, F.col("source").eqNullSafe(F.col("_s")), "left")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mix_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -185,23 +193,20 @@ def mix_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     the shard of the slot of its first word; a shard is in one partition, and its
     rows are in order of these slots.
     """
-    # lets Spark drop the finished shuffles' files: the texts are dealt twice here
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
     names = docs.columns
     # other columns travel in a struct, so their names can't clash
     others = [c for c in names if c not in ("doc_id", "text", "source")]
     rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("int")
-    mixed = mix(docs.select("doc_id", "text", "source", rest.alias("_rest")), ["text", "_rest"])
-    rounds = mixed.filter("taken > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(MOST_REPEATS - 1))).alias("_r"))
-    mine = F.array_sort(F.filter("pieces", lambda p: F.get(p["slots"], F.col("_r")).isNotNull()))
-    rounds = rounds.withColumn("_mine", mine).filter(F.size("_mine") > 0)
-    whole = F.aggregate("_mine", F.lit(0).cast("long"), lambda a, p: a + p["n"]) == F.col("size")
-    words = F.regexp_extract_all("text", F.lit(f"({WORD_PATTERN})"), F.lit(1))
-    part = F.array_join(F.flatten(F.transform("_mine", lambda p: F.slice(words, (p["lo"] + 1).cast("int"), p["n"].cast("int")))), " ")
-    rounds = rounds.withColumn("text", F.when(whole, F.col("text")).otherwise(part))
+    light, _, sequence = mixed(docs.select("doc_id", "text", "source", rest.alias("_rest")), ["text", "_rest"])
+    runs = sequence.groupBy("_row", "_round").agg(F.array_sort(F.collect_list(F.struct("lo", "n"))).alias("_runs"), F.min_by("_slot", "lo").alias("_slot"), F.sum("n").alias("_words"))
+    # a document's rounds come together, so that its words are split once
+    runs = runs.groupBy("_row").agg(F.collect_list(F.struct("_slot", "_words", "_runs")).alias("_rounds"))
+    split = F.when(F.exists("_rounds", lambda r: r["_words"] < F.col("size")), F.regexp_extract_all("text", F.lit(f"({WORD_PATTERN})"), F.lit(1)))
+    rows = light.join(runs, "_row").withColumn("_split", split)
+    rows = rows.select("doc_id", "text", "source", "_rest", "size", "_split", F.explode("_rounds").alias("_r"))
+    part = F.array_join(F.flatten(F.transform("_r._runs", lambda p: F.slice("_split", (p["lo"] + 1).cast("int"), p["n"].cast("int")))), " ")
+    rows = rows.withColumn("text", F.when(F.col("_r._words") == F.col("size"), F.col("text")).otherwise(part))
     given = {"n_chars": F.length("text").cast("long")}
-    slot = F.get(F.get("_mine", F.lit(0))["slots"], F.col("_r"))
-    rounds = rounds.select("*", slot.alias("_slot"), shard_of(slot).alias("_shard"))
-    dealt = rounds.select("doc_id", "text", "source", "_rest", "_slot", "_shard").repartition(shuffle_parts(spark), "_shard").sortWithinPartitions("_shard", "_slot", "doc_id")
+    dealt = rows.select("doc_id", "text", "source", "_rest", F.col("_r._slot").alias("_slot"), shard_of(F.col("_r._slot")).alias("_shard"))
+    dealt = dealt.repartition(shuffle_parts(spark), "_shard").sortWithinPartitions("_shard", "_slot", "doc_id")
     return dealt.select(*[given.get(c, F.col(f"_rest.`{c}`") if c in others else F.col(c)).alias(c) for c in names])

@@ -47,25 +47,32 @@ def mixed_sources(spark, folder):
     return rows, spark.read.parquet(f"{folder}/documents.parquet")
 
 
-def test_op8_gives_shard_and_slot_of_all_taken_words(spark, tmp_path, monkeypatch):
+def test_op8_draws_counts_by_shard_and_fills_every_slot_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(mixing, "SHARD_SLOTS", 64)
-    rows, _ = mixed_sources(spark, tmp_path)
-    source = {r[0]: r[2] for r in rows}
-    got = mixing.op8_mix_sources(spark, str(tmp_path)).collect()
-    filled, shards = {}, {}
-    for r in got:
-        assert r.taken == sum(s.n for s in r.slots)
-        for s in r.slots:
-            assert s.shard == s.slot // 64 and 0 <= s.lo and s.lo + s.n <= r.size
-            filled[s.slot] = filled.get(s.slot, 0) + s.n
-            shards.setdefault(s.shard, {}).setdefault(source[r.doc_id], set()).add(s.slot)
-            # a slot has one source
-            assert all(s.slot not in slots for other, slots in shards[s.shard].items() if other != source[r.doc_id])
-    assert max(filled.values()) <= mixing.BLOCK_WORDS
+    monkeypatch.setattr(mixing, "SHARD_GROUP", 4)
+    rows, docs = mixed_sources(spark, tmp_path)
+    light, targets, sequence = mixing.mixed(docs, [])
+    counts = {(r._shard, r._s): r._count for r in mixing.shard_counts(targets).collect()}
+    shards = sorted({s for s, _ in counts})
+    assert all(sum(n for (s, _), n in counts.items() if s == shard) == 64 for shard in shards[:-1])
     # drawn counts: each shard mixes all sources, and they differ by shard
-    whole = [{k: len(v) for k, v in shards[s].items()} for s in sorted(shards)[:-1]]
-    assert len(whole) > 5 and all(set(w) == set("abc") for w in whole)
-    assert len({w["a"] for w in whole}) > 2
+    assert len(shards) > 5 and all((s, x) in counts for s in shards[:-1] for x in "abc")
+    assert len({counts[s, "a"] for s in shards[:-1]}) > 2
+    of = {r._row: (r.doc_id, r.source, r.size) for r in light.collect()}
+    filled, words, sources = {}, {}, {}
+    for r in sequence.collect():
+        doc, source, size = of[r._row]
+        assert 0 <= r.lo and r.n > 0 and r.lo + r.n <= size
+        filled[r._slot] = filled.get(r._slot, 0) + r.n
+        words[doc] = words.get(doc, 0) + r.n
+        assert sources.setdefault(r._slot, source) == source
+    assert max(filled.values()) <= mixing.BLOCK_WORDS
+    drawn = {}
+    for slot, source in sources.items():
+        drawn[slot // 64, source] = drawn.get((slot // 64, source), 0) + 1
+    assert drawn == counts
+    got = {r.doc_id: r.taken for r in mixing.op8_mix_sources(spark, str(tmp_path)).collect()}
+    assert got == {r[0]: words.get(r[0], 0) for r in rows}
 
 
 def test_the_mixing_stage_interleaves_sources(spark, tmp_path, monkeypatch):
