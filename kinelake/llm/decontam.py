@@ -26,12 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import SPACE_BYTES, ascii_lower, mix64, rows_of, small_batches, table, utf8
+from ._common import SPACE_BYTES, ascii_lower, mix64, rows_of, table, utf8
 
 Q = 16
 EDIT_PART = 25
 INDEX_BYTES = 4 << 20
 BLOCK = 2 << 20
+#: Bytes of text whose shared q-grams are counted at once, and bands that are aligned at once.
+WINDOW = 1 << 16
+BANDS_AT_ONCE = 256
 _FILTER_BITS = 22
 
 
@@ -56,24 +59,27 @@ def budget(length: int) -> int:
     return min(length // EDIT_PART, max(length - Q, 0) // Q)
 
 
-def distance_within(item: np.ndarray, region: np.ndarray, low: int, high: int, most: int) -> bool:
-    """Whether item is within `most` edits of a stretch of region that starts on
-    one of the diagonals low .. high, by alignment in that band and `most` beyond."""
-    first = low - most
-    width = high - low + 2 * most + 1
+def within(item: np.ndarray, texts: list[np.ndarray], lows: np.ndarray, most: int) -> np.ndarray:
+    """Whether item is within `most` edits of a stretch of each text that starts on one
+    of the diagonals low .. low + 2 * most + 1, by alignment in that band and `most` beyond."""
+    width = 4 * most + 2
     step = np.arange(width)
-    padded = np.full(len(region) + 2 * width + len(item) + abs(first), 256, np.int32)
-    shift = width + max(0, -first)
-    padded[shift : shift + len(region)] = region
+    first = lows - most
+    padded = np.full((len(texts), width + len(item)), 256, np.int32)
+    for row, text, a in zip(padded, texts, first.tolist(), strict=True):
+        part = text[max(a, 0) : max(a + width + len(item), 0)]
+        row[max(-a, 0) : max(-a, 0) + len(part)] = part
+    size = np.array([len(t) for t in texts])[:, None]
     # entry d of a row: edits of the item so far, ending at diagonal first + d
-    row = np.where((first + step >= 0) & (first + step <= len(region)), 0, most + 1)
+    start = first[:, None] + step
+    row = np.where((start >= 0) & (start <= size), 0, most + 1)
     for i, c in enumerate(item):
-        at = shift + first + i
-        here = np.minimum(row + (padded[at : at + width] != c), np.r_[row[1:], most + 1] + 1)
-        row = np.minimum.accumulate(here - step) + step
-        if row.min() > most:
-            return False
-    return bool(row.min() <= most)
+        beside = np.c_[row[:, 1:], np.full(len(row), most + 1)] + 1
+        here = np.minimum(row + (padded[:, i : i + width] != c), beside)
+        row = np.minimum.accumulate(here - step, axis=1) + step
+        if i % 64 == 0 and row.min() > most:
+            break
+    return row.min(1) <= most
 
 
 class ItemIndex:
@@ -89,10 +95,16 @@ class ItemIndex:
         item = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
         place = np.concatenate([np.arange(len(k)) for k in keys]) if keys else np.zeros(0, np.int64)
         keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        order = np.argsort(keys, kind="stable")
-        keys, self.item, self.place = keys[order], item[order], place[order]
-        self.keys, self.first = np.unique(keys, return_index=True)
+        order = np.lexsort((place, item, keys))
+        keys, item, self.place = keys[order], item[order], place[order]
+        # a row for each gram and item: its places in the item are count from first on
+        new = np.r_[True, (keys[1:] != keys[:-1]) | (item[1:] != item[:-1])] if len(keys) else np.zeros(0, bool)
+        self.first = np.flatnonzero(new)
         self.count = np.diff(np.r_[self.first, len(keys)])
+        self.item = item[self.first]
+        # and the rows of a gram
+        self.keys, self.rows_first = np.unique(keys[self.first], return_index=True)
+        self.rows_count = np.diff(np.r_[self.rows_first, len(self.first)])
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[(self.keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
 
@@ -118,30 +130,78 @@ class ItemIndex:
         doc = np.searchsorted(offsets, hit, side="right") - 1
         inside = hit + Q <= offsets[doc + 1]
         hit, row, doc = hit[inside], row[inside], doc[inside]
-        # all (place in text, item, place in item) of the shared q-grams
-        n = self.count[row]
-        at = np.repeat(self.first[row] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        item, diagonal = self.item[at], np.repeat(hit - offsets[doc], n) - self.place[at]
-        doc = np.repeat(doc, n)
-        width = self.budget[item] + 1
-        band = np.floor_divide(diagonal, width)
-        # each diagonal lies in two overlapping bands
-        rows = np.stack([np.r_[doc, doc], np.r_[item, item], np.r_[band, band - 1]])
-        if not rows.shape[1]:
-            return found
-        bands, shared = np.unique(rows, axis=1, return_counts=True)
-        for doc_, i, b in bands[:, shared >= self.bound[bands[1]]].T.tolist():
-            if int(self.ids[i]) in found[doc_]:
-                continue
-            most, length = int(self.budget[i]), len(self.items[i])
-            low, high = b * (most + 1), (b + 2) * (most + 1) - 1
-            text = data[offsets[doc_] : offsets[doc_ + 1]]
-            a = max(0, low - most)
-            region = text[a : max(0, high) + length + 2 * most]
-            if self.items[i].tobytes() in region.tobytes() or (most and distance_within(self.items[i], region, low - a, high - a, most)):
-                found[doc_].add(int(self.ids[i]))
+        for some in self._windows(hit - offsets[doc], doc):
+            self._judge(data, offsets, hit[some] - offsets[doc[some]], doc[some], row[some], found)
         return found
 
+    def _windows(self, place: np.ndarray, doc: np.ndarray) -> Iterator[slice]:
+        """Runs of the hits, in order of text and place, such that any stretch lies in one of them."""
+        longest = max((len(t) + int(e) for t, e in zip(self.items, self.budget, strict=True)), default=0)
+        edge = np.r_[np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]), len(doc)] if len(doc) else np.zeros(1, np.int64)
+        first = 0
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            if b - first > WINDOW and a > first:
+                yield slice(first, a)
+                first = a
+            if place[b - 1] - place[a] > WINDOW + longest:  # a long text: windows that overlap by the longest item
+                if a > first:
+                    yield slice(first, a)
+                for left in range(int(place[a]), int(place[b - 1]) + 1, WINDOW):
+                    x, y = a + np.searchsorted(place[a:b], [left, left + WINDOW + longest])
+                    if y > x:
+                        yield slice(int(x), int(y))
+                first = b
+        if first < len(doc):
+            yield slice(first, len(doc))
+
+    def _judge(self, data: np.ndarray, offsets: np.ndarray, place: np.ndarray, doc: np.ndarray, row: np.ndarray, found: list[set[int]]) -> None:
+        # all (place in text, item) of the shared q-grams
+        n = self.rows_count[row]
+        at = np.repeat(self.rows_first[row] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        place, doc = np.repeat(place, n), np.repeat(doc, n)
+        width = self.budget[self.item[at]] + 1
+        # A gram's places within a cell of `width` bytes lie in the bands of the first
+        # or of the last of them, whatever the place in the item: those two will do.
+        cell = place // width
+        order = np.lexsort((place, cell, doc, at))
+        at, place, doc, cell = at[order], place[order], doc[order], cell[order]
+        new = np.r_[True, (at[1:] != at[:-1]) | (doc[1:] != doc[:-1]) | (cell[1:] != cell[:-1])]
+        keep = new | np.r_[new[1:], True]
+        at, place, doc = at[keep], place[keep], doc[keep]
+        # all (place in text, item, place in item)
+        n = self.count[at]
+        within_item = self.place[np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        item, doc, place = np.repeat(self.item[at], n), np.repeat(doc, n), np.repeat(place, n)
+        band = np.floor_divide(place - within_item, self.budget[item] + 1)
+        # each diagonal lies in two overlapping bands; a place of the item counts once in a band
+        rows = np.stack([np.r_[doc, doc], np.r_[item, item], np.r_[band, band - 1], np.r_[within_item, within_item]])
+        rows = rows[:, np.lexsort(rows[::-1])]
+        rows = rows[:, np.r_[True, (rows[:, 1:] != rows[:, :-1]).any(0)]][:3]
+        start = np.flatnonzero(np.r_[True, (rows[:, 1:] != rows[:, :-1]).any(0)])
+        shared, bands = np.diff(np.r_[start, rows.shape[1]]), rows[:, start]
+        bands = bands[:, shared >= self.bound[bands[1]]]
+        for i in np.unique(bands[1]).tolist():
+            self._verify(data, offsets, i, bands[0, bands[1] == i], bands[2, bands[1] == i], found)
+
+    def _verify(self, data: np.ndarray, offsets: np.ndarray, i: int, docs: np.ndarray, bands: np.ndarray, found: list[set[int]]) -> None:
+        most, needle = int(self.budget[i]), self.items[i].tobytes()
+        left = []
+        for doc, band in zip(docs.tolist(), bands.tolist(), strict=True):
+            text = data[offsets[doc] : offsets[doc + 1]]
+            low = band * (most + 1)
+            region = text[max(0, low - most) : max(0, low + 2 * most + 1) + len(needle) + 2 * most]
+            if needle in region.tobytes():
+                found[doc].add(int(self.ids[i]))
+            elif most:
+                left.append((doc, text, low))
+        for a in range(0, len(left), BANDS_AT_ONCE):
+            part = [x for x in left[a : a + BANDS_AT_ONCE] if int(self.ids[i]) not in found[x[0]]]
+            if part:
+                good = within(self.items[i], [t for _, t, _ in part], np.array([low for *_, low in part]), most)
+                for (doc, *_), ok in zip(part, good.tolist(), strict=True):
+                    if ok:
+                        found[doc].add(int(self.ids[i]))
+
 
 def item_blocks(benchmark: DataFrame) -> Iterator[ItemIndex]:
     """Indexes over at most INDEX_BYTES of items each, one item at least."""
@@ -159,10 +219,13 @@ def item_blocks(benchmark: DataFrame) -> Iterator[ItemIndex]:
         yield ItemIndex(ids, texts)
 
 
-def with_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs with item_ids, the sorted ids of the benchmark items they hold."""
+def matched(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with columns of other names, and these names; _items: the sorted ids of the items they hold.
+
+    A block of items is a broadcast of at most INDEX_BYTES of text, or one item; a
+    larger benchmark takes one pass in the same stage for each block.
+    """
     spark = docs.sparkSession
-    small_batches(spark)
     names = docs.columns
     inner = [f"_c{i}" for i in range(len(names))]
     rows = docs.toDF(*inner).withColumn("_text", F.lower(F.col(inner[names.index("text")]))).withColumn("_items", F.array().cast("array<bigint>"))
@@ -180,16 +243,16 @@ def with_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     for index in item_blocks(benchmark):
         rows = passed(rows, index)
-    return rows.drop("_text").toDF(*names, "item_ids")
+    return rows.drop("_text"), inner
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, contaminated, n_items and item_ids of every document."""
-    found = with_matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), "item_ids")
+    found, (doc_id, _) = matched(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col(doc_id).alias("doc_id"), (F.size("_items") > 0).alias("contaminated"), F.size("_items").cast("long").alias("n_items"), F.col("_items").alias("item_ids"))
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a benchmark item go."""
-    found = with_matches(docs, table(spark, sf_dir, "benchmark"))
-    return found.filter(F.size("item_ids") == 0).select(*docs.columns)
+    found, inner = matched(docs, table(spark, sf_dir, "benchmark"))
+    return found.filter(F.size("_items") == 0).select(*inner).toDF(*docs.columns)

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -155,6 +156,52 @@ def test_edited_passages_within_the_budget_are_found():
     assert index.matches(np.frombuffer(data, np.uint8), np.array([0, len(data)])) == [set()]
 
 
+def least_edits(item, text):
+    """Edits between the item and the stretch of the text that is nearest."""
+    row = np.zeros(len(text) + 1, int)
+    for i, c in enumerate(item, 1):
+        new = np.r_[i, np.minimum(row[:-1] + np.array([x != c for x in text], int), row[1:] + 1)]
+        row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+    return row.min()
+
+
+@pytest.mark.parametrize("letters,window", [("abcdefgh", 1 << 16), ("ab", 1 << 16), ("a", 1 << 16), ("abcd", 40)])
+def test_matches_are_those_of_the_true_edit_distance(letters, window, monkeypatch):
+    monkeypatch.setattr(decontam, "WINDOW", window)
+    monkeypatch.setattr(decontam, "BANDS_AT_ONCE", 5)
+    rng = random.Random(4)
+    some = lambda n, of=letters: "".join(rng.choice(of) for _ in range(n))
+    items = [some(n) for n in (20, 60, 77, 110)]
+    index = decontam.ItemIndex([0, 1, 2, 3], items)
+    texts = [some(300), "", some(15)]
+    for item in items:
+        for edits in range(decontam.budget(len(item)) + 4):
+            t = list(item)
+            for _ in range(edits):
+                at = rng.randrange(len(t))
+                t[at : at + rng.randrange(2)] = rng.choice(["z", "", "zz"])
+            texts.append(some(rng.randrange(120), letters + "z") + "".join(t) + some(rng.randrange(120)))
+    raw = [t.encode() for t in texts]
+    got = index.matches(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    want = [{i for i, item in enumerate(items) if least_edits(item, t) <= index.budget[i]} for t in texts]
+    assert got == want
+    if len(letters) > 2:
+        assert any(0 < len(w) for w in want) and any(not w for w in want[3:])
+
+
+def test_repetitive_texts_take_little_time_and_memory():
+    index = decontam.ItemIndex([1, 2], ["a" * 4000, "ab" * 1500 + "c" * 200])
+    text = b"a" * 60_000 + b"ab" * 20_000
+    began = time.process_time()
+    assert index.matches(np.frombuffer(text, np.uint8), np.array([0, len(text)])) == [{1}]
+    assert time.process_time() - began < 60
+
+
+def test_the_clean_stage_allows_any_column_names(spark, tables):
+    rows = spark.createDataFrame([(1, "nothing of it", "x", [1]), (2, None, "y", [])], "doc_id long, text string, _text string, item_ids array<int>")
+    assert sorted(decontam.keep_clean(spark, rows, tables).collect(), key=lambda r: r.doc_id) == rows.collect()
+
+
 def test_html(spark, tables):
     got = run(spark, tables, "op3_extract_main_text").set_index("page_id")
     assert got.loc[0].text == "T & U One twothree four"
