@@ -7,6 +7,8 @@ of its rows, so no per-row Python string is made on a hot path.
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -35,7 +37,11 @@ def shared_folder(spark: SparkSession) -> str:
     """A fresh folder under the cluster's shared checkpoint folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = "file:///tmp/checkpoints/kinelake"
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^,\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder: master is {master}")
+        # one process, as in tests: driver and tasks share the machine's folders
+        base = f"file://{tempfile.gettempdir()}/kinelake-checkpoints"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/kinelake-{uuid.uuid4().hex}"
 
@@ -152,6 +158,18 @@ class SpanHash:
         return mix64(raw + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
+    """Content hashes of ascending spans, a piece of the data at a time: less memory."""
+    out = np.empty(len(starts), np.uint64)
+    first = 0
+    while first < len(starts):
+        last = max(int(np.searchsorted(ends, starts[first] + piece, side="right")), first + 1)
+        a, b = starts[first], ends[last - 1]
+        out[first:last] = SpanHash(data[a:b]).of(starts[first:last] - a, ends[first:last] - a)
+        first = last
+    return out
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], most_bytes: int, column: str) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most so many text bytes each, one row at least."""
     for batch in batches:

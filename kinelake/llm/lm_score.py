@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import SpanHash, ascii_lower, mix64, rows_of, shuffle_parts, table, utf8, word_spans, written
+from ._common import ascii_lower, mix64, rows_of, shuffle_parts, table, utf8, word_hashes, word_spans, written
 from .langid import remainder
 
 #: Hashes of the end token and of the start of a text.
@@ -69,8 +69,7 @@ def tokens(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     data = ascii_lower(text)
     starts, ends, first = word_spans(data, at)
     n_text = len(at) - 1
-    words = SpanHash(data).of(starts, ends) if len(starts) else np.zeros(0, np.uint64)
-    words = np.insert(words, first[1:], END_HASH)
+    words = np.insert(word_hashes(data, starts, ends), first[1:], END_HASH)
     owner = np.repeat(np.arange(n_text, dtype=np.int64), np.diff(first) + 1)
     before = np.r_[START_HASH, words[:-1]]
     before[first[:-1] + np.arange(n_text)] = START_HASH
