@@ -21,18 +21,14 @@ from pyspark.sql import functions as F
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-#: Rows of an Arrow batch; keeps a Python worker's working set small.
-ARROW_ROWS = 1000
+#: Rows that a Python worker takes at once, whatever the session's Arrow batches are.
+ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-
-
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder under the cluster's shared checkpoint folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -58,6 +54,16 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def hot_join(rows: DataFrame, one_each: DataFrame, key: str, by: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """rows joined with one_each (a row for each key, or none) on key.
+
+    A key may have any share of the rows: they are dealt by key and a hash of `by`.
+    """
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    one_each = one_each.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.join(one_each, [key, "_salt"], how).drop("_salt")
+
+
 def sample_fraction(column, seed: str):
     """A deterministic uniform value in [0, 1) from a column's hash."""
     return F.pmod(F.xxhash64(F.lit(seed), column), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -170,8 +176,8 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: i
     return out
 
 
-def rows_of(batches: Iterator[pa.RecordBatch], most_bytes: int, column: str) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with at most so many text bytes each, one row at least."""
+def rows_of(batches: Iterator[pa.RecordBatch], most_bytes: int, column: str, most_rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with at most so many rows and text bytes each, one row at least."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -179,6 +185,6 @@ def rows_of(batches: Iterator[pa.RecordBatch], most_bytes: int, column: str) ->
         first = 0
         while first < batch.num_rows:
             last = int(np.searchsorted(at, at[first] + most_bytes, side="right")) - 1
-            last = min(max(last, first + 1), batch.num_rows)
+            last = min(max(last, first + 1), first + most_rows, batch.num_rows)
             yield batch.slice(first, last - first)
             first = last

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import SpanHash, ascii_lower, mix64, rows_of, shuffle_parts, small_batches, table, utf8, word_spans, written
+from ._common import ascii_lower, hot_join, mix64, rows_of, shuffle_parts, table, utf8, word_hashes, word_spans, written
 
 SHINGLE_WORDS = 5
 #: A link of op5: 100 * intersection >= PERCENT * union; of the pipeline's stage.
@@ -72,7 +72,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     data = ascii_lower(data)
     n_text = len(offsets) - 1
     starts, ends, first = word_spans(data, offsets)
-    words = SpanHash(data).of(starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    words = word_hashes(data, starts, ends)
     count = np.diff(first)
     owner = np.repeat(np.arange(n_text, dtype=np.int64), count)
     size = len(words)
@@ -123,7 +123,6 @@ def signatures(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def signed(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, n, node, sig (HASHES uint16) and bands (int64 each) of each row."""
-    small_batches(docs.sparkSession)
     bands, rows = banding(percent)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,8 +131,9 @@ def signed(docs: DataFrame, percent: int) -> DataFrame:
             full = signatures(values, at)
             sig = ((full * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
             band = np.zeros((len(full), bands), np.uint64)
+            # of the same 16 bits as the signature: first_shared sees what the bands see
             for r in range(rows):
-                band = mix64(band * _STEP + full[:, r : bands * rows : rows])
+                band = mix64(band * _STEP + sig[:, r : bands * rows : rows])
             band = mix64(band + np.arange(1, bands + 1, dtype=np.uint64))
             raw = values.tobytes()
             node = [int.from_bytes(hashlib.blake2b(raw[8 * a : 8 * b], digest_size=8).digest(), "little", signed=True) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
@@ -297,11 +297,12 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct(), "edges")
     labels = written(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels")
     while True:
-        near = edges.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
+        # a hub's edges and a large component's nodes are dealt over tasks
+        near = hot_join(edges, labels.select(F.col("node").alias("v"), "label"), "v", "u").groupBy("u").agg(F.min("label").alias("near"))
         lower = labels.join(near, labels["node"] == near["u"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         lower = written(lower, "lower")
         jump = lower.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        fresh = lower.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label"))
+        fresh = hot_join(lower, jump, "label", "node", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label"))
         fresh = written(fresh, "labels")
         if fresh.filter("old <> label").isEmpty():
             return fresh.select("node", "label")
@@ -345,7 +346,7 @@ def near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
 
     low = nodes.select("node", "low").join(labels, "node")
     least = low.groupBy("label").agg(F.min("low").alias("component_id"))
-    of_node = nodes.select("node", "low").join(labels.join(least, "label").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "low").alias("component_id"))
+    of_node = nodes.select("node", "low").join(hot_join(labels, least, "label", "node").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "low").alias("component_id"))
     out = rows.select("doc_id", "n", "node").join(of_node, "node", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
@@ -387,7 +388,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows with an equal doc_id are one document and stay or go together.
     """
-    kept = near_duplicates(docs, STAGE_PERCENT).filter("kept").select(F.col("doc_id").alias("_kept_doc_id"))
+    kept = near_duplicates(docs, STAGE_PERCENT).filter("kept").select("doc_id").distinct()
     names = docs.columns
-    rows = docs.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("_kept_doc_id")), "left_semi")
-    return rows.select(*names)
+    inner = [f"_c{i}" for i in range(len(names))]
+    return docs.toDF(*inner).join(kept, F.col(inner[names.index("doc_id")]).eqNullSafe(kept["doc_id"]), "left_semi").toDF(*names)
