@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import SpanHash, mix64, rows_of, shuffle_parts, small_batches, table, utf8
+from ._common import SpanHash, mix64, rows_of, shuffle_parts, table, utf8, written
 
 LENGTH = 200
 #: Bytes of a minimiser.
@@ -253,8 +253,9 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     """key, start and length of ranges that repeats cover; docs: key, doc_id, text."""
     spark = docs.sparkSession
     found = docs.select("key", "text").mapInArrow(_find_pieces, "h long, key long, start int, windows int, offset int")
-    # a join and no window: a frequent minimiser's rows can be split over tasks
-    counts = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    # counts are a written table, so that the join's sides are shuffles of their own and
+    # Spark can split a frequent minimiser's rows over tasks
+    counts = written(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1), "minimisers")
     counted = found.join(counts.hint("merge"), "h")
     # the pieces of one text, as many as its length allows
     lists = counted.groupBy("key").agg(F.collect_list(F.struct("start", "windows", "offset", "h", "n")).alias("found"))
@@ -264,14 +265,17 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_order_parts, "key long, start long, length long")
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, scanned: bool = False) -> DataFrame:
     """doc_id, kept bytes, spans and n_bytes of each row of docs (doc_id, text).
 
-    spans: maximal removed ranges as (start, length) of the text's bytes.
+    spans: maximal removed ranges as (start, length) of the text's bytes.  docs are
+    read three times and their rows must have the same numbers each time: scanned says
+    that they are a plain scan of files, which is split alike each time; else the
+    numbered rows are written first.
     """
-    small_batches(docs.sparkSession)
-    # the same files give the same partitions, so a row keeps its key in every scan
     rows = docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    if not scanned:
+        rows = written(rows, "numbered")
     spans = repeated_ranges(rows).groupBy("key").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +297,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op6_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), scanned=True)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["length"])
     return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
