@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import rows_of, small_batches, table
+from ._common import rows_of, table
 
 #: HTML elements by role (void, raw text, inline, never content).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -251,7 +251,6 @@ def host_of(url: str | None) -> str:
 
 def votes(pages: DataFrame) -> DataFrame:
     """host, path, votes: of the pages' best containers."""
-    small_batches(pages.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,7 +280,6 @@ def host_paths(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, salts: int = 16) -> DataFrame:
     """page_id, url, text and path of every page."""
     spark = pages.sparkSession
-    small_batches(spark)
     # a host may have a third of the pages: both sides are salted
     host = F.coalesce(F.lower(F.regexp_extract(F.col("url").cast("string"), _HOST.pattern, 1)), F.lit(""))
     rows = pages.select("page_id", "url", "html", host.alias("_host"), F.pmod(F.xxhash64("page_id"), F.lit(salts)).alias("_salt"))

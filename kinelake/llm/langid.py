@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import rows_of, sample_fraction, small_batches, table, utf8
+from ._common import rows_of, sample_fraction, table, utf8
 
 ORDER = 4
 #: Bytes scored at once in a worker.
@@ -193,7 +193,6 @@ def fit(docs: DataFrame, docs_per_language: int = 400, max_chars: int = 50_000,
 def identify(docs: DataFrame, model: PpmModel, keep: list[str]) -> DataFrame:
     """The columns `keep` of docs with lang_pred, score and bits_per_byte."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
     names = [f"_k{i}" for i in range(len(keep))]

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import SpanHash, ascii_lower, rows_of, shared_folder, shuffle_parts, small_batches, table, utf8, word_spans, written
+from ._common import SpanHash, ascii_lower, rows_of, shared_folder, shuffle_parts, table, utf8, word_spans, written
 
 CHUNK_BITS = 8
 RANK_WORDS = 8
@@ -277,7 +277,6 @@ def write_files(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str)
     encodes and writes its range in one pass.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     key = F.col("doc_id").asc_nulls_first()
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(shuffle_parts(spark), key).sortWithinPartitions(key, "text")
     ordered = ordered.withColumn("part", F.spark_partition_id())
