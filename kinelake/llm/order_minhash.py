@@ -34,12 +34,15 @@ from ._common import table
 K = 3
 #: Bins, entries of a signature.
 BINS = 64
-#: Bits of the place in a packed long; texts may have 2 ** 24 words.
+#: Bits of the place in a packed long; k-mers from place 2 ** 24 - 1 on share that place.
 PLACE_BITS = 24
 PLACE = (1 << PLACE_BITS) - 1
-#: Documents of a neighbour bucket, about.
-BUCKET_ROWS = 2000
-MOST_RANGES = 1024
+#: Documents of a neighbour range, about.
+RANGE_ROWS = 2000
+#: Quantiles of doc_id; each is cut into equal ranges, as many as its rows ask for.
+QUANTILES = 256
+#: Ranges up to which their ends are broadcast: two numbers each.
+BROADCAST_RANGES = 1 << 16
 NO_ELEMENT = "-" * (4 * BINS)
 
 
@@ -54,7 +57,7 @@ def _hash_of(packed: Column) -> Column:
 
 def _pack(hash64: Column, place: Column) -> Column:
     """A non-negative long of 39 hash bits and the place."""
-    return F.shiftleft(F.shiftrightunsigned(hash64, 25), PLACE_BITS).bitwiseOR(place.cast("long"))
+    return F.shiftleft(F.shiftrightunsigned(hash64, 25), PLACE_BITS).bitwiseOR(F.least(place.cast("long"), F.lit(PLACE)))
 
 
 def packed_kmers(words: Column) -> Column:
@@ -149,22 +152,45 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(same / F.lit(float(BINS)))
 
 
-def ranged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs with _range, in order of doc_id, and the first text of each range.
+def ranged(docs: DataFrame) -> tuple[DataFrame, int]:
+    """docs with _q and _r, ranges of doc_id in its order, and about the number of ranges.
 
-    A range holds about BUCKET_ROWS documents; null doc_ids are a range below
-    the others.  The second table has a row per range, MOST_RANGES at most.
+    A range holds about RANGE_ROWS documents, however many there are; null doc_ids
+    are a range below the others.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    ranges = max(1, min(MOST_RANGES, -(-rows.count() // BUCKET_ROWS)))
-    cuts = rows.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 1.0 / (4 * ranges)) if ranges > 1 else []
-    bounds = F.lit(sorted({int(c) for c in cuts})) if cuts else F.array().cast("array<bigint>")
-    below = F.aggregate(bounds, F.lit(0), lambda n, c: n + (c.cast("long") <= F.col("doc_id")).cast("int"))
-    rows = rows.withColumn("_range", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(below))
-    tops = rows.groupBy("_range").agg(F.max("doc_id").alias("_top")).withColumnRenamed("_range", "_r")
-    # MOST_RANGES rows of two numbers
-    heads = rows.join(F.broadcast(tops), (F.col("_range") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_top")))
-    return rows, heads.groupBy("_range").agg(F.min("text").alias("_head"))
+    ranges = max(1, -(-rows.count() // RANGE_ROWS))
+    quantiles = min(ranges, QUANTILES)
+    cuts = rows.approxQuantile("doc_id", [i / quantiles for i in range(quantiles + 1)], 1.0 / (4 * quantiles))
+    edges = sorted({int(c) for c in cuts})
+    each = -(-ranges // quantiles)
+    if len(edges) < 2:
+        return rows.withColumn("_q", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(0)).withColumn("_r", F.lit(0).cast("long")), 1
+    inner = F.array(*[F.lit(e).cast("long") for e in edges[1:-1]]) if len(edges) > 2 else F.array().cast("array<bigint>")
+    below = F.aggregate(inner, F.lit(0), lambda n, c: n + (c <= F.col("doc_id")).cast("int"))
+    rows = rows.withColumn("_q", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(below))
+    low = F.get(F.array(*[F.lit(e).cast("double") for e in edges]), F.col("_q"))
+    high = F.get(F.array(*[F.lit(e).cast("double") for e in edges]), F.col("_q") + 1)
+    part = F.floor((F.col("doc_id").cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * each)
+    return rows.withColumn("_r", F.when(F.col("_q") < 0, F.lit(0)).otherwise(F.least(F.greatest(part, F.lit(0)), F.lit(each - 1))).cast("long")), ranges
+
+
+def next_heads(rows: DataFrame, ranges: int) -> DataFrame:
+    """_q, _r and text: for each range the first text of the next one below, the highest's for the lowest."""
+    tops = rows.groupBy("_q", "_r").agg(F.max("doc_id").alias("_top"))
+    ends = F.broadcast(tops) if ranges <= BROADCAST_RANGES else tops
+    heads = rows.join(ends, ["_q", "_r"]).filter(F.col("doc_id").eqNullSafe(F.col("_top"))).groupBy("_q", "_r").agg(F.min("text").alias("text"))
+    # within a quantile the range below; its lowest has the next quantile's highest: a row per quantile
+    quantiles = heads.groupBy("_q").agg(F.max("_r").alias("_high"))
+    down = Window.orderBy(F.col("_q").desc())
+    around = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = F.struct("_q", "_high")
+    quantiles = quantiles.select("_q", F.coalesce(F.lead(after).over(down), F.first(after).over(around)).alias("_after"))
+    inside = Window.partitionBy("_q").orderBy(F.col("_r").desc())
+    below = heads.select("_q", "_r", F.lead("_r").over(inside).alias("_lower")).join(quantiles, "_q")
+    own = F.col("_lower").isNotNull()
+    below = below.select("_q", "_r", F.when(own, F.col("_q")).otherwise(F.col("_after._q")).alias("_nq"), F.when(own, F.col("_lower")).otherwise(F.col("_after._high")).alias("_nr"))
+    return below.join(heads.select(F.col("_q").alias("_nq"), F.col("_r").alias("_nr"), "text"), ["_nq", "_nr"]).select("_q", "_r", "text")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -174,14 +200,11 @@ def with_next(docs: DataFrame) -> DataFrame:
     Each range gets the first text of the range below as an extra last row, so
     one window over ranges sees every neighbour.
     """
-    rows, heads = ranged(docs)
-    down = Window.orderBy(F.col("_range").desc())
-    # one row per range
-    ends = heads.select("_range", F.coalesce(F.lead("_head").over(down), F.first("_head").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("text"))
-    ends = ends.select(F.lit(None).cast("long").alias("doc_id"), "text", "_range", F.lit(1).alias("_extra"))
+    rows, ranges = ranged(docs)
+    ends = next_heads(rows, ranges).select(F.lit(None).cast("long").alias("doc_id"), "text", "_q", "_r", F.lit(1).alias("_extra"))
     both = rows.withColumn("_extra", F.lit(0)).unionByName(ends).withColumn("fingerprint", signature(F.col("text")))
-    order = Window.partitionBy("_range").orderBy("_extra", F.col("doc_id").desc_nulls_last(), "text")
-    return both.withColumn("next_text", F.lead("text").over(order)).withColumn("next_fingerprint", F.lead("fingerprint").over(order)).filter(F.col("_extra") == 0).drop("_range", "_extra")
+    order = Window.partitionBy("_q", "_r").orderBy("_extra", F.col("doc_id").desc_nulls_last(), "text")
+    return both.withColumn("next_text", F.lead("text").over(order)).withColumn("next_fingerprint", F.lead("fingerprint").over(order)).filter(F.col("_extra") == 0).drop("_q", "_r", "_extra")
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:

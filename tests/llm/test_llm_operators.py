@@ -229,6 +229,39 @@ def test_order_minhash(spark, tables, docs):
     assert (same == 1).all()
 
 
+@pytest.mark.parametrize("rows_of_range,quantiles,broadcast", [(3, 2, 1 << 16), (2, 4, 0), (1, 64, 1 << 16), (100, 5, 0)])
+def test_neighbours_over_many_ranges(spark, monkeypatch, rows_of_range, quantiles, broadcast):
+    monkeypatch.setattr(order_minhash, "RANGE_ROWS", rows_of_range)
+    monkeypatch.setattr(order_minhash, "QUANTILES", quantiles)
+    monkeypatch.setattr(order_minhash, "BROADCAST_RANGES", broadcast)
+    rng = random.Random(9)
+    ids = sorted({rng.randrange(10) for _ in range(6)} | {10**12 + rng.randrange(5000) for _ in range(20)} | {-(10**15), 2**62}, reverse=True)
+    texts = {i: " ".join(rng.choice(["a", "b", "c", "dd"]) for _ in range(rng.randrange(0, 30))) for i in ids}
+    rows = [(i, texts[i]) for i in ids] + [(None, "zero"), (None, None)]
+    rng.shuffle(rows)
+    got = order_minhash.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    line = [(i, texts[i]) for i in ids] + [(None, ""), (None, "zero")]
+    prints = {}
+    for r in got:
+        prints.setdefault(r.doc_id, r)
+    share = lambda a, b: 1.0 if a == b else sum(a[k : k + 4] == b[k : k + 4] for k in range(0, len(a), 4)) / order_minhash.BINS
+    for (i, text), (after, other) in zip(line[:-2], line[1:-1], strict=True):
+        half = len(text) // 2
+        edited = text[: len(text) - half] + other[:half]
+        assert prints[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert prints[i].near_edited == pytest.approx(share(prints[i].fingerprint, prints[i].edited_fingerprint))
+        if after is not None:
+            assert prints[i].near_next == pytest.approx(share(prints[i].fingerprint, prints[after].fingerprint))
+    last = [r for r in got if r.doc_id is None and r.n_chars == 4]
+    assert last[0].edited_sha256 == hashlib.sha256(("ze" + line[0][1][:2]).encode()).hexdigest()
+
+
+def test_places_beyond_the_packed_bits_share_the_last_one(spark):
+    row = spark.range(1).select(order_minhash._pack(F.lit(-1).cast("long"), F.lit(order_minhash.PLACE + 5)).alias("x"), order_minhash._pack(F.lit(-1).cast("long"), F.lit(3)).alias("y")).first()
+    assert row.x & order_minhash.PLACE == order_minhash.PLACE and row.x >> 24 == row.y >> 24 == 2**39 - 1
+
+
 def brute_signature(spark, text):
     """Order MinHash by explicit loops, with the hashes of the DataFrame functions."""
 
