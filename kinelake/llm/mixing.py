@@ -130,13 +130,15 @@ def shard_counts(targets: DataFrame) -> DataFrame:
 
 def block_draws(targets: DataFrame) -> DataFrame:
     """_s, _block, _round and _slot: the block of each slot of the mix."""
-    counts = shard_counts(targets).withColumn("_group", F.floor(F.col("_shard") / SHARD_GROUP))
+    counts = written(shard_counts(targets).withColumn("_group", F.floor(F.col("_shard") / SHARD_GROUP)), "shards")
     # a source's slots before each shard, in two levels: groups of shards, then shards
     groups = counts.groupBy("_s", "_group").agg(F.sum("_count").alias("_sum"))
     groups = groups.select(F.col("_s").alias("_gs"), F.col("_group").alias("_gg"), before_in(["_s"], "_group", "_sum").alias("_start"))
     counts = counts.join(groups, F.col("_s").eqNullSafe(F.col("_gs")) & (F.col("_group") == F.col("_gg")))
     counts = counts.withColumn("_first", F.col("_start") + before_in(["_s", "_group"], "_shard", "_count"))
     shard = Window.partitionBy("_shard")
+    # few rows that become many: a number of partitions that Spark doesn't lower
+    counts = counts.repartition(shuffle_parts(targets.sparkSession), "_shard")
     counts = counts.withColumn("_offset", F.coalesce(F.sum("_count").over(shard.orderBy(F.col("_s").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_size", F.sum("_count").over(shard))
     slots = counts.select("_s", "_n", "_shard", "_first", "_offset", "_size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_count") - 1)).alias("_i"))
     turn = F.col("_first") + F.col("_i")
