@@ -141,20 +141,18 @@ class PpmModel:
         out = np.zeros((n_text, len(self.langs)))
         if n_text == 0 or not self.langs:
             return out
-        # each text is preceded by `order` line feeds, as in training
-        sizes = np.diff(offsets)
-        place = np.arange(len(data)) + np.repeat(np.arange(1, n_text + 1) * k, sizes)
-        padded = np.full(len(data) + n_text * k, 10, np.uint8)
-        padded[place] = data
-        owner = np.repeat(np.arange(n_text), sizes)
         for a in range(0, len(data), BLOCK):
             b = min(a + BLOCK, len(data))
-            lo = place[a] - k
-            g = grams(padded[lo : place[b - 1] + 1], k + 1)
-            bits = self._lengths(g[place[a:b] - k - lo], k)
-            who = owner[a:b]
-            first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
-            out[who[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.float64)
+            owner = np.searchsorted(offsets, np.arange(a, b), side="right") - 1
+            # each text is preceded by `order` line feeds, as in training
+            place = np.arange(b - a) + (owner - owner[0] + 1) * k
+            padded = np.full(int(place[-1]) + 1, 10, np.uint8)
+            padded[place] = data[a:b]
+            before = min(k, a - int(offsets[owner[0]]))  # of a text that began in an earlier block
+            padded[k - before : k] = data[a - before : a]
+            bits = self._lengths(grams(padded, k + 1)[place - k], k)
+            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            out[owner[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.float64)
         return out
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,29 +163,27 @@ class PpmModel:
         return best, 1.0 / np.exp2(-gap).sum(1)
 
 
-def training_sample(docs: DataFrame, docs_per_language: int, max_chars: int) -> dict[str, list[str]]:
+def training_sample(docs: DataFrame, docs_per_language: int) -> dict[str, list[str]]:
     """About docs_per_language labelled texts of each language, chosen by hash.
 
-    A bounded sample: its size does not grow with the input.  Texts longer than
-    max_chars are left out of training (never of prediction).
+    A bounded sample: its number of rows does not grow with the input.  Whole texts
+    of any length are taken; the languages, as many as the model has, are collected.
     """
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars))
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return {}
-    keep = F.lit(0.0)
-    for lang, n in sorted(counts.items()):
-        keep = F.when(F.col("lang") == lang, docs_per_language / n).otherwise(keep)
-    picked = rows.filter(sample_fraction(F.struct("doc_id", F.length("text")), "langid") < keep)
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, docs_per_language / n)])
+    picked = rows.filter(sample_fraction(F.struct("doc_id", F.length("text")), "langid") < F.element_at(share, F.col("lang")))
     out: dict[str, list[str]] = {}
     for r in picked.select("doc_id", "lang", "text").toLocalIterator():
         out.setdefault(r["lang"], []).append(r["text"])
     return {k: sorted(v) for k, v in out.items()}
 
 
-def fit(docs: DataFrame, docs_per_language: int = 400, max_chars: int = 50_000, order: int = ORDER) -> PpmModel:
+def fit(docs: DataFrame, docs_per_language: int = 400, order: int = ORDER) -> PpmModel:
     """Train on a bounded sample of the rows of docs that have a lang."""
-    return PpmModel(training_sample(docs, docs_per_language, max_chars), order)
+    return PpmModel(training_sample(docs, docs_per_language), order)
 
 
 def identify(docs: DataFrame, model: PpmModel, keep: list[str]) -> DataFrame:

@@ -123,6 +123,28 @@ def test_code_lengths_are_those_of_the_escape_chain():
         assert got[i] == pytest.approx(want, rel=1e-5)
 
 
+def test_code_lengths_do_not_depend_on_blocks(monkeypatch):
+    model = langid.PpmModel({"a": ["abracadabra and more of it"], "b": ["banana split, one or two"]})
+    texts = ["abracadabra banana " * 9, "", "x", "", "more of it", ""]
+    raw = [t.encode() for t in texts]
+    data, at = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    whole = np.vstack([model.code_lengths(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in raw])
+    for block in (1, 3, 50, 1 << 20):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        assert model.code_lengths(data, at) == pytest.approx(whole, abs=1e-3)
+
+
+def test_a_language_of_long_texts_is_learned_and_ties_go_to_the_first(spark):
+    rows = [(i, "uno due tre quattro " * 5000, "it") for i in range(3)] + [(i, "eins zwei drei vier", "de") for i in range(10, 20)] + [(i, "same words here", "b" if i % 2 else "a") for i in range(20, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model.langs == ["a", "b", "de", "it"]
+    found = {r.doc_id: r.lang_pred for r in langid.identify(docs, model, ["doc_id"]).collect()}
+    assert found[0] == "it" and found[10] == "de"
+    same = langid.PpmModel({"b": ["tie"], "a": ["tie"]})
+    assert same.langs[same.predict(np.frombuffer(b"tie", np.uint8), np.array([0, 3]))[0][0]] == "a"
+
+
 def test_decontamination(spark, tables, docs):
     got = by_id(run(spark, tables, "op2_decontaminate"), docs)
     item = next(r[1] for r in docs if r[1] and len(words_of(r[1])) > 60)
