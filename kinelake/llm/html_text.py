@@ -4,19 +4,19 @@
    are scored by the text of their own paragraphs, less the text of links and
    of boilerplate subtrees.
 2. A container is named by its generalised path: tags from the root, each with
-   its first class or id without digits.  A page votes for its best container;
-   votes are summed per host and path in Spark.  A host's paths are then tried
-   in order of votes.
-3. Every page is extracted again with the first path of its host that it has;
-   a page that has none of them falls back on its own best container.
+   its first class or id without digits (in Spark, by a 64-bit hash of it).  A page
+   votes for its best container; votes are summed per host and path in Spark.
+3. Every page is extracted again with the path that has most votes of its host
+   among its own containers' (its best container's has one at least).
 
 Boilerplate subtrees (menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles, comments of readers) are left out by tag, role, class
 and id.  A name that only has a boilerplate word among its parts (has-sidebar) does
-not hide a subtree with most of the page's text.  Character references are decoded, white space inside a block becomes
+not hide a subtree with most of the page's text; words that are common in prose
+(side, social) hide nothing beside other words of prose (side-effects).  Character references are decoded, white space inside a block becomes
 one space, blocks are joined in page order by one space.
 
-Defined results: null html counts as empty; a page without an article has an
+Defined results: null html counts as empty; equal pages vote once; a page without an article has an
 empty text; a null or malformed url has the empty host; repeated rows are
 extracted one by one.  Only page_id, url and html are read.
 """
@@ -28,11 +28,11 @@ from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ._common import rows_of, table
+from ._common import hot_join, rows_of, table, written
 
 #: HTML elements by role (void, raw text, inline, never content).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,13 +44,16 @@ SKIP_ROLE = frozenset("navigation banner contentinfo complementary search dialog
 SKIP_NAME = frozenset("ad ads advert adverts advertisement advertising adbox adslot banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer foot gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification popup promo promoted promotion related recommended respond share sharing sidebar side sidenav signup social sponsor sponsored subscribe subscription topbar toolbar widget widgets".split())
 #: Of these, the ones whose subtrees go in compound names too, whatever their text.
 READERS = frozenset("comment comments commentlist disqus respond".split())
+#: Of these, the ones that prose has too, and words of layout that may stand beside them.
+PROSE = frozenset("banner foot header navigation notice notices notification promotion related recommended respond share sharing side social sponsor subscription".split())
+LAYOUT = frozenset("alert area articles bar block body bottom box btn button buttons card col column content container cta error fixed float group holder icon icons info inner item items left link links list main media menu message mobile nav outer page panel post posts reading region right row section site slot small sticky stories success text this title top topics unit view warning widget wrap wrapper zone".split())
+#: Elements whose id is an anchor made of their text.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("article main section div body td blockquote center".split())
 #: Elements whose start ends an open paragraph.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-#: Ranks of votes that a host keeps.
-HOST_PATHS = 8
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _GENERAL = re.compile(r"[^a-zA-Z_-]+")
@@ -58,14 +61,32 @@ _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
 class Node:
-    __slots__ = ("tag", "path", "skip", "link", "score", "parts", "doubt")
+    __slots__ = ("tag", "step", "up", "key", "skip", "link", "score", "parts", "doubt")
 
-    def __init__(self, tag: str, path: str, skip: bool, link: bool):
-        self.tag, self.path, self.skip, self.link = tag, path, skip, link
+    def __init__(self, tag: str, step: str, up: Node | None, skip: bool, link: bool):
+        self.tag, self.step, self.up, self.skip, self.link = tag, step, up, skip, link
+        #: hash of the path from the root
+        self.key = xxhash.xxh64_intdigest(step, up.key) if up else 0
         self.score = 0.0
         self.parts: list[int] = []  # first and last + 1 index into the page's pieces
         self.doubt = 0  # number of the tag whose compound name alone hides this node
 
+    def path(self) -> str:
+        steps, node = [], self
+        while node.up:
+            steps.append(node.step)
+            node = node.up
+        return ">".join(["", *reversed(steps)])
+
+
+def _boilerplate(name: str) -> frozenset[str]:
+    """Words of boilerplate in a class or id that count."""
+    words = [w.lower() for w in _NAME.findall(name)]
+    found = SKIP_NAME.intersection(words)
+    if found <= PROSE and any(len(w) > 2 and w not in LAYOUT and w not in SKIP_NAME for w in words):
+        return frozenset()
+    return found
+
 
 def _opened(tag: str, attributes: str, parent: Node, number: int, shown: frozenset[int]) -> Node:
     skip = (parent.skip and not parent.doubt) or tag in SKIP
@@ -80,15 +101,15 @@ def _opened(tag: str, attributes: str, parent: Node, number: int, shown: frozens
                 skip = True
             elif key in ("class", "id"):
                 if tag not in ("body", "html", "article", "main"):
-                    words = {w.lower() for w in _NAME.findall(value)} & SKIP_NAME
-                    if words & READERS or any(w in SKIP_NAME for w in value.lower().split()):
+                    names = value.lower().split()
+                    words = frozenset() if key == "id" and tag in HEADINGS else frozenset().union(*map(_boilerplate, value.split()))
+                    if words & READERS or (words and any(w in SKIP_NAME for w in names)):
                         skip = True
                     elif words and not doubt and number not in shown:
                         doubt = number
                 if not name and value:
                     name = _GENERAL.sub("", value.split()[0]) if value.split() else ""
-    path = f"{parent.path}>{tag}.{name}" if name else f"{parent.path}>{tag}"
-    node = Node(tag, path, skip or doubt > 0, parent.link or tag == "a")
+    node = Node(tag, f"{tag}.{name}" if name else tag, parent, skip or doubt > 0, parent.link or tag == "a")
     node.doubt = 0 if skip else doubt
     return node
 
@@ -114,7 +135,7 @@ class Page:
         #: text pieces; None is a border between blocks
         self.pieces: list[str | None] = []
         self.containers: list[Node] = []
-        root = Node("", "", False, False)
+        root = Node("", "", None, False, False)
         root.parts = [0, 0]
         stack = [root]
         self.containers.append(root)
@@ -221,8 +242,8 @@ class Page:
                 best, most = c, score
         return best
 
-    def at_path(self, path: str) -> list[Node]:
-        return [c for c in self.containers if c.path == path and c.score > 0]
+    def at_path(self, key: int) -> list[Node]:
+        return [c for c in self.containers if c.key == key and c.score > 0]
 
     def text(self, nodes: list[Node]) -> str:
         """Blocks of the containers, outermost only, in page order."""
@@ -244,63 +265,63 @@ class Page:
         return " ".join(blocks)
 
 
-def host_of(url: str | None) -> str:
-    m = _HOST.match(url or "")
-    return m.group(1).lower() if m else ""
+def _signed(key: int) -> int:
+    return key - (1 << 64) if key >> 63 else key
 
 
-def votes(pages: DataFrame) -> DataFrame:
-    """host, path, votes: of the pages' best containers."""
+def candidates(pages: DataFrame) -> DataFrame:
+    """k1, k2, host, path and best: the hashes of the paths of each page's containers.
+
+    pages: k1, k2, host, html.  A page has a row for each path, with best for one at most.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tally: dict[tuple[str, str], int] = {}
-            for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                best = Page(html or "").best()
-                if best is not None:
-                    key = host_of(url), best.path
-                    tally[key] = tally.get(key, 0) + 1
-            yield pa.RecordBatch.from_pydict({"host": [k[0] for k in tally], "path": [k[1] for k in tally], "n": list(tally.values())}, schema=pa.schema([("host", pa.string()), ("path", pa.string()), ("n", pa.int64())]))
+        for batch in rows_of(batches, 4 << 20, "html"):
+            row, path, is_best = [], [], []
+            for i, html in enumerate(batch.column("html").to_pylist()):
+                page = Page(html or "")
+                best = page.best()
+                for key in {c.key for c in page.containers if c.score > 0}:
+                    row.append(i)
+                    path.append(_signed(key))
+                    is_best.append(best is not None and key == best.key)
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in ("k1", "k2", "host")], pa.array(path, pa.int64()), pa.array(is_best, pa.bool_())], names=["k1", "k2", "host", "path", "best"])
 
-    cast = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    tallies = cast.mapInArrow(work, "host string, path string, n long")
-    return tallies.groupBy("host", "path").agg(F.sum("n").alias("votes"))
+    return pages.mapInArrow(work, "k1 long, k2 long, host long, path long, best boolean")
 
 
-def host_paths(pages: DataFrame) -> DataFrame:
-    """host and paths: its most voted paths, the winner first.
+def chosen_paths(pages: DataFrame) -> DataFrame:
+    """k1, k2 and path: of each page, the path of its own with most votes of its host.
 
-    One row of at most HOST_PATHS paths per host, whatever its pages number.
+    A host, and a path of it, may have a third of the pages.
     """
-    rank = Window.partitionBy("host").orderBy(F.col("votes").desc(), "path")
-    top = votes(pages).withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= HOST_PATHS)
-    return top.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("r", "path"))).alias("ranked")).select("host", F.col("ranked.path").alias("paths"))
+    found = written(candidates(pages).distinct(), "paths")
+    host_path = F.struct("host", "path")
+    votes = found.filter("best").groupBy(host_path.alias("hp")).agg(F.count(F.lit(1)).alias("votes"))
+    ranked = hot_join(found.select("k1", "k2", host_path.alias("hp")), votes, "hp", "k1")
+    return ranked.groupBy("k1", "k2").agg(F.max_by("hp.path", F.struct("votes", "hp.path")).alias("path"))
 
 
-def extract(pages: DataFrame, salts: int = 16) -> DataFrame:
+def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and path of every page."""
-    spark = pages.sparkSession
-    # a host may have a third of the pages: both sides are salted
-    host = F.coalesce(F.lower(F.regexp_extract(F.col("url").cast("string"), _HOST.pattern, 1)), F.lit(""))
-    rows = pages.select("page_id", "url", "html", host.alias("_host"), F.pmod(F.xxhash64("page_id"), F.lit(salts)).alias("_salt"))
-    paths = host_paths(pages).select(F.col("host").alias("_host"), "paths", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_salt"))
-    joined = rows.join(paths, ["_host", "_salt"], "left")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    host = F.xxhash64(F.coalesce(F.lower(F.regexp_extract("url", _HOST.pattern, 1)), F.lit("")))
+    # equal pages have equal keys, whatever the order in which they are read
+    keyed = rows.select("*", F.xxhash64("url", "html").alias("k1"), F.xxhash64(F.lit("page"), "html", "url").alias("k2"), host.alias("host"))
+    joined = keyed.drop("host").join(chosen_paths(keyed.select("k1", "k2", "host", "html")), ["k1", "k2"], "left")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, 4 << 20, "html"):
             texts, used = [], []
-            for html, known in zip(batch.column("html").to_pylist(), batch.column("paths").to_pylist(), strict=True):
+            for html, key in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist(), strict=True):
                 page = Page(html or "")
-                nodes = next((found for p in known or () if (found := page.at_path(p))), None)
-                if nodes is None:
-                    best = page.best()
-                    nodes = [best] if best is not None else []
+                nodes = page.at_path(key % (1 << 64)) if key is not None else []
                 texts.append(page.text(nodes))
-                used.append(nodes[0].path if nodes else None)
+                used.append(nodes[0].path() if nodes else None)
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(used, pa.string())], names=["page_id", "url", "text", "path"])
 
-    ready = joined.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), "paths")
-    return ready.mapInArrow(work, "page_id long, url string, text string, path string")
+    return joined.select("page_id", "url", "html", "path").mapInArrow(work, "page_id long, url string, text string, path string")
 
 
 def op3_extract_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -694,7 +694,48 @@ def test_pipeline_stages(spark, tables, docs):
     assert out.count() == counts[3]
 
 
-def test_html_paths_are_voted_per_host(spark, tables):
-    got = {r.host: list(r.paths) for r in html_text.host_paths(spark.read.parquet(f"{tables}/pages.parquet")).collect()}
-    assert ">html>body>article" in got["a.example"]
-    assert pd.Series(got).map(len).max() <= html_text.HOST_PATHS
+def test_every_layout_of_a_host_gets_its_vote(spark):
+    body = "<p>" + "The article of this page. " * 12 + "</p>"
+    rows = []
+    for layout in range(12):
+        name = "abcdefghijkl"[layout] * 2
+        for i in range(4):
+            # on the last page of a layout another block is longer than the article
+            other = "<p>" + "Something else on this page. " * (20 if i == 3 else 1) + "</p>"
+            rows.append((layout * 10 + i, f"http://h.example/{layout}/{i}", f"<body><div class='{name}'>{body}</div><table><tr><td class='{name}x'>{other}</td></tr></table></body>"))
+    rows += [(900, "http://other.example/", "<p>alone"), (901, None, None), (902, "http://h.example/e", ""), (903, "http://h.example/e", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in html_text.extract(pages).collect()}
+    assert len(got) == len(rows)
+    for layout in range(12):
+        for i in range(4):
+            r = got[layout * 10 + i]
+            assert r.text == ("The article of this page. " * 12).strip(), (layout, i)
+            assert r.path == ">body>div." + "abcdefghijkl"[layout] * 2
+    assert got[900].text == "alone" and got[901].text == "" and got[902].text == ""
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<p>a<!-->b</p><p>c</p>", "ab c"),
+        ("<p>a<!--->b</p><p>c</p>", "ab c"),
+        ("<p>a<!-- x > y -->b</p><!-- <p>no</p> --!><p>c</p>", "ab c"),
+        ("<p>a<!-- never closed <p>b</p>", "a"),
+        ("<h1>Title</h1><h2 id='side-effects'>Side effects</h2><p>Some are rare.</p><section class='social-history'><p>He smokes.</p></section>", "Title Side effects Some are rare. He smokes."),
+        ("<main><p>main body</p><div class='related-posts'><p>More</p></div><div class='social-icons'>x</div></main>", "main body"),
+        ("<article><p>one &lt;two&gt; &eacute;&#233;&#x41;</p><ul><li>x<li>y</ul><pre>a\n  b</pre></article>", "one <two> ééA x y a b"),
+        ("<table><tr><td>1<td>2<tr><td>3</table>", "1 2 3"),
+        ("a<br>b<b>c</b>d", "a bcd"),
+    ],
+)
+def test_main_text_of_small_pages(html, text):
+    page = html_text.Page(f"<body>{html}</body>")
+    assert page.text([page.best()]) == text
+
+
+def test_deep_nesting_takes_memory_in_proportion():
+    deep = "<div>" * 20_000 + "<p>bottom of it all</p>" + "</div>" * 20_000
+    page = html_text.Page(deep)
+    assert page.text([page.best()]) == "bottom of it all"
+    assert page.best().path().count(">div") == 20_000
