@@ -23,5 +23,62 @@ def queries() -> dict:
     return {name: getattr(importlib.import_module(f"{__package__}.{module}"), function) for name, (module, function) in _QUERIES.items()}
 
 
+#: The exact sets, links and components, by joining all shingles.
+_NEAR_DEDUP = r"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT r, array_to_string(list_slice(w, i, i + 4), ' ') AS s
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM words WHERE len(w) > 0)
+), sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+links AS (
+  SELECT a.r AS a, b.r AS b
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.r <> b.r
+  GROUP BY a.r, b.r
+  HAVING 100 * count(*) >= 85 * ((SELECT n FROM sizes x WHERE x.r = a.r) + (SELECT n FROM sizes y WHERE y.r = b.r) - count(*))
+), reach AS (
+  SELECT a AS r, b AS o FROM links
+  UNION
+  SELECT reach.r, links.b FROM reach JOIN links ON reach.o = links.a
+), named AS (
+  SELECT words.r, words.doc_id, coalesce(min(other.doc_id), words.doc_id) AS low
+  FROM words LEFT JOIN reach ON reach.r = words.r LEFT JOIN words other ON other.r = reach.o
+  GROUP BY words.r, words.doc_id
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(low, doc_id) AS component_id, least(low, doc_id) = doc_id AS kept
+FROM named LEFT JOIN sizes USING (r)
+"""
+
+#: The windows of 200 bytes that occur again, as hexadecimal digits, by grouping all of them.
+_REPEATED = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), starts AS (
+  SELECT r, i, md5_number(substr(x, 2 * i + 1, 400)) AS h
+  FROM (SELECT r, x, unnest(range(0, length(x) // 2 - 199)) AS i FROM texts WHERE length(x) >= 400)
+), again AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM starts) WHERE n > 1
+), runs AS (
+  SELECT r, min(i) AS a, max(i) + 200 AS b
+  FROM (SELECT r, i, sum(CASE WHEN i > last + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS g
+        FROM (SELECT r, i, coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), i) AS last FROM again))
+  GROUP BY r, g
+), gaps AS (
+  SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS f, a AS t FROM runs
+  UNION ALL
+  SELECT r, max(b), NULL FROM runs GROUP BY r
+), kept AS (
+  SELECT r, string_agg(substr(x, 2 * f + 1, 2 * coalesce(t, length(x) // 2) - 2 * f), '' ORDER BY f) AS k
+  FROM gaps JOIN texts USING (r) GROUP BY r
+), removed AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY r)
+SELECT doc_id, length(x) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(k, x))) AS kept_sha256
+FROM texts LEFT JOIN removed USING (r) LEFT JOIN kept USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL of the queries that SQL can express; the others train models, draw or write files."""
+    return {"op5_near_dedup": _NEAR_DEDUP, "op6_repeated_substrings": _REPEATED}
