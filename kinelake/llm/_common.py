@@ -61,7 +61,8 @@ def hot_join(rows: DataFrame, one_each: DataFrame, key: str, by: str, how: str =
     """
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
     one_each = one_each.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.join(one_each, [key, "_salt"], how).drop("_salt")
+    # repeated rows compress well and so look small: no broadcast
+    return rows.join(one_each.hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
 def sample_fraction(column, seed: str):

@@ -48,6 +48,9 @@ BATCH = 32
 #: Most pairs at the threshold that the sequential test loses, over all looks.
 MISS = 2e-4
 CHUNK = 1024
+#: A node with more pairs in a bucket than HUB_PAIRS has them dealt to HUB_PARTS.
+HUB_PAIRS = 128
+HUB_PARTS = 64
 #: Bits of the bitmap of chosen documents.
 SLOTS = 1 << 23
 BLOCK = 4 << 20
@@ -209,7 +212,7 @@ def medoid(sig: np.ndarray) -> int:
 
 
 def bucket_pairs(members: DataFrame, every: bool, percent: int) -> DataFrame:
-    """a, b (a < b): plausible pairs of the members of each bucket.
+    """a, b and part: plausible pairs of the members of each bucket.
 
     members: bucket, band, lo, hi (chunks), chunk, label, node, n, sig.  Of a
     bucket, the pairs with its medoid, or (every) all pairs with different labels
@@ -265,15 +268,23 @@ def bucket_pairs(members: DataFrame, every: bool, percent: int) -> DataFrame:
                 a, b = pairs(label[s:e], chunk[s:e], size[s:e], sig[s:e], band[s:e], lo[s] == hi[s])
                 got.append((a + s, b + s))
             a, b = (node[np.concatenate([g[i] for g in got])] for i in (0, 1))
-            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[0], pa.int64()), pa.array(pair[1], pa.int64())], names=["a", "b"])
+            # pairs of a node that has many here are dealt by their other node too
+            _, at, times = np.unique(a, return_inverse=True, return_counts=True)
+            part = np.where(times[at] > HUB_PAIRS, 1 + (mix64(b.view(np.uint64)) % np.uint64(HUB_PARTS)).astype(np.int64), 0)
+            pair = np.unique(np.stack([a, b, part]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pair], names=["a", "b", "part"])
 
-    return ordered.select("bucket", "band", "lo", "hi", "chunk", "label", "node", "n", "sig").mapInArrow(work, "a long, b long").distinct()
+    return ordered.select("bucket", "band", "lo", "hi", "chunk", "label", "node", "n", "sig").mapInArrow(work, "a long, b long, part long").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs with 100 * intersection >= percent * union; sets: node, shingles."""
-    first = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+    """The pairs with 100 * intersection >= percent * union; sets: node, shingles.
+
+    A node's set goes once to each part of its pairs, and not to every pair.
+    """
+    pairs = written(pairs, "pairs")
+    left = pairs.select("a", "part").distinct().join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+    first = pairs.join(left.hint("merge"), ["a", "part"])
     both = first.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
