@@ -39,13 +39,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import SpanHash, ascii_lower, rows_of, shared_folder, shuffle_parts, table, utf8, word_spans, written
+from ._common import ascii_lower, rows_of, shared_folder, shuffle_parts, table, utf8, word_hashes, word_spans, written
 
 CHUNK_BITS = 8
 RANK_WORDS = 8
 END_ID = 2
 #: Ids of a file, about; a partition with more is split over several files.
 FILE_IDS = 1 << 22
+#: Ids read back at once, or those of one document.
+READ_IDS = 1 << 16
 #: Text bytes encoded at once.
 BLOCK = 1 << 20
 
@@ -245,7 +247,7 @@ class WordEncoder:
         starts, ends, first = word_spans(data, offsets)
         starts, ends = without_marks(data, starts, ends)
         first = np.searchsorted(starts, offsets)
-        _, at, which = np.unique(SpanHash(data).of(starts, ends), return_index=True, return_inverse=True)
+        _, at, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
         raw = data.tobytes()
         words = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
         new = [w for w in words if w not in self.known]
@@ -330,10 +332,16 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
             for path, base, nulls in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist(), batch.column("nulls").to_pylist(), strict=True):
                 with fs.open_input_stream(path) as src:
                     reader = DacReader(src.read())
-                ids = reader.all_ids().astype("<u4").view(np.uint8)
                 ends = reader.ends
                 starts = np.r_[0, ends[:-1]]
-                crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(starts, ends, strict=True)]
+                crc = [0] * len(ends)
+                first = 0
+                while first < len(ends):  # a run of documents at a time, through the rank directories
+                    last = max(int(np.searchsorted(ends, starts[first] + READ_IDS, side="right")), first + 1)
+                    ids = reader.get(np.arange(starts[first], ends[last - 1])).astype("<u4").view(np.uint8)
+                    for i in range(first, last):
+                        crc[i] = zlib.crc32(ids[4 * (starts[i] - starts[first]) : 4 * (ends[i] - starts[first])])
+                    first = last
                 doc_ids = [None] * nulls + reader.doc_ids[nulls:].tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(starts + base, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
