@@ -6,23 +6,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kinelake.functions.lineage import cut
 
-def closure(edges: DataFrame, most_depth: int = 64) -> DataFrame:
+
+def closure(edges: DataFrame) -> DataFrame:
     """node, ancestor and depth (the longest path) of a graph (node, requires).
 
-    Paths of doubling length are joined until nothing new appears; most_depth
-    bounds a graph with cycles.
+    Who reaches whom is found with paths of doubling length, until nothing is new.
+    Edges inside a cycle are then left out, so that longest paths end whatever their
+    length; a pair that only a cycle connects has no depth.
     """
-    edges = edges.select("node", F.col("requires").alias("ancestor")).distinct()
-    found = edges.withColumn("depth", F.lit(1))
-    step, depth = found, 1
-    while depth < most_depth:
-        step = step.join(edges.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_up")), "ancestor").select("node", F.col("_up").alias("ancestor")).distinct()
-        depth += 1
+    edges = cut(edges.select("node", F.col("requires").alias("ancestor")).distinct())
+    pairs, known = edges, edges.count()
+    while True:
+        further = pairs.join(pairs.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_up")), "ancestor").select("node", F.col("_up").alias("ancestor"))
+        pairs = cut(pairs.unionByName(further).distinct())
+        if (now := pairs.count()) == known:
+            break
+        known = now
+    back = pairs.select(F.col("ancestor").alias("node"), F.col("node").alias("ancestor"))
+    free = cut(edges.join(back, ["node", "ancestor"], "left_anti").filter("node <> ancestor"))
+    up = free.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_up"))
+    step, depth = free, 1
+    found = step.withColumn("depth", F.lit(depth))
+    while True:
+        step = cut(step.join(up, "ancestor").select("node", F.col("_up").alias("ancestor")).distinct())
         if step.isEmpty():
             break
+        depth += 1
         found = found.unionByName(step.withColumn("depth", F.lit(depth)))
-    return found.groupBy("node", "ancestor").agg(F.max("depth").alias("depth"))
+    return pairs.join(found.groupBy("node", "ancestor").agg(F.max("depth").alias("depth")), ["node", "ancestor"], "left")
 
 
 def tiers(nodes: DataFrame, paths: DataFrame) -> DataFrame:
@@ -65,10 +78,17 @@ def next_up(tiered: DataFrame, state: DataFrame, n: int = 5) -> DataFrame:
     return tiered.join(state.filter("state = 'available'").select("node"), "node").orderBy("tier", "node").limit(n)
 
 
-def walked(nodes: DataFrame, answers: DataFrame, root: str, most_depth: int = 8) -> DataFrame:
-    """Descend a question tree (node, answer, target) by given answers (subject, node, answer)."""
+def walked(nodes: DataFrame, answers: DataFrame, root: str) -> DataFrame:
+    """Descend a question tree (node, answer, target) by given answers (subject, node, answer).
+
+    Every subject goes on until it has no answer to a question; more steps than the
+    tree has questions are a cycle, an error.
+    """
+    steps = cut(answers.join(nodes, ["node", "answer"]).select("subject", "node", "target"))
+    most = nodes.select("node").distinct().count()
     at = answers.select("subject").distinct().withColumn("node", F.lit(root)).withColumn("path", F.array(F.lit(root)))
-    for _ in range(most_depth):
-        step = answers.join(nodes, ["node", "answer"]).select("subject", "node", "target")
-        at = at.join(step, ["subject", "node"], "left").select("subject", F.coalesce("target", "node").alias("node"), F.when(F.col("target").isNull(), F.col("path")).otherwise(F.concat("path", F.array("target"))).alias("path"))
-    return at
+    for _ in range(most + 1):
+        if at.join(steps, ["subject", "node"], "left_semi").isEmpty():
+            return at
+        at = cut(at.join(steps, ["subject", "node"], "left").select("subject", F.coalesce("target", "node").alias("node"), F.when(F.col("target").isNull(), F.col("path")).otherwise(F.concat("path", F.array("target"))).alias("path")))
+    raise ValueError("the question tree has a cycle")

@@ -8,41 +8,98 @@ from pyspark.sql.window import Window
 
 from kinelake.functions.num import exceedance, fires
 
-RULE_SCHEMA = "movement string, error string, primitive string, comparison string, threshold double, phase string, variants array<string>"
-_REP, _ANY = "rep", ()
-_BAR = [("body_swing", "swing", ">", 0.40, _REP, ("strict",)), ("incomplete_hang", "hang_pct", "<", 75.0, "setup", _ANY), ("dropped_descent", "tempo_ratio", "<", 0.70, _REP, _ANY), ("lift_stall", "stalled_frac", ">=", 0.05, "lifting", _ANY)]
-_LINE = [("body_line", "body_line_deg", "<", 75.0, "hold", _ANY), ("legs_bent", "legs_straight_frac", "<", 0.60, "hold", ("full",)), ("hip_pike", "hip_pike_deg", "<", 150.0, "hold", ("full", "straddle")), ("swing", "swing", ">", 0.40, "hold", _ANY)]
-_LEGS = [("knees_in", "knee_valgus", ">", 0.12, _REP, _ANY), ("heels_up", "heel_rise", ">", 0.06, _REP, _ANY), ("lean", "torso_lean", "<", -0.30, _REP, _ANY), ("fast_descent", "tempo_ratio", "<", 0.70, _REP, _ANY)]
-_PUSH = [("fast_descent", "tempo_ratio", "<", 0.70, _REP, _ANY), ("stall", "stalled_frac", ">=", 0.05, _REP, _ANY)]
-
-#: The registry's rows by movement (error, primitive, comparison, threshold, phase, variants).
-REGISTRY = {
-    "muscle_up": [*_BAR, ("incomplete_lockout", "lockout_pct", "<", 85.0, "support", _ANY), ("slow_transition", "transition_s", ">", 0.60, "transition", _ANY), ("incomplete_support", "top_elbow_deg", "<", 160.0, "support", _ANY)],
-    "pull_up": [*_BAR, ("incomplete_lockout", "lockout_pct", "<", -27.6, "support", _ANY), ("no_active_hang", "start_elbow_deg", "<", 150.0, "setup", _ANY), ("fast_lift", "fast_ratio", "<", 0.50, "lifting", _ANY)],
-    "front_lever": [*_LINE, ("arms_bent", "arms_straight_frac", "<", 0.25, "hold", _ANY)],
-    "planche": [*_LINE, ("arms_bent", "arms_straight_frac", "<", 0.35, "hold", _ANY)],
-    "dip": [*_PUSH, ("start_elbow", "start_elbow_deg", "<", 160.0, "support", _ANY), ("shallow", "bottom_elbow_deg", "<", 90.0, "turnaround", _ANY), ("bounce", "turn_speed", ">", 0.15, "turnaround", _ANY)],
-    "push_up": [*_PUSH, ("short_range", "travel", "<", 0.35, _REP, _ANY), ("start_elbow", "start_elbow_deg", "<", 160.0, "support", _ANY), ("hip_sag", "hip_sag", ">", 0.12, _REP, _ANY)],
-    "squat": [*_PUSH, ("shallow", "squat_depth", "<", 0.35, _REP, _ANY), *_LEGS[:2]],
-    "pistol_squat": [("shallow", "pistol_depth", "<", 0.55, _REP, _ANY), *_LEGS, ("swing", "swing", ">", 0.40, _REP, _ANY)],
-    "split_squat": [("shallow", "split_depth", "<", 0.35, _REP, _ANY), *_LEGS],
-    "bulgarian_split_squat": [("shallow", "split_depth", "<", 0.35, _REP, _ANY), *_LEGS],
-}
+RULE_SCHEMA = "rule string, movement string, error string, name string, phase string, primitive string, comparison string, threshold double, variants array<string>"
+
+#: The rules in order of the catalogue.  Columns: movement, error, display
+#: name, phase, primitive, comparison, threshold, variants.  A rule's id is movement.error;
+#: a rule with variants depends on the variant and counts for an unstated one too.
+REGISTRY = """\
+front_lever,body_below_horizontal,poor range of motion,hold,body_line_deg,<,75,
+front_lever,bent_arms,poor scapular retraction,hold,arms_straight_frac,<,0.25,
+front_lever,bent_knees,bent knees,hold,legs_straight_frac,<,0.6,full
+front_lever,piked_hips,piked hips,hold,hip_pike_deg,<,150,full straddle
+front_lever,body_swing,momentum,hold,swing,>,0.4,
+planche,body_below_horizontal,poor range of motion,hold,body_line_deg,<,75,
+planche,bent_arms,poor scapular protraction,hold,arms_straight_frac,<,0.35,
+planche,bent_knees,bent knees,hold,legs_straight_frac,<,0.6,full
+planche,piked_body,piked body,hold,hip_pike_deg,<,150,full straddle
+planche,body_swing,momentum,hold,swing,>,0.4,
+muscle_up,body_swing,momentum,rep,swing,>,0.4,strict
+muscle_up,incomplete_lockout,lockout,support,lockout_pct,<,85,
+muscle_up,incomplete_hang,dead hang,setup,hang_pct,<,75,
+muscle_up,dropped_descent,control,rep,tempo_ratio,<,0.7,
+muscle_up,lift_stall,stall,lifting,stalled_frac,>=,0.05,
+muscle_up,slow_transition,poor transition,transition,transition_s,>,0.6,
+muscle_up,incomplete_support_extension,bent arms,support,top_elbow_deg,<,160,
+pull_up,body_swing,momentum,rep,swing,>,0.4,strict
+pull_up,incomplete_lockout,lockout,support,lockout_pct,<,-27.6,
+pull_up,incomplete_hang,dead hang,setup,hang_pct,<,75,
+pull_up,dropped_descent,control,rep,tempo_ratio,<,0.7,
+pull_up,lift_stall,stall,lifting,stalled_frac,>=,0.05,
+pull_up,no_active_hang,no active hang,setup,start_elbow_deg,<,150,
+pull_up,fast_lift,too fast,lifting,fast_ratio,<,0.5,
+dip,incomplete_lockout,lockout,support,start_elbow_deg,<,160,
+dip,excessive_depth,too deep,turnaround,bottom_elbow_deg,<,90,
+dip,bounce,bounce at bottom,turnaround,turn_speed,>,0.15,
+dip,dropped_descent,control,rep,tempo_ratio,<,0.7,
+dip,lift_stall,stall,lifting,stalled_frac,>=,0.05,
+push_up,short_travel,poor range of motion,rep,travel,<,0.35,
+push_up,incomplete_lockout,lockout,support,start_elbow_deg,<,160,
+push_up,hip_sag,sagging hips,rep,hip_sag,>,0.12,
+push_up,dropped_descent,control,rep,tempo_ratio,<,0.7,
+push_up,lift_stall,stall,lifting,stalled_frac,>=,0.05,
+squat,shallow_depth,poor range of motion,rep,squat_depth,<,0.35,
+squat,dropped_descent,uncontrolled descent,rep,tempo_ratio,<,0.7,
+squat,knee_medial_drift,knee valgus,rep,knee_valgus,>,0.12,
+squat,planted_ankle_rise,heel raise,rep,heel_rise,>,0.06,
+squat,lift_stall,stall,lifting,stalled_frac,>=,0.05,
+pistol_squat,shallow_depth,poor range of motion,rep,pistol_depth,<,0.55,
+pistol_squat,knee_medial_drift,knee valgus,rep,knee_valgus,>,0.12,
+pistol_squat,planted_ankle_rise,heel raise,rep,heel_rise,>,0.06,
+pistol_squat,backward_lean,leaning back,rep,torso_lean,<,-0.3,
+pistol_squat,dropped_descent,uncontrolled descent,rep,tempo_ratio,<,0.7,
+pistol_squat,arm_swing,arm swing,rep,swing,>,0.4,
+split_squat,shallow_depth,poor range of motion,rep,split_depth,<,0.35,
+split_squat,knee_medial_drift,knee valgus,rep,knee_valgus,>,0.12,
+split_squat,planted_ankle_rise,heel raise,rep,heel_rise,>,0.06,
+split_squat,backward_lean,leaning back,rep,torso_lean,<,-0.3,
+split_squat,dropped_descent,uncontrolled descent,rep,tempo_ratio,<,0.7,
+bulgarian_split_squat,shallow_depth,poor range of motion,rep,split_depth,<,0.35,
+bulgarian_split_squat,knee_medial_drift,knee valgus,rep,knee_valgus,>,0.12,
+bulgarian_split_squat,planted_ankle_rise,heel raise,rep,heel_rise,>,0.06,
+bulgarian_split_squat,backward_lean,leaning back,rep,torso_lean,<,-0.3,
+bulgarian_split_squat,dropped_descent,uncontrolled descent,rep,tempo_ratio,<,0.7,
+"""
+
+#: Variants that a movement may declare.
+KNOWN_VARIANTS = {"pull_up": ("strict", "kipping"), "muscle_up": ("strict", "kipping"), "front_lever": ("full", "tuck", "straddle"), "planche": ("full", "tuck", "straddle")}
 
 
 def registry(spark: SparkSession) -> DataFrame:
     """The rules as a table of fixed size."""
-    rows = [(m, e, p, c, float(t), ph, list(v)) for m, rules in REGISTRY.items() for e, p, c, t, ph, v in rules]
+    rows = []
+    for line in REGISTRY.splitlines():
+        movement, error, name, phase, primitive, comparison, threshold, variants = line.split(",")
+        rows.append((f"{movement}.{error}", movement, error, name, phase, primitive, comparison, float(threshold), variants.split()))
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
 
+def declared_variant(movement: Column, declared: Column) -> Column:
+    """The declared variant if its movement knows it, else unspecified."""
+    raw = F.translate(F.lower(F.trim(F.coalesce(declared, F.lit("")))), "- ", "__")
+    known = F.lit(False)
+    for name, variants in KNOWN_VARIANTS.items():
+        known = known | ((movement == name) & raw.isin(*variants))
+    return F.when(known, raw).otherwise("unspecified")
+
+
 def knowability(value: Column, coverage: Column, samples: Column, shown: Column, least_coverage: float = 0.60, least_samples: int = 3) -> Column:
     """unmeasured, view_blocked or measured; the first reason counts."""
     return F.when(value.isNull() | F.isnan(value), "unmeasured").when(coverage < least_coverage, "unmeasured").when(samples < least_samples, "unmeasured").when(~F.coalesce(shown, F.lit(False)), "view_blocked").otherwise("measured")
 
 
 def applies(variant: Column, variants: Column) -> Column:
-    return (F.size(variants) == 0) | variant.isNull() | F.array_contains(variants, variant)
+    return (F.size(variants) == 0) | variant.isNull() | variant.isin("", "unspecified") | F.array_contains(variants, variant)
 
 
 def assessed(subjects: DataFrame, rules: DataFrame, evidence: DataFrame, key: list[str]) -> DataFrame:

@@ -322,9 +322,7 @@ def stage_waterfall(spark, sf_dir):
 _EVIDENCE = """m AS (SELECT o_custkey AS rep, CASE o_custkey % 3 WHEN 0 THEN 'squat' WHEN 1 THEN 'dip' ELSE 'push_up' END AS movement, o_custkey % 10 AS clip, avg(o_totalprice) / 200000 AS tempo_ratio, count(*) / 40.0 AS stalled_frac, max(o_totalprice) / 500000 AS squat_depth, count(*) AS samples FROM orders GROUP BY 1),
     e AS (SELECT rep, 'tempo_ratio' AS primitive, CAST(tempo_ratio AS DOUBLE) AS value, samples FROM m UNION ALL SELECT rep, 'stalled_frac', CAST(stalled_frac AS DOUBLE), samples FROM m UNION ALL SELECT rep, 'squat_depth', CAST(squat_depth AS DOUBLE), samples FROM m),
     s AS (SELECT rep, primitive, value, CASE WHEN samples < 3 THEN 'unmeasured' ELSE 'measured' END AS state FROM e),
-    r(movement, error, primitive, cmp, threshold) AS (VALUES ('squat', 'fast_descent', 'tempo_ratio', '<', 0.70), ('squat', 'stall', 'stalled_frac', '>=', 0.05), ('squat', 'shallow', 'squat_depth', '<', 0.35), ('squat', 'knees_in', 'knee_valgus', '>', 0.12), ('squat', 'heels_up', 'heel_rise', '>', 0.06),
-      ('dip', 'fast_descent', 'tempo_ratio', '<', 0.70), ('dip', 'stall', 'stalled_frac', '>=', 0.05), ('dip', 'start_elbow', 'start_elbow_deg', '<', 160.0), ('dip', 'shallow', 'bottom_elbow_deg', '<', 90.0), ('dip', 'bounce', 'turn_speed', '>', 0.15),
-      ('push_up', 'fast_descent', 'tempo_ratio', '<', 0.70), ('push_up', 'stall', 'stalled_frac', '>=', 0.05), ('push_up', 'short_range', 'travel', '<', 0.35), ('push_up', 'start_elbow', 'start_elbow_deg', '<', 160.0), ('push_up', 'hip_sag', 'hip_sag', '>', 0.12)),
+    r(movement, error, primitive, cmp, threshold) AS (VALUES ('dip', 'incomplete_lockout', 'start_elbow_deg', '<', 160.0), ('dip', 'excessive_depth', 'bottom_elbow_deg', '<', 90.0), ('dip', 'bounce', 'turn_speed', '>', 0.15), ('dip', 'dropped_descent', 'tempo_ratio', '<', 0.7), ('dip', 'lift_stall', 'stalled_frac', '>=', 0.05), ('push_up', 'short_travel', 'travel', '<', 0.35), ('push_up', 'incomplete_lockout', 'start_elbow_deg', '<', 160.0), ('push_up', 'hip_sag', 'hip_sag', '>', 0.12), ('push_up', 'dropped_descent', 'tempo_ratio', '<', 0.7), ('push_up', 'lift_stall', 'stalled_frac', '>=', 0.05), ('squat', 'shallow_depth', 'squat_depth', '<', 0.35), ('squat', 'dropped_descent', 'tempo_ratio', '<', 0.7), ('squat', 'knee_medial_drift', 'knee_valgus', '>', 0.12), ('squat', 'planted_ankle_rise', 'heel_rise', '>', 0.06), ('squat', 'lift_stall', 'stalled_frac', '>=', 0.05)),
     a AS (SELECT m.rep, m.clip, m.movement, r.error, s.value, r.threshold, r.cmp, CASE WHEN s.state IS NULL OR s.state <> 'measured' THEN 'unobservable' WHEN (cmp = '<' AND value < threshold) OR (cmp = '>=' AND value >= threshold) OR (cmp = '>' AND value > threshold) THEN 'observed' ELSE 'not_observed' END AS status
       FROM m JOIN r USING (movement) LEFT JOIN s ON s.rep = m.rep AND s.primitive = r.primitive)"""
 
@@ -387,13 +385,14 @@ def graph_unlocks(spark, sf_dir):
 
 
 @query(f"""WITH {_EDGES}, n AS (SELECT r_name AS node FROM region UNION ALL SELECT n_name FROM nation UNION ALL SELECT s_name FROM supplier),
-    v AS (SELECT s_name AS node FROM supplier WHERE s_suppkey % 7 = 0), l AS (SELECT node, 2 AS s FROM v UNION ALL SELECT ancestor, 1 FROM v JOIN paths USING (node)), m AS (SELECT node, max(s) AS s FROM l GROUP BY 1),
+    v AS (SELECT s_name AS node FROM supplier WHERE s_suppkey % 7 = 0), c AS (SELECT s_name AS node FROM supplier WHERE s_suppkey % 11 = 3), l AS (SELECT node, 2 AS s FROM v UNION ALL SELECT node, 1 FROM c UNION ALL SELECT ancestor, 1 FROM (SELECT node FROM v UNION ALL SELECT node FROM c) JOIN paths USING (node)), m AS (SELECT node, max(s) AS s FROM l GROUP BY 1),
     o AS (SELECT e.node, bool_and(m.node IS NOT NULL) AS open FROM edges e LEFT JOIN m ON e.requires = m.node GROUP BY 1)
     SELECT node, CASE WHEN s = 2 THEN 'verified' WHEN s = 1 THEN 'claimed' WHEN coalesce(open, true) THEN 'available' ELSE 'locked' END AS state FROM n LEFT JOIN m USING (node) LEFT JOIN o USING (node)""")
 def graph_states(spark, sf_dir):
     nodes, edges = supply_graph(spark, sf_dir)
     verified = table(spark, sf_dir, "supplier").filter("s_suppkey % 7 = 0").select(F.col("s_name").alias("node"))
-    return graph.states(nodes, edges, graph.closure(edges), verified, verified.limit(0))
+    claimed = table(spark, sf_dir, "supplier").filter("s_suppkey % 11 = 3").select(F.col("s_name").alias("node"))
+    return graph.states(nodes, edges, graph.closure(edges), verified, claimed)
 
 
 @query("""SELECT CAST(l_orderkey AS VARCHAR) AS key, r AS rule FROM (SELECT l_orderkey, unnest(list_filter([CASE WHEN NOT l_discount < 0.08 THEN 'discount' END, CASE WHEN NOT l_quantity <= 45 THEN 'quantity' END, CASE WHEN NOT l_tax < 0.08 THEN 'tax' END], lambda x: x IS NOT NULL)) AS r FROM lineitem)""")
@@ -407,10 +406,10 @@ def resampled_series(spark, sf_dir):
     return rounded(rows.select("vec_id", F.get("v", F.lit(0)).alias("first"), F.get("v", F.lit(15)).alias("middle"), F.get("v", F.lit(30)).alias("last")), 4, "first", "middle", "last")
 
 
-@query(r"""SELECT doc_id, left(trim(regexp_replace(lower(left(text, 80)), '[^a-z0-9]+', '_', 'g'), '_'), 60) AS slug, contains(lower(text), 'license') AS licensed, len(list_intersect(['the', 'and', 'of'], regexp_extract_all(lower(text), '([a-z]+)', 1))) AS listed FROM documents WHERE lang = 'en'""")
+@query(r"""SELECT doc_id, left(trim(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '_'), 60) AS slug, contains(lower(text), 'license') AS licensed, len(list_intersect(['the', 'and', 'of'], regexp_extract_all(lower(text), '([a-z]+)', 1))) AS listed FROM documents""")
 def text_labels(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("lang = 'en'")
-    return d.select("doc_id", text.slug(F.left("text", F.lit(80))).alias("slug"), (~text.is_clean(F.col("text"), ["license"])).alias("licensed"), F.size(text.words_in(F.col("text"), ["the", "and", "of"])).cast("long").alias("listed"))
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", text.slug(F.col("text")).alias("slug"), (~text.is_clean(F.col("text"), ["license"])).alias("licensed"), F.size(text.words_in(F.col("text"), ["the", "and", "of"])).cast("long").alias("listed"))
 
 
 @query("""SELECT conv_id, count(*) AS turns, arg_min(role, turn) AS first_role, arg_max(role, turn) AS last_role, array_to_string(list(role ORDER BY turn), '|') AS roles FROM conversations GROUP BY 1""")

@@ -152,16 +152,37 @@ def test_fill_and_moving_polynomial(spark):
 def test_knowability_and_bands(spark):
     df = spark.createDataFrame([(None, 1.0, 9, True), (1.0, 0.5, 9, True), (1.0, 1.0, 9, False), (1.0, 1.0, 9, True)], "v double, c double, n int, s boolean")
     assert [r[0] for r in df.select(rules.knowability(F.col("v"), F.col("c"), F.col("n"), F.col("s"))).collect()] == ["unmeasured", "unmeasured", "view_blocked", "measured"]
-    assert len([1 for m in rules.REGISTRY.values() for _ in m]) == rules.registry(spark).count()
+
+
+def test_registry_and_variants(spark):
+    found = rules.registry(spark).toPandas().set_index("rule")
+    assert len(found) == 55 and found.index.is_unique
+    assert (found.loc["dip.excessive_depth", "threshold"], found.loc["dip.excessive_depth", "comparison"]) == (90.0, "<")
+    assert set(found[found.error == "lift_stall"].phase) == {"lifting"}
+    assert found.loc["pull_up.incomplete_lockout", "threshold"] == -27.6
+    df = spark.createDataFrame([("pull_up", " Strict"), ("pull_up", "tuck"), ("dip", "strict"), ("planche", None)], "m string, d string")
+    assert [r[0] for r in df.select(rules.declared_variant(F.col("m"), F.col("d"))).collect()] == ["strict", "unspecified", "unspecified", "unspecified"]
 
 
 def test_cycles_end_and_are_reported(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a"), ("d", "x")], "node string, requires string")
     nodes = spark.createDataFrame([(n,) for n in "abcd"], "node string")
-    found = graph.faults(nodes, edges, graph.closure(edges, 8)).collect()
+    found = graph.faults(nodes, edges, graph.closure(edges)).collect()
     assert {(r.node, r.fault) for r in found} == {("a", "cycle"), ("b", "cycle"), ("d", "dangling")}
 
 
+def test_long_chains_and_trees_end(spark):
+    edges = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(70)], "node string, requires string")
+    far = graph.closure(edges).filter("node = 'n00'").agg({"depth": "max"}).first()[0]
+    assert far == 70
+    nodes = spark.createDataFrame([(f"q{i}", "y", f"q{i + 1}") for i in range(12)], "node string, answer string, target string")
+    answers = spark.createDataFrame([(1, f"q{i}", "y") for i in range(12)] + [(2, "q0", "n")], "subject int, node string, answer string")
+    got = {r.subject: (r.node, len(r.path)) for r in graph.walked(nodes, answers, "q0").collect()}
+    assert got == {1: ("q12", 13), 2: ("q0", 1)}
+    with pytest.raises(ValueError):
+        graph.walked(spark.createDataFrame([("a", "y", "a")], nodes.schema), spark.createDataFrame([(1, "a", "y")], answers.schema), "a")
+
+
 def test_plan_walks_up_the_tiers(spark):
     edges = spark.createDataFrame([("dip", "push"), ("ring dip", "dip"), ("muscle up", "ring dip"), ("muscle up", "pull")], "node string, requires string")
     nodes = spark.createDataFrame([(n,) for n in ("push", "dip", "ring dip", "pull", "muscle up")], "node string")
