@@ -155,20 +155,6 @@ def camera_side(frames: DataFrame, clip: str = "video", least: int = 10, agree:
     return rows.select(clip, side.alias("side"), share.alias("side_confidence"))
 
 
-def phases(reps: DataFrame, descending: Column) -> DataFrame:
-    """Inclusive frame ranges of a repetition's phases; `descending` movements lower first."""
-    tenth = F.ceil(0.1 * F.col("fps")).cast("int")
-    first, second = F.when(descending, "lowering").otherwise("lifting"), F.when(descending, "lifting").otherwise("lowering")
-    rows = F.array(
-        F.struct(F.lit("rep").alias("phase"), F.col("start_frame").alias("a"), F.col("end_frame").alias("b")),
-        F.struct(F.lit("setup").alias("phase"), F.col("start_frame").alias("a"), F.least(F.col("start_frame") + tenth, F.col("turn_frame")).alias("b")),
-        F.struct(first.alias("phase"), F.col("start_frame").alias("a"), F.col("turn_frame").alias("b")),
-        F.struct(F.lit("turnaround").alias("phase"), F.greatest(F.col("turn_frame") - tenth, F.col("start_frame")).alias("a"), F.least(F.col("turn_frame") + tenth, F.col("end_frame")).alias("b")),
-        F.struct(second.alias("phase"), F.col("turn_frame").alias("a"), F.col("end_frame").alias("b")),
-    )
-    return reps.select("rep_id", "video", F.inline(rows))
-
-
 def measured_phases(frames: DataFrame, spans: DataFrame, value: str) -> DataFrame:
     """Median, range and coverage of a frame value in each phase."""
     rows = spans.join(frames.select("video", "frame", value), "video").filter(F.col("frame").between(F.col("a"), F.col("b")))
