@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kinelake.functions.num import index_quantile
+from kinelake.operators.relational import small
 
 
 def folds(clips: DataFrame, owner: str, label: str, k: int = 5, seed: int = 0) -> DataFrame:
@@ -61,7 +62,7 @@ def disputes(directory: DataFrame, vision: DataFrame, model: DataFrame, key: str
 
 def holdout_rates(scores: DataFrame, threshold: DataFrame, group: list[str]) -> DataFrame:
     """False-positive rate of clean holdout repetitions and detection rate per label."""
-    rows = scores.join(F.broadcast(threshold), group).withColumn("_hit", F.col("total") > F.col("p95"))
+    rows = scores.join(small(threshold), group).withColumn("_hit", F.col("total") > F.col("p95"))
     return rows.groupBy(*group, "label").agg(F.count(F.lit(1)).alias("n"), F.count_if("_hit").alias("detected"), F.avg(F.col("_hit").cast("double")).alias("rate"), F.percentile("percentile", F.lit(0.5)).alias("median_percentile"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from kinelake.functions.num import integer_median
 from kinelake.operators import relational, sequences
+from kinelake.operators.relational import small
 
 
 def verified(reps: DataFrame) -> DataFrame:
@@ -22,7 +23,7 @@ def day_records(reps: DataFrame) -> DataFrame:
 
 def readiness(days: DataFrame, standards: DataFrame) -> DataFrame:
     """Days that meet a movement's standard (reps, score, days), and its best day."""
-    rows = days.join(F.broadcast(standards), "movement")
+    rows = days.join(small(standards), "movement")
     met = (F.col("reps") >= F.col("need_reps")) & (F.col("score") >= F.col("need_score"))
     best = F.max_by(F.struct("day", "reps", "score"), F.struct("reps", "score", "day"))
     out = rows.groupBy("movement").agg(F.count_if(met).alias("days_met"), F.max("need_days").alias("need_days"), best.alias("best"))

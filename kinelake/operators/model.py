@@ -31,8 +31,7 @@ def out_of_fold(rows: DataFrame, vector: str, label: str, fold: str, variants: l
 
     The labelled feature table is bounded by what was labelled by hand.
     """
-    jobs = rows.sparkSession.createDataFrame([(h, s, k) for h, s in variants for k in range(folds)], "hidden int, seed int, held int")
-    data = rows.select(F.col(vector).alias("x"), F.col(label).alias("y"), F.col(fold).alias("f")).crossJoin(F.broadcast(jobs))
+    data = rows.select(F.col(vector).alias("x"), F.col(label).alias("y"), F.col(fold).alias("f")).withColumn("_job", F.explode(F.array(*[F.struct(F.lit(h).alias("hidden"), F.lit(s).alias("seed"), F.lit(k).alias("held")) for h, s in variants for k in range(folds)]))).select("x", "y", "f", "_job.*")
 
     def work(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         x, y = np.stack(part["x"].to_numpy()), part["y"].to_numpy(int)

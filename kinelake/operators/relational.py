@@ -83,11 +83,18 @@ def first_and_last(df: DataFrame, on: list[str], order: str, value: list[str], l
 def in_first_span(points: DataFrame, spans: DataFrame, on: list[str], point: str, low: str, high: str) -> DataFrame:
     """Each point with the first span (by low) of its group that holds it, or nulls.
 
-    points has a row per (group, point); spans of a group are joined by the
-    group's key, so a group's rows meet its own spans alone.
+    Points and spans meet in cells as wide as the mean span, so a group may have many
+    of both: a span is in two cells on average.  Repeated points stay; spans that end
+    before they start hold nothing.
     """
-    hit = points.join(spans, on, "left").withColumn("_in", F.col(point).between(F.col(low), F.col(high)))
-    return hit.groupBy(*on, point).agg(F.min(F.when(F.col("_in"), F.col(low))).alias(low), F.min_by(F.when(F.col("_in"), F.col(high)), F.when(F.col("_in"), F.col(low))).alias(high))
+    real = spans.filter(F.col(low) <= F.col(high))
+    width = real.agg(F.avg(F.col(high).cast("double") - F.col(low).cast("double"))).first()[0] or 1.0
+    cell = lambda c: F.floor(F.col(c).cast("double") / F.lit(float(width))).cast("long")
+    asked = points.select(*on, point).distinct().withColumn("_cell", cell(point))
+    covered = real.select(*on, low, high, F.explode(F.sequence(cell(low), cell(high))).alias("_cell"))
+    hit = asked.join(covered, [*on, "_cell"]).filter(F.col(point).between(F.col(low), F.col(high)))
+    first = hit.groupBy(*on, point).agg(F.min(low).alias(low), F.min_by(high, low).alias(high))
+    return points.join(first, [*on, point], "left")
 
 
 def within_tolerance(a: DataFrame, b: DataFrame, on: list[str], pairs: list[tuple[str, str]], most: float) -> DataFrame:

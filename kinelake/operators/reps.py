@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from kinelake.functions.num import finite, pct
 from kinelake.operators import pose
+from kinelake.operators.relational import small
 
 #: Limb segments whose length over the torso describes a body.
 SEGMENTS = {"upper_arm": ("shoulder", "elbow"), "forearm": ("elbow", "wrist"), "thigh": ("hip", "knee"), "shank": ("knee", "ankle")}
@@ -76,7 +77,7 @@ def joint_weights(frames: DataFrame, template: DataFrame, key: str) -> DataFrame
     frames: key, joint, c; template: joint, c.
     """
     clip = lambda c: F.greatest(F.lit(0.1), F.least(F.lit(1.0), c))
-    rows = frames.groupBy(key, "joint").agg(F.avg("c").alias("_a")).join(F.broadcast(template.groupBy("joint").agg(F.avg("c").alias("_b"))), "joint")
+    rows = frames.groupBy(key, "joint").agg(F.avg("c").alias("_a")).join(small(template.groupBy("joint").agg(F.avg("c").alias("_b"))), "joint")
     product = clip(F.col("_a")) * clip(F.col("_b"))
     return rows.select(key, "joint", (product / F.sum(product).over(Window.partitionBy(key))).alias("weight"))
 
@@ -110,7 +111,7 @@ def shortest_phase(points: DataFrame, spans: DataFrame, default: str = "rep") ->
 def evidence_rows(values: DataFrame, key: str, primitives: DataFrame) -> DataFrame:
     """A map of values as evidence rows with the primitives' plane, unit and phase."""
     long = values.select(key, F.explode("values").alias("primitive", "value"))
-    return long.withColumn("value", finite("value")).join(F.broadcast(primitives), "primitive", "left")
+    return long.withColumn("value", finite("value")).join(small(primitives), "primitive", "left")
 
 
 def names_by_state(evidence: DataFrame, key: str) -> DataFrame:

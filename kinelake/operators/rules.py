@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kinelake.functions.num import exceedance, fires
+from kinelake.operators.relational import small
 
 RULE_SCHEMA = "rule string, movement string, error string, name string, phase string, primitive string, comparison string, threshold double, variants array<string>"
 
@@ -108,7 +109,7 @@ def assessed(subjects: DataFrame, rules: DataFrame, evidence: DataFrame, key: li
     subjects: key, movement, variant, blocked; evidence: key, primitive, value,
     state.  A blocked subject is unobservable throughout.
     """
-    rows = subjects.join(F.broadcast(rules), "movement").filter(applies(F.col("variant"), F.col("variants")))
+    rows = subjects.join(small(rules), "movement").filter(applies(F.col("variant"), F.col("variants")))
     rows = rows.join(evidence.select(*key, "primitive", "value", "state"), [*key, "primitive"], "left")
     fired = fires(F.col("value"), F.col("comparison"), F.col("threshold"))
     status = F.when(F.coalesce("blocked", F.lit(False)), "unobservable").when(F.coalesce(F.col("state") != "measured", F.lit(True)), "unobservable").when(fired, "observed").otherwise("not_observed")
@@ -129,7 +130,7 @@ def consensus_faults(assessments: DataFrame, clip: list[str], rep: str, least: i
 
 def top_fixes(faults: DataFrame, clip: list[str], order: DataFrame | None = None, n: int = 3) -> DataFrame:
     """Up to n faults by coaching order, then prevalence, then exceedance, then name."""
-    rows = faults if order is None else faults.join(F.broadcast(order), "error", "left")
+    rows = faults if order is None else faults.join(small(order), "error", "left")
     place = F.lit(0) if order is None else F.coalesce("place", F.lit(1 << 20))
     w = Window.partitionBy(*clip).orderBy(place, F.desc("n"), F.desc("exceedance"), "error")
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)

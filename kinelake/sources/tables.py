@@ -93,7 +93,9 @@ def long(frames: DataFrame) -> DataFrame:
 
 def remapped(pose: DataFrame, mapping: DataFrame) -> DataFrame:
     """Landmarks of another topology (mapping: source, joint); unseen joints have c = 0."""
-    grid = pose.select("video", "frame").distinct().crossJoin(F.broadcast(mapping.select("source", "joint")))
+    # one row per landmark of the other topology: a few dozen
+    pairs = F.array(*[F.struct(F.lit(r["source"]).alias("source"), F.lit(r["joint"]).alias("joint")) for r in mapping.select("source", "joint").collect()])
+    grid = pose.select("video", "frame").distinct().select("video", "frame", F.inline(pairs))
     rows = grid.join(pose.withColumnRenamed("joint", "source"), ["video", "frame", "source"], "left")
     return rows.select("video", "frame", "joint", "x", "y", F.coalesce("c", F.lit(0.0)).alias("c"))
 

@@ -249,3 +249,15 @@ def test_replaced_and_charges(spark):
     ledger = spark.createDataFrame([("o", 1, 1), ("o", 2, -1), ("o", 3, -1)], "owner string, at int, d int")
     assert [r.accepted for r in jobs.accepted_charges(ledger, "owner", ["at"], "d").orderBy("at").collect()] == [True, True, False]
     assert math.isclose(1.0, 1.0)
+
+
+def test_first_spans_by_brute_force_with_repeated_points(spark):
+    rng = random.Random(5)
+    spans = [(g, lo, lo + rng.randrange(-2, 40)) for g in "ab" for lo in (rng.randrange(200) for _ in range(25))]
+    points = [(g, rng.randrange(-5, 260), i) for g in "abc" for i in range(60)] + [("a", 7, 900), ("a", 7, 901)]
+    got = relational.in_first_span(spark.createDataFrame(points, "g string, p int, i int"), spark.createDataFrame(spans, "g string, lo int, hi int"), ["g"], "p", "lo", "hi").collect()
+    assert len(got) == len(points)
+    for r in got:
+        held = [(lo, hi) for g, lo, hi in spans if g == r.g and lo <= r.p <= hi]
+        assert r.lo == min((lo for lo, _ in held), default=None)
+        assert (r.lo, r.hi) in held if held else r.hi is None
