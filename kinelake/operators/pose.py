@@ -73,10 +73,10 @@ def hip_line_offset(torso: Column) -> Column:
     return F.when(confident("left_shoulder", "right_shoulder", "left_hip", "right_hip", "left_ankle", "right_ankle"), cross / F.nullif(F.hypot(ax - sx, ay - sy), F.lit(0.0)) / torso * F.signum(ax - sx))
 
 
-def body_line() -> Column:
+def body_line(least: float = CONFIDENT) -> Column:
     """Angle of the trunk from the vertical, in degrees."""
     (sx, sy), (hx, hy) = midpoint("left_shoulder", "right_shoulder"), midpoint("left_hip", "right_hip")
-    return F.when(confident("left_shoulder", "right_shoulder", "left_hip", "right_hip"), F.degrees(F.atan2(F.abs(sx - hx), F.greatest(F.abs(sy - hy), F.lit(1e-6)))))
+    return F.when(confident("left_shoulder", "right_shoulder", "left_hip", "right_hip", least=least), F.degrees(F.atan2(F.abs(sx - hx), F.greatest(F.abs(sy - hy), F.lit(1e-6)))))
 
 
 def side_pair(frames: DataFrame, joint: str, clip: str = "video", both_share: float = 0.55) -> DataFrame:
@@ -172,3 +172,28 @@ def cropped(frames: DataFrame, start: float, end: float, clip: str = "video") ->
     w = Window.partitionBy(clip)
     n = F.max("frame").over(w) + 1
     return frames.withColumn("_n", n).filter((F.col("frame") >= F.floor(F.col("_n") * start)) & (F.col("frame") < F.ceil(F.col("_n") * end))).drop("_n")
+
+
+#: Range of a plausible shoulder width in torsos, and the agreement on a side.
+PRIOR_RANGE, SIDE_AGREEMENT = (0.65, 0.95), 0.70
+
+
+def apparent_ratios(frames: DataFrame, clip: str = "video") -> DataFrame:
+    """Shoulder width over the clip's torso in frames that see both shoulders."""
+    rows = frames.filter(confident("left_shoulder", "right_shoulder")).join(clip_torso(frames, clip), clip)
+    return rows.select(clip, "frame", (distance("left_shoulder", "right_shoulder") / F.nullif(F.col("torso"), F.lit(0.0))).alias("ratio"))
+
+
+def estimated_view(frames: DataFrame, clip: str = "video", least: int = 10) -> DataFrame:
+    """Camera bin of each clip from its own widest shoulders, and why it can't be trusted.
+
+    theta from the median ratio against the 97th percentile; refused for few frames, a
+    ruler outside the plausible range, an unclear side or an angle outside every bin.
+    """
+    ratio = apparent_ratios(frames, clip).groupBy(clip).agg(F.count("ratio").alias("n"), pct("ratio", 97).alias("ruler"), med("ratio").alias("_median"))
+    rows = frames.select(clip).distinct().join(ratio, clip, "left").join(camera_side(frames, clip, least, SIDE_AGREEMENT), clip, "left")
+    theta = azimuth(F.col("_median"), F.greatest("ruler", F.lit(1e-6)))
+    rows = rows.withColumn("theta", theta).withColumn("bin", azimuth_bin(F.col("theta")))
+    few = F.coalesce("n", F.lit(0)) < least
+    reason = F.when(few, "few frames").when(~F.col("ruler").between(*PRIOR_RANGE), "implausible ruler").when(~F.coalesce(F.col("side_confidence") >= SIDE_AGREEMENT, F.lit(False)), "unclear side").when(F.col("bin") == "UNKNOWN", "outside every bin")
+    return rows.select(clip, F.when(~few, F.col("bin")).otherwise("UNKNOWN").alias("bin"), "side", "ruler", F.when(~few, F.col("theta")).alias("theta"), reason.isNull().alias("knowable"), reason.alias("reason"))

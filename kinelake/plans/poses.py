@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelake.operators import evidence, pose, reps, rules
+from kinelake.operators import evidence, holds, pose, reps, rules, scoring
 from kinelake.plans.catalogue import _FRAMES, frames, query, rounded
 from kinelake.sources.tables import BODY, JOINTS
 
@@ -317,3 +317,91 @@ _THETA = f"degrees(asin(greatest(0.0, least(1.0, {_APPARENT} / 0.45))))"
 def camera_bins(spark, sf_dir):
     rows = pose_frames(spark, sf_dir).select("video", "frame", pose.azimuth(F.expr(_APPARENT), F.lit(0.45)).alias("theta"))
     return rounded(rows.withColumn("bin", pose.azimuth_bin(F.col("theta"))), 6, "theta")
+
+
+_LEVEL = 4.0
+_SEEN_TRUNK = "(" + " AND ".join(f"{j}_c >= 0.35" for j in ("left_hip", "right_hip", "left_shoulder", "right_shoulder")) + ")"
+_HOLDS = f"""b AS (SELECT *, CASE WHEN {_SEEN_TRUNK} THEN {_TRUNK} END AS line, ({_mid('hip', 'x')} - {_mid('shoulder', 'x')}) / torso AS away FROM p JOIN t USING (video)),
+    i AS (SELECT video, frame, frame - row_number() OVER (PARTITION BY video ORDER BY frame) AS g FROM b WHERE line >= {_LEVEL}),
+    n AS (SELECT video, row_number() OVER (PARTITION BY video ORDER BY min(frame)) AS hold, min(frame) AS start_frame, max(frame) AS end_frame FROM i GROUP BY video, g HAVING count(*) / 30.0 >= 0.2)"""
+
+
+def _level_holds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    clips = pose_frames(spark, sf_dir)
+    return clips, holds.attempts(clips, 30.0, _LEVEL, 0.2)
+
+
+@query(f"WITH {_P}, {_CLIP}, {_HOLDS} SELECT video, hold, start_frame, end_frame FROM n")
+def hold_attempts(spark, sf_dir):
+    return _level_holds(spark, sf_dir)[1]
+
+
+@query(f"""WITH {_P}, {_CLIP}, {_HOLDS}, k AS (SELECT *, least(end_frame, start_frame + 3) AS o, greatest(start_frame, end_frame - 3) AS l FROM n), q AS (SELECT *, least(o + 1, end_frame) AS ma, greatest(l - 1, start_frame) AS mb FROM k)
+    SELECT video, hold, phase, CASE phase WHEN 'exit' THEN l WHEN 'sustained' THEN CASE WHEN mb < ma THEN start_frame ELSE ma END ELSE start_frame END AS a,
+    CASE phase WHEN 'onset' THEN o WHEN 'sustained' THEN CASE WHEN mb < ma THEN end_frame ELSE mb END ELSE end_frame END AS b FROM q, (SELECT unnest(['hold', 'onset', 'sustained', 'exit']) AS phase)""")
+def hold_phases(spark, sf_dir):
+    return holds.phases(_level_holds(spark, sf_dir)[1])
+
+
+def _limbs(part: tuple[str, str, str], need: tuple[str, str]) -> str:
+    ok = "(" + " AND ".join(f"{s}_{j}_c >= 0.35" for j in need for s in ("left", "right")) + ")"
+    bare = [_angle(*(f"{s}_{j}" for j in part)).replace(_seen(*(f"{s}_{j}" for j in part)), ok) for s in ("left", "right")]
+    return f"[{bare[0]}, {bare[1]}]"
+
+
+_CLIP_LIMBS = f"""o AS (SELECT video, unnest({_limbs(("shoulder", "elbow", "wrist"), ("shoulder", "wrist"))}) AS arm, unnest({_limbs(("hip", "knee", "ankle"), ("hip", "ankle"))}) AS leg, unnest({_limbs(("shoulder", "hip", "knee"), ("shoulder", "hip"))}) AS pike FROM p),
+    x AS (SELECT video, avg(CASE WHEN arm >= 160 THEN 1.0 WHEN arm < 160 THEN 0.0 END) AS arms_straight_frac, avg(CASE WHEN leg >= 160 THEN 1.0 WHEN leg < 160 THEN 0.0 END) AS legs_straight_frac, quantile_cont(pike, 0.5) AS hip_pike_deg FROM o GROUP BY video)"""
+_HELD = ("body_line_deg", "horizontal_frac", "swing", "sustain_s", "arms_straight_frac", "legs_straight_frac", "hip_pike_deg")
+
+
+@query(f"""WITH {_P}, {_CLIP}, {_HOLDS}, {_CLIP_LIMBS}, y AS (SELECT video, hold, quantile_cont(line, 0.5) AS body_line_deg, avg(CASE WHEN line >= {_LEVEL} THEN 1.0 WHEN line < {_LEVEL} THEN 0.0 END) AS horizontal_frac,
+    quantile_cont(away, 0.95) - quantile_cont(away, 0.05) AS swing, first(end_frame - start_frame) / 30.0 AS sustain_s FROM b JOIN n USING (video) WHERE frame BETWEEN start_frame AND end_frame GROUP BY 1, 2)
+    SELECT video, hold, {", ".join(f"round({c}, 5) AS {c}" for c in _HELD)} FROM y JOIN x USING (video)""")
+def hold_metrics(spark, sf_dir):
+    clips, found = _level_holds(spark, sf_dir)
+    return rounded(holds.metrics(clips, found, 30.0, _LEVEL), 5, *_HELD)
+
+
+_WIDTH = "sqrt(pow(left_shoulder_x - right_shoulder_x, 2) + pow(left_shoulder_y - right_shoulder_y, 2))"
+
+
+@query(f"""WITH {_P}, {_CLIP}, a AS (SELECT video, count(*) AS n, quantile_cont({_WIDTH} / torso, 0.97) AS ruler, quantile_cont({_WIDTH} / torso, 0.5) AS middle FROM p JOIN t USING (video) WHERE {_seen('left_shoulder', 'right_shoulder')} GROUP BY video),
+    s AS (SELECT video, count({_SHOULDERS}) AS k, avg(CASE WHEN {_SHOULDERS} > 0 THEN 1.0 WHEN {_SHOULDERS} <= 0 THEN 0.0 END) AS q FROM p GROUP BY video),
+    d AS (SELECT *, degrees(asin(greatest(0.0, least(1.0, middle / greatest(ruler, 1e-6))))) AS theta, greatest(q, 1 - q) AS agree FROM s LEFT JOIN a USING (video)),
+    u AS (SELECT *, CASE WHEN theta < 20 THEN 'SAGITTAL' WHEN theta < 65 THEN 'OBLIQUE' WHEN theta >= 65 THEN 'FRONTAL' ELSE 'UNKNOWN' END AS bin0, coalesce(n, 0) < 10 AS few FROM d)
+    SELECT video, CASE WHEN few THEN 'UNKNOWN' ELSE bin0 END AS bin, CASE WHEN k >= 10 AND agree >= 0.7 THEN CASE WHEN q >= 0.5 THEN 'left' ELSE 'right' END ELSE 'unknown' END AS side, round(ruler, 6) AS ruler, CASE WHEN NOT few THEN round(theta, 6) END AS theta,
+    CASE WHEN few THEN 'few frames' WHEN NOT ruler BETWEEN 0.65 AND 0.95 THEN 'implausible ruler' WHEN NOT coalesce(agree >= 0.7, false) THEN 'unclear side' WHEN bin0 = 'UNKNOWN' THEN 'outside every bin' END AS reason FROM u""")
+def estimated_views(spark, sf_dir):
+    return rounded(pose.estimated_view(pose_frames(spark, sf_dir)).drop("knowable"), 6, "ruler", "theta")
+
+
+@query(f"WITH {_P}, {_CLIP} SELECT video, frame, round({_WIDTH} / torso, 6) AS ratio FROM p JOIN t USING (video) WHERE {_seen('left_shoulder', 'right_shoulder')}")
+def apparent_widths(spark, sf_dir):
+    return rounded(pose.apparent_ratios(pose_frames(spark, sf_dir)), 6, "ratio")
+
+
+_SCORED = """r AS (SELECT o_orderkey AS rep_id, o_custkey AS video, o_orderpriority AS bin, o_totalprice AS total, o_orderkey % 1000 AS joint FROM orders), z AS (SELECT bin, total, joint FROM r WHERE rep_id % 3 = 0)"""
+
+
+@query(f"""WITH {_SCORED}, l AS (SELECT bin, quantile_cont(total, 0.95) AS p95, count(*) AS n FROM z GROUP BY bin),
+    v AS (SELECT bin, 0 AS nul, rep_id, video, total, joint FROM r UNION ALL SELECT bin, 1, NULL, NULL, total, joint FROM z),
+    w AS (SELECT *, sum(nul) OVER (PARTITION BY bin ORDER BY total) AS tu, sum(nul) OVER (PARTITION BY bin, total) AS te, sum(nul) OVER (PARTITION BY bin ORDER BY joint) AS ju, sum(nul) OVER (PARTITION BY bin, joint) AS je FROM v)
+    SELECT rep_id, video, bin, total, joint, round(p95, 6) AS null_p95, n AS n_null, round(100.0 * (tu - te + 0.5 * te) / n, 6) AS total_percentile, round(100.0 * (ju - je + 0.5 * je) / n, 6) AS joint_percentile, total > p95 AS flagged FROM w JOIN l USING (bin) WHERE nul = 0""")
+def flagged_scores(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("rep_id"), F.col("o_custkey").alias("video"), F.col("o_orderpriority").alias("bin"), F.col("o_totalprice").cast("double").alias("total"), (F.col("o_orderkey") % 1000).alias("joint"))
+    null = rows.filter("rep_id % 3 = 0").select("bin", "total", "joint")
+    return rounded(scoring.flagged_scores(rows, null, ["total", "joint"], ["bin"]), 6, "null_p95", "total_percentile", "joint_percentile")
+
+
+@query("""WITH s AS (SELECT user_id, date_trunc('week', ts) AS w, count(*) AS n_reps FROM events GROUP BY 1, 2), p AS (SELECT user_id, count(*) AS sessions, count(*) FILTER (n_reps >= 3) AS usable FROM s GROUP BY 1),
+    c AS (SELECT user_id, event_type AS label, avg(value) > 60 AS supported, CASE WHEN count(*) % 3 = 0 THEN 'better' WHEN count(*) % 3 = 1 THEN 'worse' END AS direction FROM events GROUP BY 1, 2),
+    g AS (SELECT user_id, list_sort(list(label) FILTER (supported AND direction = 'better')) AS b, list_sort(list(label) FILTER (supported AND direction = 'worse')) AS w, list_sort(list(label) FILTER (supported AND direction IS NULL)) AS n FROM c GROUP BY 1),
+    v AS (SELECT *, CASE WHEN sessions < 2 THEN 'one_session' WHEN usable < 2 THEN 'too_few_reps' WHEN b IS NULL AND w IS NULL AND n IS NULL THEN 'stable' ELSE 'changed' END AS verdict FROM p LEFT JOIN g USING (user_id))
+    SELECT user_id, sessions, usable, verdict, CASE WHEN verdict = 'changed' THEN coalesce(array_to_string(b, ','), '') ELSE '' END AS improved, CASE WHEN verdict = 'changed' THEN coalesce(array_to_string(w, ','), '') ELSE '' END AS declined, CASE WHEN verdict = 'changed' THEN coalesce(array_to_string(n, ','), '') ELSE '' END AS changed FROM v""")
+def progress_verdicts(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    sessions = events.groupBy("user_id", F.date_trunc("week", F.col("ts").cast("timestamp")).alias("w")).agg(F.count(F.lit(1)).alias("n_reps"))
+    n = F.count(F.lit(1)) % 3
+    found = events.groupBy("user_id", F.col("event_type").alias("label")).agg((F.avg("value") > 60).alias("supported"), F.when(n == 0, "better").when(n == 1, "worse").alias("direction"))
+    out = scoring.progress_verdict(sessions, found, ["user_id"])
+    return out.withColumns({c: F.array_join(c, ",") for c in ("improved", "declined", "changed")})
