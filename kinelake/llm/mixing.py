@@ -152,17 +152,15 @@ def block_draws(targets: DataFrame) -> DataFrame:
     )
 
 
-def mixed(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mixed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The mix of docs: its rows with _row and size, the targets, and the sequence.
 
     The sequence has a row for each slot and document in it: _row, _round, _slot, and
     lo and n, the run of the document's words that is in the slot.
     """
-    wanted = list(dict.fromkeys(["doc_id", "source", *columns]))
-    rows = sized(docs).select(*wanted, "size")
-    light = written(rows.withColumn("_row", F.monotonically_increasing_id()), "sized")
+    light = written(numbered_rows(sized(docs)).select("doc_id", "source", "size", "_row"), "sized")
     targets = written(source_targets(light), "targets").coalesce(1)
-    placed = packed(light.select("doc_id", "source", "size", "_row"), light.count())
+    placed = packed(light, light.count())
     first, last = F.floor(F.col("_from") / BLOCK_WORDS), F.floor((F.col("_from") + F.col("size") - 1) / BLOCK_WORDS)
     pieces = placed.filter("size > 0").select("source", "_row", "_from", "size", F.explode(F.sequence(first, last)).alias("_b"))
     draws = block_draws(targets)
@@ -173,13 +171,17 @@ def mixed(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame, Da
     return light, targets, pieces.select("_row", "_round", "_slot", lo.alias("lo"), (hi - lo).alias("n"))
 
 
+def numbered_rows(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_row", F.monotonically_increasing_id())
+
+
 def shard_of(slot: Column) -> Column:
     return F.floor(slot / SHARD_SLOTS).cast("int")
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document."""
-    light, targets, sequence = mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), [])
+    light, targets, sequence = mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     taken = sequence.groupBy("_row").agg(F.sum("n").alias("taken"))
     targets = targets.select(F.col("source").alias("_s"), "source_size", "target")
     # one row per source: a table as large as the number of sources
@@ -193,18 +195,20 @@ def mix_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A document gives one row for each round that takes any of it, with the
     taken words in text order; taken whole, the text stays as it is.  A row is in
     the shard of the slot of its first word; a shard is in one partition, and its
-    rows are in order of these slots.
+    rows are in order of these slots.  docs is the table that the stage before wrote:
+    it is read twice and its rows have the same numbers each time.
     """
     names = docs.columns
     # other columns travel in a struct, so their names can't clash
     others = [c for c in names if c not in ("doc_id", "text", "source")]
     rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("int")
-    light, _, sequence = mixed(docs.select("doc_id", "text", "source", rest.alias("_rest")), ["text", "_rest"])
+    docs = docs.select("doc_id", "text", "source", rest.alias("_rest"))
+    _, _, sequence = mixed(docs)
     runs = sequence.groupBy("_row", "_round").agg(F.array_sort(F.collect_list(F.struct("lo", "n"))).alias("_runs"), F.min_by("_slot", "lo").alias("_slot"), F.sum("n").alias("_words"))
     # a document's rounds come together, so that its words are split once
     runs = runs.groupBy("_row").agg(F.collect_list(F.struct("_slot", "_words", "_runs")).alias("_rounds"))
     split = F.when(F.exists("_rounds", lambda r: r["_words"] < F.col("size")), F.regexp_extract_all("text", F.lit(f"({WORD_PATTERN})"), F.lit(1)))
-    rows = light.join(runs, "_row").withColumn("_split", split)
+    rows = numbered_rows(sized(docs)).join(runs, "_row").withColumn("_split", split)
     rows = rows.select("doc_id", "text", "source", "_rest", "size", "_split", F.explode("_rounds").alias("_r"))
     part = F.array_join(F.flatten(F.transform("_r._runs", lambda p: F.slice("_split", (p["lo"] + 1).cast("int"), p["n"].cast("int")))), " ")
     rows = rows.withColumn("text", F.when(F.col("_r._words") == F.col("size"), F.col("text")).otherwise(part))

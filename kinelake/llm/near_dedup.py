@@ -358,7 +358,8 @@ def near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     low = nodes.select("node", "low").join(labels, "node")
     least = low.groupBy("label").agg(F.min("low").alias("component_id"))
     of_node = nodes.select("node", "low").join(hot_join(labels, least, "label", "node").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "low").alias("component_id"))
-    out = rows.select("doc_id", "n", "node").join(of_node, "node", "left")
+    # equal texts are one node: any share of the rows
+    out = hot_join(rows.select("doc_id", "n", "node"), of_node, "node", "doc_id", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 

@@ -51,7 +51,7 @@ def test_op8_draws_counts_by_shard_and_fills_every_slot_once(spark, tmp_path, mo
     monkeypatch.setattr(mixing, "SHARD_SLOTS", 64)
     monkeypatch.setattr(mixing, "SHARD_GROUP", 4)
     rows, docs = mixed_sources(spark, tmp_path)
-    light, targets, sequence = mixing.mixed(docs, [])
+    light, targets, sequence = mixing.mixed(docs)
     counts = {(r._shard, r._s): r._count for r in mixing.shard_counts(targets).collect()}
     shards = sorted({s for s, _ in counts})
     assert all(sum(n for (s, _), n in counts.items() if s == shard) == 64 for shard in shards[:-1])
