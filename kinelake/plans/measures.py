@@ -343,7 +343,7 @@ def detection_contract(spark, sf_dir):
     return contracts.detection(o, "key")
 
 
-@query("""WITH t AS (SELECT o_orderkey AS k, 'scored ' || CAST(round(o_totalprice / 1000, 1) AS VARCHAR) || ' of ' || CAST(100 + o_orderkey % 50 AS VARCHAR) AS text, CASE WHEN o_orderkey % 3 = 0 THEN round(o_totalprice / 1000, 1) ELSE -1.0 END AS fact FROM orders) SELECT DISTINCT k, raw FROM (SELECT k, fact, unnest([split_part(text, ' ', 2), split_part(text, ' ', 4)]) AS raw FROM t) WHERE abs(CAST(raw AS DOUBLE) - fact) > 1e-9""")
+@query("""WITH t AS (SELECT o_orderkey AS k, 'scored ' || CAST(round(o_totalprice / 1000, 1) AS VARCHAR) || ' of ' || CAST(100 + o_orderkey % 50 AS VARCHAR) AS text, CASE WHEN o_orderkey % 3 = 0 THEN round(o_totalprice / 1000, 1) ELSE -1.0 END AS fact FROM orders) SELECT DISTINCT k, raw FROM (SELECT k, fact, unnest([split_part(text, ' ', 2), split_part(text, ' ', 4)]) AS raw FROM t) WHERE abs(CAST(raw AS DOUBLE) - round(fact, CAST(length(split_part(raw, '.', 2)) AS INTEGER))) > 1e-9""")
 def invented_numbers(spark, sf_dir):
     k = F.col("o_orderkey")
     price = F.round(F.col("o_totalprice") / 1000, 1)
