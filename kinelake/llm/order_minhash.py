@@ -38,7 +38,7 @@ BINS = 64
 PLACE_BITS = 24
 PLACE = (1 << PLACE_BITS) - 1
 #: Documents of a neighbour range, about.
-RANGE_ROWS = 2000
+RANGE_ROWS = 500
 #: Quantiles of doc_id; each is cut into equal ranges, as many as its rows ask for.
 QUANTILES = 256
 #: Ranges up to which their ends are broadcast: two numbers each.
