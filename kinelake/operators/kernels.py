@@ -106,48 +106,71 @@ def peaks(signal: np.ndarray, prominence: float, distance: int) -> np.ndarray:
     return at[prominences(signal, at) >= prominence] if len(at) else at
 
 
-def repetitions(signal: np.ndarray, valid: np.ndarray, active: np.ndarray, fps: float, least_s: float = 0.6, share: float = 0.35, gate: float = 0.25, floor: float = 0.15, most_half_s: float = 6.0, least_observed: float = 0.6) -> list[dict]:
+def spans_of(signal: np.ndarray, valid: np.ndarray, active: np.ndarray, floor: float) -> list[tuple[int, int, float, float]]:
+    """First and last frame, rest level and amplitude of the active spans that move.
+
+    Rest and apex are the 15th and 97th percentile of the span's observed frames; a
+    span longer than four half windows of smoothing leaves out half a window at both
+    ends, and one with fewer than 5 observed frames takes the clip's active ones.
+    """
+    observed = valid & active
+    if observed.sum() < 5:
+        return []
+    edge = window_length(len(signal)) // 2
+    out = []
+    for first, last in runs(active):
+        inner = slice(first + edge, last - edge + 1) if last - first > 4 * edge else slice(first, last + 1)
+        own = signal[inner][observed[inner]]
+        rest, apex = np.percentile(own if len(own) >= 5 else signal[observed], [15, 97])
+        if apex - rest >= floor:
+            out.append((first, last, float(rest), float(apex - rest)))
+    return out
+
+
+def boundary(signal: np.ndarray, at: int, step: int, bounds: tuple[int, int], gate: float, most: int) -> int:
+    """The frame that a walk from a turn ends at: out of the gate, and on while the signal falls."""
+    line = signal[at : bounds[1] + 1] if step > 0 else signal[bounds[0] : at + 1][::-1]
+    n = 0
+    while n + 1 < len(line) and n < most and line[n + 1] > gate:
+        n += 1
+    outside, falling = n, 0
+    while n + 1 < len(line) and falling < most - outside and line[n + 1] < line[n]:
+        n, falling = n + 1, falling + 1
+    return at + step * n
+
+
+def repetitions(signal: np.ndarray, valid: np.ndarray, active: np.ndarray, fps: float, least_s: float = 0.6, share: float = 0.35, gate: float = 0.30, least_height: float = 0.6, floor: float = 0.15, most_half_s: float = 4.0, least_observed: float = 0.6) -> list[dict]:
     """Repetitions of an oriented signal that rises to its turn.
 
-    Per active span the amplitude is the 15th to 97th percentile of its inside;
-    peaks with a share of it are walked down to the gate and then on while the
-    signal falls.  A candidate gets the first reason that rules it out; of two
-    that overlap by more than a quarter of the shorter, the stronger stays.
+    In each active span, peaks that stand out by a share of its amplitude (looked for
+    with the neighbouring frames) are walked outwards to their boundaries.  A candidate
+    gets the first reason that rules it out; of two that overlap by more than a quarter
+    of the shorter, the one with the higher turn stays.
     """
+    apart, most = max(1, int(least_s * fps)), int(most_half_s * fps)
     out: list[dict] = []
-    half_window = window_length(len(signal)) // 2
-    for a, b in runs(active):
-        inside = signal[a + half_window : b + 1 - half_window]
-        base = inside if len(inside) >= 5 else signal
-        low, high = np.percentile(base, [15, 97])
-        amplitude = high - low
-        if amplitude < floor:
-            continue
-        part = signal[a : b + 1]
-        for p in peaks(np.r_[low, part, low], share * amplitude, max(1, int(least_s * fps))) - 1:
-            p = int(np.clip(p, 0, len(part) - 1))
-            level = low + gate * amplitude
-            most = int(most_half_s * fps)
-            s, e = p, p
-            while s > max(0, p - most) and part[s] > level:
-                s -= 1
-            while s > max(0, p - most) and part[s - 1] < part[s]:
-                s -= 1
-            while e < min(len(part) - 1, p + most) and part[e] > level:
-                e += 1
-            while e < min(len(part) - 1, p + most) and part[e + 1] < part[e]:
-                e += 1
-            seen = float(valid[a + s : a + e + 1].mean())
-            reason = "too_short" if (e - s) / fps < least_s else "unobserved" if seen < least_observed else "no_descent" if part[p] - max(part[s], part[e]) < share * amplitude else None
-            out.append({"start": a + s, "turn": a + p, "end": a + e, "height": float(part[p] - low), "reason": reason})
-    good = sorted((r for r in out if r["reason"] is None), key=lambda r: -r["height"])
-    kept: list[dict] = []
-    for r in good:
-        clash = any(min(r["end"], k["end"]) - max(r["start"], k["start"]) > 0.25 * min(r["end"] - r["start"], k["end"] - k["start"]) for k in kept)
-        r["reason"] = "overlap" if clash else None
-        if not clash:
-            kept.append(r)
-    return sorted(out, key=lambda r: r["start"])
+    for first, last, rest, amplitude in spans_of(signal, valid, active, floor):
+        start = max(0, first - apart)
+        for turn in (peaks(signal[start : last + apart + 1], share * amplitude, apart) + start).tolist():
+            if not first <= turn <= last:
+                continue
+            s, e = (boundary(signal, turn, d, (first, last), rest + gate * amplitude, most) for d in (-1, 1))
+            reasons = [
+                ("shallow", signal[turn] < rest + least_height * amplitude),
+                ("turn_unobserved", not valid[turn]),
+                ("too_short", e - s < max(3, apart // 2)),
+                ("unobserved", valid[s : e + 1].mean() < least_observed),
+            ]
+            out.append({"start": s, "turn": turn, "end": e, "height": float(signal[turn] - rest), "reason": next((name for name, bad in reasons if bad), None)})
+    kept: dict | None = None
+    for r in sorted((r for r in out if r["reason"] is None), key=lambda r: r["turn"]):
+        if kept and min(r["end"], kept["end"]) - max(r["start"], kept["start"]) > 0.25 * min(r["end"] - r["start"], kept["end"] - kept["start"]):
+            loser = r if signal[r["turn"]] <= signal[kept["turn"]] else kept
+            loser["reason"] = "overlap"
+            if loser is r:
+                continue
+        kept = r
+    return sorted(out, key=lambda r: (r["start"], r["turn"]))
 
 
 def rescued(signal: np.ndarray, valid: np.ndarray, fps: float) -> list[dict]:
@@ -270,7 +293,8 @@ def train_mlp(x: np.ndarray, y: np.ndarray, classes: int, hidden: int = 32, epoc
     rng = np.random.default_rng(seed)
     mean, std = x.mean(0), x.std(0) + 1e-9
     z = (x - mean) / std
-    weight = (len(y) / (classes * np.maximum(np.bincount(y, minlength=classes), 1)))[y]
+    inverse = classes / (np.bincount(y, minlength=classes) + 1e-6)
+    weight = (inverse / inverse.mean())[y]
     p = [rng.normal(0, np.sqrt(2 / x.shape[1]), (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, np.sqrt(2 / hidden), (hidden, classes)), np.zeros(classes)]
     m, v = [np.zeros_like(w) for w in p], [np.zeros_like(w) for w in p]
     goal = np.eye(classes)[y]

@@ -261,3 +261,40 @@ def test_first_spans_by_brute_force_with_repeated_points(spark):
         held = [(lo, hi) for g, lo, hi in spans if g == r.g and lo <= r.p <= hi]
         assert r.lo == min((lo for lo, _ in held), default=None)
         assert (r.lo, r.hi) in held if held else r.hi is None
+
+
+def golden_clip(fps=30.0):
+    """Two sets with a walk between: 3 deep and 2 shallow repetitions, and one lost turn."""
+    t = np.arange(60) / 60
+    rep = lambda h: h * (0.5 - 0.5 * np.cos(2 * np.pi * t))
+    signal = np.concatenate([rep(1.0)] * 3 + [np.linspace(0, 3, 60), np.linspace(3, 0, 60)] + [rep(0.4)] * 2 + [rep(1.0)])
+    active = np.ones(len(signal), bool)
+    active[180:300] = False
+    valid = np.ones(len(signal), bool)
+    valid[440:460] = False
+    return signal, valid, active
+
+
+def test_segmentation_of_a_golden_clip():
+    signal, valid, active = golden_clip()
+    found = kernels.repetitions(signal, valid, active, 30.0)
+    good = [(r["start"], r["turn"], r["end"]) for r in found if r["reason"] is None]
+    assert [t for _, t, _ in good] == [30, 90, 150]
+    assert all(e - s >= 55 for s, _, e in good)
+    # the second span has its own amplitude, set by its observed frames
+    spans = kernels.spans_of(signal, valid, active, 0.15)
+    assert [(a, b) for a, b, _, _ in spans] == [(0, 179), (300, len(signal) - 1)]
+    assert {r["reason"] for r in found if r["start"] >= 300} <= {"turn_unobserved", "shallow", None}
+    # with the shallow set alone, its repetitions are found
+    only = active.copy()
+    only[420:] = False
+    shallow = [r["turn"] for r in kernels.repetitions(signal, valid, only, 30.0) if r["reason"] is None and r["turn"] >= 300]
+    assert shallow == [330, 390]
+
+
+def test_boundaries_walk_on_while_the_signal_falls():
+    signal = np.array([0.2, 0.0, 0.1, 0.5, 1.0, 0.5, 0.2, 0.1, 0.3])
+    assert kernels.boundary(signal, 4, -1, (0, 8), 0.3, 100) == 1
+    assert kernels.boundary(signal, 4, 1, (0, 8), 0.3, 100) == 7
+    assert kernels.boundary(signal, 4, 1, (0, 6), 0.3, 100) == 6
+    assert kernels.boundary(signal, 4, 1, (0, 8), 0.3, 1) == 5
