@@ -50,35 +50,64 @@ def compared(pairs: DataFrame, noise: DataFrame, on: list[str], metric: str, lea
     return rows.withColumn("change_pct", 100 * F.col("change") / F.nullif(F.abs(a), F.lit(0.0))).withColumn("effect", effect).withColumn("supported", F.coalesce(F.abs("effect") >= least_effect, F.lit(False))).withColumn("direction", F.when(F.col("change") > 0, "up").when(F.col("change") < 0, "down").otherwise("same"))
 
 
+def running(per: DataFrame, group: list[str], order: str, sums: list[str]) -> DataFrame:
+    """per with, for each of sums, <name>_upto (running sum over order) and <name>_all, and _next, the next value.
+
+    A group may have any share of the rows: sums run within ranges of the order and over
+    the ranges' totals. per has one row per group and value of order, none of them null.
+    """
+    ranges = max(2, int(per.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    cuts = sorted(set(per.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
+    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order).cast("double"))) if cuts else F.lit(0)
+    # null-safe: a struct of nulls is a key like any other
+    keyed = per.withColumn("_g", F.struct(*group)).withColumn("_b", place)
+    totals = keyed.groupBy("_g", "_b").agg(F.min(order).alias("_min"), *[F.sum(c).alias(f"_t_{c}") for c in sums])
+    w = Window.partitionBy("_g").orderBy("_b")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_g", "_b", F.lead("_min").over(w).alias("_first"), *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_s_{c}") for c in sums], *[F.sum(f"_t_{c}").over(Window.partitionBy("_g")).alias(f"{c}_all") for c in sums])
+    inner = Window.partitionBy("_g", "_b").orderBy(order)
+    upto = inner.rowsBetween(Window.unboundedPreceding, 0)
+    rows = keyed.join(starts, ["_g", "_b"])
+    rows = rows.withColumns({**{f"{c}_upto": F.col(f"_s_{c}") + F.sum(c).over(upto) for c in sums}, "_next": F.coalesce(F.lead(order).over(inner), "_first")})
+    return rows.drop("_g", "_b", "_first", *[f"_s_{c}" for c in sums])
+
+
 def mid_rank_percentile(df: DataFrame, group: list[str], value: str, name: str = "percentile") -> DataFrame:
-    """100 * (below + equal / 2) / n of each value within its group."""
-    w = Window.partitionBy(*group)
-    below = F.rank().over(w.orderBy(value)) - 1
-    equal = F.count(F.lit(1)).over(Window.partitionBy(*group, value))
-    return df.withColumn(name, F.lit(100.0) * (below + F.lit(0.5) * equal) / F.count(F.lit(1)).over(w))
+    """100 * (below + equal / 2) / n of each value within its group; null values have none and don't count."""
+    per = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_k"))
+    rank = F.lit(100.0) * (F.col("_k_upto") - F.lit(0.5) * F.col("_k")) / F.col("_k_all")
+    found = running(per, group, value, ["_k"]).select(F.struct(*group, value).alias("_key"), rank.alias(name))
+    return df.withColumn("_key", F.struct(*group, value)).join(found, "_key", "left").drop("_key")
 
 
 def percentile_against(values: DataFrame, null: DataFrame, group: list[str], value: str, null_value: str) -> DataFrame:
     """Mid-rank percentile of values in the null distribution of their group.
 
-    Both sides are merged and ranked in one window, so no pair is formed.
+    Both sides are counted by value, so no pair is formed.
     """
-    a = values.withColumn("_v", F.col(value)).withColumn("_null", F.lit(0))
-    b = null.select(*group, F.col(null_value).alias("_v"), F.lit(1).alias("_null"))
-    both = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(*group)
-    upto = F.sum("_null").over(w.orderBy("_v"))
-    equal = F.sum("_null").over(Window.partitionBy(*group, "_v"))
-    total = F.sum("_null").over(w)
-    return both.withColumn("percentile", F.lit(100.0) * (upto - equal + F.lit(0.5) * equal) / F.nullif(total, F.lit(0))).filter("_null = 0").drop("_v", "_null")
+    a = values.select(*group, F.col(value).cast("double").alias("_v"), F.lit(0).alias("_null"))
+    b = null.select(*group, F.col(null_value).cast("double").alias("_v"), F.lit(1).alias("_null"))
+    per = a.unionByName(b).filter("_v IS NOT NULL").groupBy(*group, "_v").agg(F.sum("_null").alias("_k"))
+    rank = F.lit(100.0) * (F.col("_k_upto") - F.lit(0.5) * F.col("_k")) / F.nullif(F.col("_k_all"), F.lit(0))
+    found = running(per, group, "_v", ["_k"]).select(F.struct(*group, "_v").alias("_key"), rank.alias("percentile"))
+    return values.withColumn("_key", F.struct(*group, F.col(value).cast("double").alias("_v"))).join(found, "_key", "left").drop("_key")
+
+
+def quantiles(df: DataFrame, group: list[str], value: str, shares: list[float]) -> DataFrame:
+    """n and the exact, linearly interpolated quantiles q0, q1, ... of each group, without a group in one buffer."""
+    per = df.filter(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
+    rows = running(per, group, "_v", ["_k"])
+    at = [F.lit(p) * (F.col("_k_all") - 1) for p in shares]
+    picks = [F.min(F.when(F.col("_k_upto") > f(x), F.col("_v"))).alias(f"_{side}{i}") for i, x in enumerate(at) for side, f in (("l", F.floor), ("h", F.ceil))]
+    out = rows.groupBy(*group).agg(F.max("_k_all").alias("n"), *picks)
+    part = lambda i: F.lit(shares[i]) * (F.col("n") - 1) - F.floor(F.lit(shares[i]) * (F.col("n") - 1))
+    return out.select(*group, "n", *[(F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * part(i)).alias(f"q{i}") for i in range(len(shares))])
 
 
 def null_summary(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """n, median, p95, interquartile range, spread ratio; few values limit resolution."""
-    q = F.percentile(value, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75, 0.95)]))
-    rows = df.groupBy(*group).agg(F.count(value).alias("n"), q.alias("_q"))
-    at = lambda i: F.get("_q", F.lit(i))
-    return rows.select(*group, "n", at(1).alias("median"), at(3).alias("p95"), (at(2) - at(0)).alias("iqr"), (at(3) / F.nullif(at(1), F.lit(0.0))).alias("spread_ratio"), (F.col("n") < 12).alias("resolution_limited"))
+    rows = quantiles(df, group, value, [0.25, 0.5, 0.75, 0.95])
+    return rows.select(*group, "n", F.col("q1").alias("median"), F.col("q3").alias("p95"), (F.col("q2") - F.col("q0")).alias("iqr"), (F.col("q3") / F.nullif(F.col("q1"), F.lit(0.0))).alias("spread_ratio"), (F.col("n") < 12).alias("resolution_limited"))
 
 
 def coefficient_of_variation(df: DataFrame, group: list[str], value: str) -> DataFrame:
@@ -107,13 +136,10 @@ def threshold_sweep(df: DataFrame, group: list[str], value: str, truth: str) ->
     A value fires when above the midpoint; counts are running sums over the
     sorted distinct values, so no value meets every threshold.
     """
-    per = df.groupBy(*group, value).agg(F.count_if(F.col(truth) == 1).alias("_p"), F.count_if(F.col(truth) != 1).alias("_n"))
-    w = Window.partitionBy(*group).orderBy(value)
-    below = w.rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.partitionBy(*group)
-    rows = per.select(*group, ((F.col(value) + F.lead(value).over(w)) / 2).alias("threshold"), F.sum("_p").over(below).alias("fn"), F.sum("_n").over(below).alias("_tn"), F.sum("_p").over(all_).alias("_pos"), F.sum("_n").over(all_).alias("_neg"))
-    rows = rows.filter("threshold is not null").withColumn("tp", F.col("_pos") - F.col("fn")).withColumn("fp", F.col("_neg") - F.col("_tn"))
-    return rows.select(*group, "threshold", "tp", "fp", "fn", ((F.col("tp") + F.col("_tn")) / (F.col("_pos") + F.col("_neg"))).alias("agreement"))
+    per = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count_if(F.col(truth) == 1).alias("_p"), F.count_if(F.col(truth) != 1).alias("_n"))
+    rows = running(per, group, value, ["_p", "_n"])
+    rows = rows.filter("_next IS NOT NULL").select(*group, ((F.col(value) + F.col("_next")) / 2).alias("threshold"), (F.col("_p_all") - F.col("_p_upto")).alias("tp"), (F.col("_n_all") - F.col("_n_upto")).alias("fp"), F.col("_p_upto").alias("fn"), "_n_upto", "_p_all", "_n_all")
+    return rows.select(*group, "threshold", "tp", "fp", "fn", ((F.col("tp") + F.col("_n_upto")) / (F.col("_p_all") + F.col("_n_all"))).alias("agreement"))
 
 
 def best_threshold(sweep: DataFrame, group: list[str], least_tp: int = 0) -> DataFrame:

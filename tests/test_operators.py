@@ -298,3 +298,17 @@ def test_boundaries_walk_on_while_the_signal_falls():
     assert kernels.boundary(signal, 4, 1, (0, 8), 0.3, 100) == 7
     assert kernels.boundary(signal, 4, 1, (0, 6), 0.3, 100) == 6
     assert kernels.boundary(signal, 4, 1, (0, 8), 0.3, 1) == 5
+
+
+def test_running_sums_and_quantiles_by_brute_force(spark):
+    rng = random.Random(7)
+    rows = [(g, float(rng.randrange(40))) for g in ("a", "b", None) for _ in range({"a": 200, "b": 7, None: 30}[g])] + [("a", None), ("c", 5.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r for r in aggregates.quantiles(df, ["g"], "v", [0.25, 0.5, 0.95]).collect()}
+    for g in ("a", "b", "c", None):
+        v = [x for k, x in rows if k == g and x is not None]
+        assert got[g].n == len(v)
+        assert [got[g].q0, got[g].q1, got[g].q2] == pytest.approx(np.percentile(v, [25, 50, 95]))
+    for r in aggregates.mid_rank_percentile(df, ["g"], "v").collect():
+        v = np.array([x for k, x in rows if k == r.g and x is not None])
+        assert r.percentile is None if r.v is None else r.percentile == pytest.approx(100 * ((v < r.v).sum() + 0.5 * (v == r.v).sum()) / len(v))
