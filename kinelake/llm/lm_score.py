@@ -46,6 +46,8 @@ START_HASH = np.uint64(0x7374617274206F66)
 #: Text bytes of a block.
 BLOCK = 4 << 20
 HELD_PARTS = 8
+#: Partitions of the counts and blocks, times the session's.
+PARTS = 4
 #: Steps of the held-out histogram in an octave.
 STEPS = 2
 BUCKETS = 64
@@ -215,7 +217,8 @@ def corpus_counts(texts: DataFrame, parts: int) -> DataFrame:
             }
         )
 
-    sent = texts.mapInArrow(send, "p int, block long, held boolean, keys binary, n binary")
+    # two ranges a partition, about, and partitions that Spark doesn't join: even shares
+    sent = texts.mapInArrow(send, "p int, block long, held boolean, keys binary, n binary").repartition(-(-parts // 2), "p")
     return sent.groupBy("p").applyInArrow(count, "block long, p int, n binary, main binary, held boolean")
 
 
@@ -226,6 +229,11 @@ def answered(answers: pa.Table, column: str) -> np.ndarray:
     return np.concatenate([unpacked(raw[i]) for i in order]).astype(np.int64)
 
 
+def by_block(rows: DataFrame):
+    """rows dealt and grouped by block; many partitions, as a block has a few megabytes."""
+    return rows.repartition(PARTS * shuffle_parts(rows.sparkSession), "block").groupBy("block")
+
+
 def bucket_of(count: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(count + 1.0)).astype(np.int64)
 
@@ -265,7 +273,7 @@ def fit_weights(texts: DataFrame, answers: DataFrame, n_main: int, vocabulary: i
         code, n = np.unique(np.concatenate(codes), return_counts=True) if codes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         return pa.table({"code": pa.array(code, pa.int64()), "n": pa.array(n, pa.int64())})
 
-    got = texts.filter("held").groupBy("block").cogroup(answers.filter("held").groupBy("block")).applyInArrow(bins, "code long, n long")
+    got = by_block(texts.filter("held")).cogroup(by_block(answers.filter("held"))).applyInArrow(bins, "code long, n long")
     got = got.groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     code, n = got.column("code").to_numpy(), got.column("n").to_numpy()
     ratio = lambda s: np.where(s > 0, np.exp2((s - 512 + 0.5) / STEPS), 0.0)
@@ -296,7 +304,7 @@ def block_scores(texts: DataFrame, answers: DataFrame, weights: np.ndarray, n: i
         return pa.concat_tables(out) if out else pa.schema(list(zip(names, kinds, strict=True))).empty_table()
 
     ours = answers.filter("block IS NOT NULL").select("block", "p", "n")
-    return texts.groupBy("block").cogroup(ours.groupBy("block")).applyInArrow(work, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    return by_block(texts).cogroup(by_block(ours)).applyInArrow(work, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
 
 
 def score(docs: DataFrame, train) -> DataFrame:
@@ -304,8 +312,8 @@ def score(docs: DataFrame, train) -> DataFrame:
 
     train: a boolean expression of doc_id that marks the training documents.
     """
-    # two hash ranges for each task: a range is what a worker holds
-    parts = 2 * shuffle_parts(docs.sparkSession)
+    # a range is what a worker holds
+    parts = 2 * PARTS * shuffle_parts(docs.sparkSession)
     held = train & (F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(HELD_PARTS)) == 0)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = written(blocks(rows.select("doc_id", "text", train.alias("train"), held.alias("held"))), "blocks")
