@@ -23,6 +23,7 @@ without words has target 0 throughout.  Only text, source and doc_id are read.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -158,7 +159,8 @@ def mixed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     The sequence has a row for each slot and document in it: _row, _round, _slot, and
     lo and n, the run of the document's words that is in the slot.
     """
-    light = written(numbered_rows(sized(docs)).select("doc_id", "source", "size", "_row"), "sized")
+    rows = docs if "_row" in docs.columns else docs.withColumn("_row", F.monotonically_increasing_id())
+    light = written(sized(rows).select("doc_id", "source", "size", "_row"), "sized")
     targets = written(source_targets(light), "targets").coalesce(1)
     placed = packed(light, light.count())
     first, last = F.floor(F.col("_from") / BLOCK_WORDS), F.floor((F.col("_from") + F.col("size") - 1) / BLOCK_WORDS)
@@ -171,8 +173,16 @@ def mixed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return light, targets, pieces.select("_row", "_round", "_slot", lo.alias("lo"), (hi - lo).alias("n"))
 
 
-def numbered_rows(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_row", F.monotonically_increasing_id())
+def located_rows(docs: DataFrame) -> DataFrame:
+    """docs with _row, which is the same however often and in whatever splits they are read.
+
+    Of a scan of Parquet files it is the file and the place in it; other tables are
+    written with numbers first.
+    """
+    try:
+        return docs.withColumn("_row", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
+    except AnalysisException:
+        return written(docs.withColumn("_row", F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))), "numbered")
 
 
 def shard_of(slot: Column) -> Column:
@@ -195,20 +205,20 @@ def mix_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A document gives one row for each round that takes any of it, with the
     taken words in text order; taken whole, the text stays as it is.  A row is in
     the shard of the slot of its first word; a shard is in one partition, and its
-    rows are in order of these slots.  docs is the table that the stage before wrote:
-    it is read twice and its rows have the same numbers each time.
+    rows are in order of these slots.  docs is the table that the stage before wrote and
+    is read twice: a row is known by its file and its place in it.
     """
     names = docs.columns
     # other columns travel in a struct, so their names can't clash
     others = [c for c in names if c not in ("doc_id", "text", "source")]
     rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("int")
-    docs = docs.select("doc_id", "text", "source", rest.alias("_rest"))
+    docs = located_rows(docs).select("doc_id", "text", "source", rest.alias("_rest"), "_row")
     _, _, sequence = mixed(docs)
     runs = sequence.groupBy("_row", "_round").agg(F.array_sort(F.collect_list(F.struct("lo", "n"))).alias("_runs"), F.min_by("_slot", "lo").alias("_slot"), F.sum("n").alias("_words"))
     # a document's rounds come together, so that its words are split once
     runs = runs.groupBy("_row").agg(F.collect_list(F.struct("_slot", "_words", "_runs")).alias("_rounds"))
     split = F.when(F.exists("_rounds", lambda r: r["_words"] < F.col("size")), F.regexp_extract_all("text", F.lit(f"({WORD_PATTERN})"), F.lit(1)))
-    rows = numbered_rows(sized(docs)).join(runs, "_row").withColumn("_split", split)
+    rows = sized(docs).join(runs, "_row").withColumn("_split", split)
     rows = rows.select("doc_id", "text", "source", "_rest", "size", "_split", F.explode("_rounds").alias("_r"))
     part = F.array_join(F.flatten(F.transform("_r._runs", lambda p: F.slice("_split", (p["lo"] + 1).cast("int"), p["n"].cast("int")))), " ")
     rows = rows.withColumn("text", F.when(F.col("_r._words") == F.col("size"), F.col("text")).otherwise(part))
