@@ -51,8 +51,8 @@ CHUNK = 1024
 #: A node with more pairs in a bucket than HUB_PAIRS has them dealt to HUB_PARTS.
 HUB_PAIRS = 128
 HUB_PARTS = 64
-#: Bits of the bitmap of chosen documents.
-SLOTS = 1 << 23
+#: Bits of the bitmap of chosen documents, at least and at most.
+SLOTS, MOST_SLOTS = 1 << 23, 1 << 27
 BLOCK = 4 << 20
 
 _A = (mix64(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
@@ -342,7 +342,7 @@ def near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     members = written(bands.join(shared, "bucket"), "members")
     wanted = members.select("node").distinct()
     light = written(nodes.join(wanted, "node", "left_semi").select("node", "low", "n", "sig"), "light")
-    sets = written(node_sets(docs, light.select("low")), "sets")
+    sets = written(node_sets(docs, light.select("low"), light.count()), "sets")
     light = light.select("node", "n", "sig")
 
     first = chunked(members.withColumn("label", F.col("node")), False).join(light, "node")
@@ -364,31 +364,54 @@ def near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-def node_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """node and shingles (sorted 64-bit hashes) of documents, the chosen among them.
+def slot_bitmap(chosen: DataFrame, slots: int) -> np.ndarray:
+    """The bits of the slots (column slot) as packed bytes, put together from pieces of 8 KB."""
+    bits = 1 << 16
 
-    chosen: doc_ids.  They set a bitmap of SLOTS bits, whatever their number; the
-    texts whose doc_id hits it are made into sets anew, so no text is moved.
-    Others that hit it by chance come along and do no harm.
+    def work(piece: tuple, part: pa.Table) -> pa.Table:
+        hit = np.zeros(bits, bool)
+        hit[part.column("slot").to_numpy() & (bits - 1)] = True
+        return pa.table({"piece": pa.array([piece[0].as_py()], pa.int64()), "hit": pa.array([np.packbits(hit).tobytes()], pa.binary())})
+
+    out = np.zeros(max(slots, bits) // 8, np.uint8)
+    pieces = chosen.select("slot", F.shiftright("slot", 16).alias("piece")).distinct().groupBy("piece").applyInArrow(work, "piece long, hit binary")
+    for r in pieces.toLocalIterator():
+        out[r["piece"] * (bits // 8) : (r["piece"] + 1) * (bits // 8)] = np.frombuffer(r["hit"], np.uint8)
+    return out
+
+
+def node_sets(docs: DataFrame, chosen: DataFrame, count: int) -> DataFrame:
+    """node and shingles (sorted 64-bit hashes) of documents, the chosen among them, once each.
+
+    chosen: doc_ids, count of them.  They set a bitmap, of SLOTS bits or, for many,
+    sixteen a document up to MOST_SLOTS; the texts whose doc_id hits it are made into
+    sets anew, so no text is moved.  Others that hit it by chance come along and do no
+    harm.  A set that several texts have leaves a task once, and then each partition.
     """
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
-    bitmap = np.zeros(SLOTS, bool)
-    bitmap[chosen.select(slot("low").alias("s")).distinct().toArrow().column("s").to_numpy()] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+    slots = min(max(SLOTS, 1 << (16 * count - 1).bit_length()), MOST_SLOTS) if count else SLOTS
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(slots))
+    shared = docs.sparkSession.sparkContext.broadcast(slot_bitmap(chosen.select(slot("low").alias("slot")), slots))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("text", slot("doc_id").alias("slot"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for batch in batches:
             at = batch.column("slot").to_numpy()
             hit = batch.filter(pa.array((shared.value[at >> 3] >> (7 - (at & 7))) & 1 == 1))
             for part in rows_of([hit], BLOCK, "text"):
                 values, at = uniform_sets(*utf8(part.column("text")))
                 raw = values.tobytes()
-                sets = [raw[8 * a : 8 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                node = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in sets]
+                node, sets = [], []
+                for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    shingles = raw[8 * a : 8 * b]
+                    name = int.from_bytes(hashlib.blake2b(shingles, digest_size=8).digest(), "little", signed=True)
+                    if name not in sent:
+                        sent.add(name)
+                        node.append(name)
+                        sets.append(shingles)
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    return rows.mapInArrow(work, "node long, shingles binary")
+    return rows.mapInArrow(work, "node long, shingles binary").dropDuplicates(["node"])
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
