@@ -9,12 +9,19 @@ item) that differ by e at most.  So the shared q-grams are counted in
 overlapping bands of 2 * (e + 1) diagonals, bands below the bound are dropped,
 and the regions of the others are verified by banded alignment.
 
+Items often begin alike.  A gram that more than COMMON items hold is left out of an
+item's index while enough others remain: with k of its places indexed, a stretch
+within the budget shares k - Q * e of them at least, so the bound falls by one for
+each place left out and no stretch is missed.  An item whose grams are mostly common
+keeps its Q * e + 1 rarest places.  Equal items are indexed once.  Hits are paired with
+items EXPANDED pairs at a time.
+
 The items are an index that is broadcast in blocks of at most INDEX_BYTES of
 text; a larger benchmark takes more than one pass.
 
 Defined results: null or empty text is not contaminated; null or empty items
-match nothing; an item shorter than Q must occur exactly; equal items are all
-reported; repeated rows are judged one by one; other columns stay as they are.
+match nothing, nor do items without an item_id; an item shorter than Q must occur
+exactly; equal items are all reported; repeated rows are judged one by one; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -35,6 +42,9 @@ BLOCK = 2 << 20
 #: Bytes of text whose shared q-grams are counted at once, and bands that are aligned at once.
 WINDOW = 1 << 16
 BANDS_AT_ONCE = 256
+#: Items that may share a gram before other places of theirs are preferred; pairs of hits and items at once.
+COMMON = 32
+EXPANDED = 1 << 20
 _FILTER_BITS = 22
 
 
@@ -86,15 +96,20 @@ class ItemIndex:
     """Q-grams of a block of benchmark items."""
 
     def __init__(self, ids: list[int], texts: list[str]):
-        self.ids = np.array(ids, np.int64)
-        self.items = [normalised(np.frombuffer(t.encode(), np.uint8)) for t in texts]
+        held: dict[bytes, list[int]] = {}
+        for i, t in zip(ids, texts, strict=True):
+            held.setdefault(normalised(np.frombuffer(t.encode(), np.uint8)).tobytes(), []).append(i)
+        self.ids = list(held.values())
+        self.items = [np.frombuffer(t, np.uint8) for t in held]
         self.budget = np.array([budget(len(t)) for t in self.items], np.int64)
-        self.bound = np.array([len(t) - Q + 1 - Q * e for t, e in zip(self.items, self.budget, strict=True)], np.int64)
         self.short = [i for i, t in enumerate(self.items) if 0 < len(t) < Q]
         keys = [gram_keys(t) for t in self.items]
         item = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
         place = np.concatenate([np.arange(len(k)) for k in keys]) if keys else np.zeros(0, np.int64)
         keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        kept = self._indexed(keys, item)
+        keys, item, place = keys[kept], item[kept], place[kept]
+        self.bound = np.bincount(item, minlength=len(self.items)) - Q * self.budget
         order = np.lexsort((place, item, keys))
         keys, item, self.place = keys[order], item[order], place[order]
         # a row for each gram and item: its places in the item are count from first on
@@ -105,9 +120,28 @@ class ItemIndex:
         # and the rows of a gram
         self.keys, self.rows_first = np.unique(keys[self.first], return_index=True)
         self.rows_count = np.diff(np.r_[self.rows_first, len(self.first)])
+        # rows by gram and item, to find a gram's rows of a range of items
+        self.by_gram = np.repeat(np.arange(len(self.keys)), self.rows_count) * len(self.items) + self.item
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[(self.keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
 
+    def _indexed(self, keys: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Which places are indexed: those of uncommon grams, Q * e + 1 of the rarest at least."""
+        if not len(keys):
+            return np.zeros(0, bool)
+        order = np.lexsort((item, keys))
+        k, i = keys[order], item[order]
+        gram = np.r_[True, k[1:] != k[:-1]]
+        pair = gram | np.r_[True, i[1:] != i[:-1]]
+        held = np.empty(len(keys), np.int64)
+        held[order] = np.add.reduceat(pair.astype(np.int64), np.flatnonzero(gram))[np.cumsum(gram) - 1]
+        # the rank of each place in its item, rarest first
+        order = np.lexsort((held, item))
+        start = np.r_[True, item[order][1:] != item[order][:-1]]
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.arange(len(keys)) - np.maximum.accumulate(np.where(start, np.arange(len(keys)), 0))
+        return (held <= COMMON) | (rank <= Q * self.budget[item])
+
     def matches(self, data: np.ndarray, offsets: np.ndarray) -> list[set[int]]:
         """The ids of the items that each text holds."""
         found: list[set[int]] = [set() for _ in range(len(offsets) - 1)]
@@ -118,7 +152,7 @@ class ItemIndex:
             while at >= 0:
                 doc = int(np.searchsorted(offsets, at, side="right")) - 1
                 if at + len(needle) <= offsets[doc + 1]:
-                    found[doc].add(int(self.ids[i]))
+                    found[doc].update(self.ids[i])
                 at = raw.find(needle, at + 1)
         if not len(self.keys):
             return found
@@ -155,9 +189,18 @@ class ItemIndex:
             yield slice(first, len(doc))
 
     def _judge(self, data: np.ndarray, offsets: np.ndarray, place: np.ndarray, doc: np.ndarray, row: np.ndarray, found: list[set[int]]) -> None:
+        """Hits (place and text of a shared gram), item range by item range."""
+        parts = -(-int(self.rows_count[row].sum()) // EXPANDED)
+        edges = np.linspace(0, len(self.items), parts + 1).astype(np.int64)
+        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            a, b = (np.searchsorted(self.by_gram, row * len(self.items) + i) for i in (low, high))
+            some = np.flatnonzero(b > a)
+            if len(some):
+                self._count(data, offsets, place[some], doc[some], a[some], b[some] - a[some], found)
+
+    def _count(self, data: np.ndarray, offsets: np.ndarray, place: np.ndarray, doc: np.ndarray, first: np.ndarray, n: np.ndarray, found: list[set[int]]) -> None:
         # all (place in text, item) of the shared q-grams
-        n = self.rows_count[row]
-        at = np.repeat(self.rows_first[row] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         place, doc = np.repeat(place, n), np.repeat(doc, n)
         width = self.budget[self.item[at]] + 1
         # A gram's places within a cell of `width` bytes lie in the bands of the first
@@ -191,16 +234,16 @@ class ItemIndex:
             low = band * (most + 1)
             region = text[max(0, low - most) : max(0, low + 2 * most + 1) + len(needle) + 2 * most]
             if needle in region.tobytes():
-                found[doc].add(int(self.ids[i]))
+                found[doc].update(self.ids[i])
             elif most:
                 left.append((doc, text, low))
         for a in range(0, len(left), BANDS_AT_ONCE):
-            part = [x for x in left[a : a + BANDS_AT_ONCE] if int(self.ids[i]) not in found[x[0]]]
+            part = [x for x in left[a : a + BANDS_AT_ONCE] if self.ids[i][0] not in found[x[0]]]
             if part:
                 good = within(self.items[i], [t for _, t, _ in part], np.array([low for *_, low in part]), most)
                 for (doc, *_), ok in zip(part, good.tolist(), strict=True):
                     if ok:
-                        found[doc].add(int(self.ids[i]))
+                        found[doc].update(self.ids[i])
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[ItemIndex]:

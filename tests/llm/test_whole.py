@@ -2,10 +2,13 @@
 
 import math
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from kinelake.llm import html_text, langid, mixing, near_dedup
+from kinelake.llm import decontam, html_text, langid, mixing, near_dedup
 
 
 def shingle_similarity(a, b):
@@ -118,3 +121,112 @@ def test_boilerplate_names_still_hide(name):
     long = "Readers say much more. " * (20 if name != "site-nav" else 1)
     page = html_text.Page(f"<body><article><p>Short article, but the article.</p><div class='{name}'><p>{long}</p></div></article></body>")
     assert page.text([page.best()]) == "Short article, but the article."
+
+
+def test_the_mixing_stage_doesn_t_depend_on_how_its_table_is_split(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(i % 550, " ".join(f"w{rng.randrange(999)}" for _ in range(rng.randrange(1, 120))), "ab"[i % 2], i) for i in range(600)]
+    rows += [rows[0], rows[0]]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    want = sorted(map(tuple, mixing.mix_documents(spark, docs, str(tmp_path)).collect()), key=repr)
+    try:
+        out = mixing.mix_documents(spark, docs, str(tmp_path))  # written parts of the plan are made here
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        got = sorted(map(tuple, out.collect()), key=repr)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == want and len(got) > 400
+
+
+def test_the_mixing_stage_takes_tables_that_are_no_scan(spark, tmp_path):
+    rows, docs = mixed_sources(spark, tmp_path)
+    made = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    a, b = (sum(len(r.text.split()) for r in mixing.mix_documents(spark, d, str(tmp_path)).collect()) for d in (docs, made))
+    assert abs(a - b) <= 10 * mixing.BLOCK_WORDS
+
+
+def test_copies_don_t_multiply_pairs_when_every_slot_is_taken(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SLOTS", 64)
+    monkeypatch.setattr(near_dedup, "MOST_SLOTS", 64)
+    words = [f"w{i}" for i in range(120)]
+    one, other = " ".join(words), " ".join([*words[:-2], "x", "y"])
+    rows = [(i, one) for i in range(1000)] + [(1000 + i, other) for i in range(1000)] + [(3000 + i, " ".join(f"q{i}_{k}" for k in range(40))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sets = near_dedup.node_sets(docs, docs.select(F.col("doc_id").alias("low")), 2300)
+    assert sets.count() == 302
+    joined = []
+    whole = near_dedup.confirmed
+
+    def counted(pairs, sets_, percent):
+        out = whole(pairs, sets_, percent)
+        joined.append(pairs.join(sets_.select(F.col("node").alias("a")), "a").join(sets_.select(F.col("node").alias("b")), "b").count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "confirmed", counted)
+    found = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, 85).collect()}
+    assert joined[0] == 1
+    assert all(found[i] == 0 for i in range(2000)) and all(found[3000 + i] == 3000 + i for i in range(300))
+
+
+def test_the_bitmap_is_that_of_its_slots(spark):
+    slots = sorted(random.Random(2).sample(range(1 << 18), 3000))
+    got = near_dedup.slot_bitmap(spark.createDataFrame([(s,) for s in slots + slots[:50]], "slot long"), 1 << 18)
+    assert np.flatnonzero(np.unpackbits(got)).tolist() == slots
+
+
+def test_items_with_one_preamble_stay_in_bounds():
+    """30,000 items that begin alike, and a text that says the beginning again and again."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    preamble = "answer the following question as well as you can: "
+    items = [preamble + " ".join(word() for _ in range(12)) for _ in range(30_000)]
+    index = decontam.ItemIndex(list(range(len(items))), items)
+    texts = [preamble * 40 + " ".join(word() for _ in range(600)) for _ in range(300)]
+    held = {3: 17, 120: 29_999, 299: 4}
+    for t, i in held.items():
+        texts[t] += items[i][:60] + "x" + items[i][61:]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    assert len(data) > 1 << 20
+    offsets = np.r_[0, np.cumsum([len(t) for t in texts])]
+    tracemalloc.start()
+    got = index.matches(data, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500 << 20
+    assert {t: s for t, s in enumerate(got) if s} == {t: {i} for t, i in held.items()}
+
+
+@pytest.mark.parametrize("expanded", [1, 50, 1 << 20])
+def test_common_grams_left_out_miss_nothing(expanded, monkeypatch):
+    """Items that are nearly equal, and equal ones, against the true edit distance."""
+    monkeypatch.setattr(decontam, "COMMON", 2)
+    monkeypatch.setattr(decontam, "EXPANDED", expanded)
+    rng = random.Random(8)
+    base = "the quick brown fox jumps over the lazy dog and runs far away into the dark wood"
+    items = [base + " number " + str(i) * 3 for i in range(8)] + [base, base, "another item that has nothing in common with them at all, really"]
+    index = decontam.ItemIndex(list(range(len(items))), items)
+    texts = []
+    for _ in range(25):
+        t = list(rng.choice(items))
+        for _ in range(rng.randrange(0, 7)):
+            p = rng.randrange(len(t))
+            t[p : p + rng.randrange(2)] = rng.choice(["", "z", "zz"])
+        texts.append("before " + "".join(t) + " after")
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    got = index.matches(data, np.r_[0, np.cumsum([len(t) for t in texts])])
+
+    def stretch_distance(item, text):
+        row = [0] * (len(text) + 1)
+        for i, c in enumerate(item, 1):
+            new = [i]
+            for j, d in enumerate(text, 1):
+                new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (c != d)))
+            row = new
+        return min(row)
+
+    for text, ids in zip(texts, got, strict=True):
+        assert ids == {i for i, item in enumerate(items) if stretch_distance(item, text) <= decontam.budget(len(item))}
