@@ -1,7 +1,8 @@
 """Registered queries of the pose operators, with their DuckDB SQL.
 
 Clips of a moving body are made from events: video = user_id, frame = row number by
-(ts, event_id) from 0, joints by formulas of both.  Repetitions are fixed frames.
+(ts, event_id) from 0, joints by formulas of both.  Repetitions are spans of 25 frames
+all along a clip.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ def _coordinates() -> dict[str, str]:
 _COORDINATES = _coordinates()
 _MOVEMENTS = ("dip", "squat", "pull_up", "muscle_up", "split_squat")
 _P = "e AS (SELECT user_id AS video, event_id, frame - 1 AS frame FROM " + _FRAMES + "), p AS (SELECT video, frame, event_id % 9 <> 0 AS valid, " + ", ".join(f"CAST({v} AS DOUBLE) AS {k}" for k, v in _COORDINATES.items()) + " FROM e)"
-_R = "r AS (SELECT concat(video, '-', i) AS rep_id, video, ['" + "', '".join(_MOVEMENTS) + "'][CAST(video % 5 AS INTEGER) + 1] AS movement, CAST(2 + 25 * i AS INTEGER) AS start_frame, CAST(13 + 25 * i AS INTEGER) AS turn_frame, CAST(26 + 25 * i AS INTEGER) AS end_frame, CAST(30 AS DOUBLE) AS fps, CASE WHEN video % 2 = 0 THEN 'SAGITTAL' END AS view FROM (SELECT video FROM p GROUP BY video HAVING max(frame) >= 51), (SELECT unnest([0, 1]) AS i))"
+_R = "r AS (SELECT concat(video, '-', i) AS rep_id, video, ['" + "', '".join(_MOVEMENTS) + "'][CAST(video % 5 AS INTEGER) + 1] AS movement, CAST(25 * i AS INTEGER) AS start_frame, CAST(11 + 25 * i AS INTEGER) AS turn_frame, CAST(CASE WHEN i = k - 1 THEN top ELSE 25 * (i + 1) END AS INTEGER) AS end_frame, CAST(30 AS DOUBLE) AS fps, CASE WHEN video % 2 = 0 THEN 'SAGITTAL' END AS view FROM (SELECT video, top, k, unnest(range(0, k)) AS i FROM (SELECT video, max(frame) AS top, greatest(1, max(frame) // 25) AS k FROM p GROUP BY video HAVING max(frame) >= 14)))"
 
 
 def pose_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,10 +42,13 @@ def pose_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repetitions(clips: DataFrame) -> DataFrame:
-    rows = clips.groupBy("video").agg(F.max("frame").alias("_n")).filter("_n >= 51").select("video", F.explode(F.array(F.lit(0), F.lit(1))).alias("_i"))
+    """Spans of 25 frames all along each clip of 15 or more; the last one goes on to its end."""
+    rows = clips.groupBy("video").agg(F.max("frame").alias("_top")).filter("_top >= 14").withColumn("_k", F.greatest(F.lit(1), F.floor(F.col("_top") / 25)).cast("int"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_i"))
     movement = F.get(F.array(*map(F.lit, _MOVEMENTS)), (F.col("video") % 5).cast("int"))
     at = lambda f: (F.lit(f) + 25 * F.col("_i")).cast("int")
-    return rows.select(F.concat(F.col("video").cast("string"), F.lit("-"), F.col("_i").cast("string")).alias("rep_id"), "video", movement.alias("movement"), at(2).alias("start_frame"), at(13).alias("turn_frame"), at(26).alias("end_frame"), F.lit(30.0).alias("fps"), F.when(F.col("video") % 2 == 0, "SAGITTAL").alias("view"))
+    end = F.when(F.col("_i") == F.col("_k") - 1, F.col("_top").cast("int")).otherwise(at(25))
+    return rows.select(F.concat(F.col("video").cast("string"), F.lit("-"), F.col("_i").cast("string")).alias("rep_id"), "video", movement.alias("movement"), at(0).alias("start_frame"), at(11).alias("turn_frame"), end.alias("end_frame"), F.lit(30.0).alias("fps"), F.when(F.col("video") % 2 == 0, "SAGITTAL").alias("view"))
 
 
 def _seen(*joints: str) -> str:
@@ -175,14 +179,15 @@ _USABLE = f"{_WRIST} AND arm_reach BETWEEN 0.6 AND 1.9"
 _UP = f"NOT ({_DOWN})"
 
 
-@query(f"""WITH {_P}, {_CLIP}, {_ARM}, {_R}, {_SPANS}, {_SERIES}, {_METRICS} SELECT rep_id, video, movement, {", ".join(f"round({c}, 6) AS {c}" for c in _MEASURES)}, round(eccentric_s / concentric_s, 6) AS tempo_ratio,
-    round((mean_conf + turn_conf + body_conf + observed_frac) / 4, 6) AS rep_quality, round(arm_reach, 6) AS arm_reach,
+@query(f"""WITH {_P}, {_CLIP}, {_ARM}, {_R}, {_SPANS}, {_SERIES}, {_METRICS} SELECT rep_id, video, movement, {", ".join(f"round({c}, 9) AS {c}" for c in _MEASURES)}, round(eccentric_s / concentric_s, 9) AS tempo_ratio,
+    round((mean_conf + turn_conf + body_conf + observed_frac) / 4, 9) AS rep_quality, round(arm_reach, 9) AS arm_reach,
     array_to_string(list_filter([CASE WHEN {_USABLE} AND abs(peak_height) > 1.2 * arm_reach THEN 'above_reach' END, CASE WHEN {_USABLE} AND {_UP} AND start_depth < 0 THEN 'starts_above' END, CASE WHEN {_USABLE} AND {_UP} AND start_depth > 1.2 * arm_reach THEN 'starts_too_deep' END, CASE WHEN {_USABLE} AND rom > 2.4 * arm_reach THEN 'rom_beyond_reach' END], lambda x: x IS NOT NULL), ',') AS problems
     FROM m JOIN a USING (video)""")
 def repetition_metrics(spark, sf_dir):
     clips = pose_frames(spark, sf_dir)
     out = evidence.rep_metrics(clips, repetitions(clips)).drop("plausible").withColumn("problems", F.array_join("problems", ","))
-    return rounded(out, 6, *_MEASURES, "tempo_ratio", "rep_quality", "arm_reach")
+    # a mean of few decimals may lie on a tie at 6 decimals
+    return rounded(out, 9, *_MEASURES, "tempo_ratio", "rep_quality", "arm_reach")
 
 
 def _at(c: str, phase: str = "rep") -> str:
