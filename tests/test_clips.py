@@ -217,3 +217,25 @@ def test_features_of_the_same_name_are_an_error():
 
 def test_no_frames(spark):
     assert dl.decided(cf.clip_features(made(spark, []), 10.0)).count() == 0
+
+
+def test_jobs_run_through_their_transitions_once_and_in_order(spark):
+    from kinelake.operators import jobs
+
+    at = lambda m: f"2024-01-01 {m // 60:02d}:{m % 60:02d}:00"
+    logs = {
+        "done": [(0, "created"), (5, "uploaded"), (6, "started"), (20, "stage"), (40, "finished"), (50, "refined")],
+        "late": [(0, "created"), (5, "uploaded"), (6, "started"), (60, "finished")],
+        "abort": [(0, "created")],
+        "refused": [(0, "started"), (1, "created"), (2, "finished"), (3, "error"), (4, "uploaded")],
+    }
+    rows = [(job, i, e, at(m)) for job, log in logs.items() for i, (m, e) in enumerate(log)]
+    rows = list(reversed(rows)) + rows[:4]  # out of order, and some twice
+    events = spark.createDataFrame(rows, "job string, id int, e string, t string").withColumn("t", F.col("t").cast("timestamp"))
+    got = {r.job: r for r in jobs.job_runs(events, ["job"], ["t", "id"], "e", "t", 30, 360, F.lit("2024-01-01 20:00:00").cast("timestamp")).collect()}
+    assert (got["done"].status, got["done"].applied, got["done"].refused) == ("done", 6, 0)
+    # no word for 54 minutes: failed at 36, and the result that came later is refused
+    assert (got["late"].status, got["late"].applied, got["late"].refused) == ("failed", 4, 1)
+    assert got["late"].since.strftime("%H:%M") == "00:36"
+    assert (got["abort"].status, got["abort"].since.strftime("%H:%M")) == ("aborted", "06:00")
+    assert (got["refused"].status, got["refused"].applied, got["refused"].refused) == ("failed", 2, 3)
