@@ -173,16 +173,16 @@ def mixed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return light, targets, pieces.select("_row", "_round", "_slot", lo.alias("lo"), (hi - lo).alias("n"))
 
 
-def located_rows(docs: DataFrame) -> DataFrame:
-    """docs with _row, which is the same however often and in whatever splits they are read.
+def located(docs: DataFrame, *columns: Column | str) -> DataFrame:
+    """The columns of docs and _row, which is the same however often and in whatever splits they are read.
 
     Of a scan of Parquet files it is the file and the place in it; other tables are
     written with numbers first.
     """
     try:
-        return docs.withColumn("_row", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
+        return docs.select(*columns, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias("_row"))
     except AnalysisException:
-        return written(docs.withColumn("_row", F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))), "numbered")
+        return written(docs.select(*columns, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at")).alias("_row")), "numbered")
 
 
 def shard_of(slot: Column) -> Column:
@@ -212,7 +212,7 @@ def mix_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     # other columns travel in a struct, so their names can't clash
     others = [c for c in names if c not in ("doc_id", "text", "source")]
     rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("int")
-    docs = located_rows(docs).select("doc_id", "text", "source", rest.alias("_rest"), "_row")
+    docs = located(docs, "doc_id", "text", "source", rest.alias("_rest"))
     _, _, sequence = mixed(docs)
     runs = sequence.groupBy("_row", "_round").agg(F.array_sort(F.collect_list(F.struct("lo", "n"))).alias("_runs"), F.min_by("_slot", "lo").alias("_slot"), F.sum("n").alias("_words"))
     # a document's rounds come together, so that its words are split once

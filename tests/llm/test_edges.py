@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kinelake.llm import decontam, html_text, langid, lm_score, mixing, near_dedup, order_minhash, suffix_dedup, token_files, toxicity
+from kinelake.llm import ball_kmeans, decontam, fim, html_text, langid, lm_score, mixing, near_dedup, order_minhash, suffix_dedup, token_files, toxicity
 from kinelake.llm._common import hot_join, rows_of, shared_folder, table
 from kinelake.llm.queries import queries
 
@@ -42,9 +42,15 @@ def tables(spark, tmp_path_factory):
     spark.createDataFrame([(1, item), (None, "alpha"), (2, None), (3, docs[45][1])], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     spark.createDataFrame([(i, None, i % 3 == 0) for i in range(50)] + [(None, 1, True), (5, 0, None)], "doc_id long, quality int, toxic boolean").withColumn("toxic", F.col("toxic").cast("int")).write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(None, None, None), (1, "x", "<p>t"), (1, "x", "<p>t"), (2, None, "<div><div>")], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    vectors = [(i, [0.1 * ((i * 7 + k) % 11 - 5) for k in range(64)]) for i in range(50)] + [(None, [0.5] * 64), (3, [0.5] * 64), (60, None), (61, [None] * 64), (62, [0.5] * 63)]
+    spark.createDataFrame([(*r, 1, *["x"] * 4) for r in vectors], "vec_id long, embedding array<float>, label int, v string, cluster string, distance string, turn string").write.parquet(f"{folder}/embeddings.parquet")
     return folder
 
 
+#: Vectors of the table that are whole.
+WHOLE_VECTORS = 52
+
+
 def collected(frame):
     names = sorted(frame.columns)
     flat = frame.select(*[F.to_json(F.array(c)).alias(c) if t.startswith(("array", "struct")) else F.col(c).cast("string").alias(c) for c, t in frame.dtypes])
@@ -55,7 +61,7 @@ def collected(frame):
 def test_nulls_repeats_and_clashing_names(spark, tables, name):
     out = queries()[name](spark, tables)
     n = spark.read.parquet(f"{tables}/{'pages' if 'html' in name or 'extract' in name else 'documents'}.parquet").count()
-    assert out.count() == n
+    assert out.count() == (WHOLE_VECTORS if "kmeans" in name else n)
 
 
 def test_stages_keep_the_columns_whatever_their_names(spark, tables):
@@ -78,13 +84,15 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
 
 SMALL = {
     "op1_langid": [(langid, "BLOCK", 100)],
-    "op2_decontaminate": [(decontam, "INDEX_BYTES", 40), (decontam, "BLOCK", 300)],
+    "op2_decontaminate": [(decontam, "INDEX_BYTES", 40), (decontam, "BLOCK", 300), (decontam, "COMMON", 1), (decontam, "EXPANDED", 10)],
     "op5_near_dedup": [(near_dedup, "CHUNK", 4), (near_dedup, "HUB_PAIRS", 2), (near_dedup, "HUB_PARTS", 3), (near_dedup, "SLOTS", 64), (near_dedup, "BLOCK", 500)],
     "op6_repeated_substrings": [(suffix_dedup, "HOT", 2), (suffix_dedup, "PART_BYTES", 500), (suffix_dedup, "BLOCK", 700), (suffix_dedup, "SEGMENT", 600)],
     "op7_lm_score": [(lm_score, "BLOCK", 600)],
     "op8_mix_sources": [],
     "op9_toxicity": [],
     "op10_token_files": [(token_files, "FILE_IDS", 200), (token_files.WordEncoder, "MOST_WORDS", 5), (token_files.WordEncoder, "TOGETHER", 3), (token_files, "READ_IDS", 50), (token_files, "BLOCK", 300)],
+    "op11_fill_in_middle": [(fim, "BLOCK", 50)],
+    "op12_ball_kmeans": [(ball_kmeans, "ROWS", 3)],
     "op4_order_minhash": [(order_minhash, "RANGE_ROWS", 4), (order_minhash, "BROADCAST_RANGES", 0)],
 }
 
