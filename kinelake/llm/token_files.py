@@ -272,16 +272,24 @@ class WordEncoder:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
+def in_ranges(docs: DataFrame) -> DataFrame:
+    """doc_id, text and part: docs in ranges of doc_id, nulls first, each range in order.
+
+    Rows of one doc_id are told apart by a hash of their texts, so a doc_id, or null,
+    may have any share of the rows; of rows that are equal in both the order is open.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    key = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    return rows.repartitionByRange(shuffle_parts(docs.sparkSession), *key).sortWithinPartitions(*key, "text").withColumn("part", F.spark_partition_id())
+
+
 def write_files(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str) -> DataFrame:
     """Write the ids of docs in order of doc_id; the manifest has a row per file.
 
-    The texts are dealt by range of doc_id before they are encoded, so a task
-    encodes and writes its range in one pass.
+    The texts are dealt by range before they are encoded, so a task encodes and
+    writes its range in one pass.
     """
-    spark = docs.sparkSession
-    key = F.col("doc_id").asc_nulls_first()
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(shuffle_parts(spark), key).sortWithinPartitions(key, "text")
-    ordered = ordered.withColumn("part", F.spark_partition_id())
+    ordered = in_ranges(docs)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)

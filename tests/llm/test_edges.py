@@ -151,3 +151,14 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
 def test_modules_import_without_a_session():
     assert html_text.Page("").best() is None and mixing.WEIGHTS == (5, 2, 1)
     assert np.isfinite(toxicity.norms(np.arange(15))).all()
+
+
+def test_one_doc_id_is_dealt_over_ranges_of_token_files(spark):
+    rows = [(7, f"text {i}") for i in range(3000)] + [(None, f"none {i}") for i in range(3000)] + [(i, "same") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = token_files.in_ranges(docs)
+    sizes = [r["count"] for r in got.groupBy("part").count().collect()]
+    assert sum(sizes) == 9000 and max(sizes) < 4500
+    spans = got.groupBy("part").agg({"doc_id": "min", "text": "count"}).orderBy("part").collect()
+    firsts = [r["min(doc_id)"] for r in spans if r["min(doc_id)"] is not None]
+    assert firsts == sorted(firsts)
