@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kinelake.functions.num import finite, upper_median
+from kinelake.functions.num import finite
 
 
 def session_table(df: DataFrame, session: list[str], metrics: list[str], quality: str | None = None, usable: float = 0.55, labels: list[str] = ()) -> DataFrame:
@@ -115,7 +115,11 @@ def coefficient_of_variation(df: DataFrame, group: list[str], value: str) -> Dat
 
 
 def upper_medians(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    return df.groupBy(*group).agg(upper_median(F.collect_list(value)).alias("upper_median"))
+    """The middle value of each group, the upper one of two, by counts of values; null without values."""
+    per = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_k"))
+    found = running(per, group, value, ["_k"]).groupBy(*group).agg(F.min(F.when(F.col("_k_upto") > F.floor(F.col("_k_all") / 2), F.col(value))).alias("upper_median"))
+    empty = df.groupBy(*group).agg(F.count(value).alias("_n")).filter("_n = 0").drop("_n")
+    return found.unionByName(empty, allowMissingColumns=True)
 
 
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from kinelake.functions.num import finite
 from kinelake.functions.text import words_in
+from kinelake.operators.aggregates import running
 from kinelake.sources.tables import BODY
 
 #: Common Spanish words, and marks that only Spanish text has.
@@ -49,8 +50,14 @@ def audited(ledger: DataFrame, present: DataFrame, key: str, group: list[str], m
     """Per group: rows whose key is present or missing, and the first `most` missing keys (a report)."""
     rows = ledger.join(present.select(key).distinct().withColumn("_here", F.lit(True)), key, "left")
     here = F.coalesce("_here", F.lit(False))
-    missing = F.slice(F.array_sort(F.collect_set(F.when(~here, F.col(key)))), 1, most)
-    return rows.groupBy(*group).agg(F.count_if(here).alias("present"), F.count_if(~here).alias("missing"), missing.alias("first_missing"))
+    counts = rows.groupBy(*group).agg(F.count_if(here).alias("present"), F.count_if(~here).alias("missing"))
+    # a group's first keys are taken in each partition before they are shuffled
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(key))
+    first = rows.filter(~here & F.col(key).isNotNull()).select(*group, key).distinct().withColumn("_place", place).filter(F.col("_place") <= most)
+    first = first.groupBy(*[F.col(g).alias(f"_{g}") for g in group]).agg(F.array_sort(F.collect_list(key)).alias("first_missing"))
+    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group]
+    out = counts.join(first, same, "left").drop(*[f"_{g}" for g in group])
+    return out.withColumn("first_missing", F.coalesce("first_missing", F.array().cast(rows.select(F.array(key)).schema[0].dataType)))
 
 
 def parity(lists: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
@@ -89,12 +96,11 @@ def bank_deviation(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     adds x * n_b - s_b, and a value of b likewise.
     """
     both = a.select(F.col(value).cast("double").alias("v"), F.lit(0).alias("s")).unionAll(b.select(F.col(value).cast("double").alias("v"), F.lit(1).alias("s"))).filter("v IS NOT NULL")
-    # equal values are one row with their counts: a row per distinct value
-    per = both.groupBy("v").agg(F.count_if(F.col("s") == 0).alias("a"), F.count_if(F.col("s") == 1).alias("b"))
-    below = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    rows = per.select("v", "a", "b", *[zero(F.sum(F.col(k).cast("double")).over(below)).alias(f"n{k}") for k in "ab"], *[zero(F.sum(F.col(k) * F.col("v")).over(below)).alias(f"s{k}") for k in "ab"])
-    total = F.sum(F.col("a") * (F.col("v") * F.col("nb") - F.col("sb")) + F.col("b") * (F.col("v") * F.col("na") - F.col("sa")))
+    # equal values are one row with their counts; running sums over ranges of them
+    per = both.groupBy(F.lit(0).alias("_all"), "v").agg(F.count_if(F.col("s") == 0).cast("double").alias("a"), F.count_if(F.col("s") == 1).cast("double").alias("b"))
+    rows = running(per.withColumns({f"{k}v": F.col(k) * F.col("v") for k in "ab"}), ["_all"], "v", ["a", "b", "av", "bv"])
+    below = lambda c: F.col(f"{c}_upto") - F.col(c)
+    total = F.sum(F.col("a") * (F.col("v") * below("b") - below("bv")) + F.col("b") * (F.col("v") * below("a") - below("av")))
     return rows.agg((total / F.nullif(F.sum("a") * F.sum("b"), F.lit(0))).alias("deviation"))
 
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Spans that are narrower share a level.
+LEAST_SPAN = 2.0**-10
+
+
 def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
     """df with a broadcast hint if it has few rows (counted), else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -83,16 +89,18 @@ def first_and_last(df: DataFrame, on: list[str], order: str, value: list[str], l
 def in_first_span(points: DataFrame, spans: DataFrame, on: list[str], point: str, low: str, high: str) -> DataFrame:
     """Each point with the first span (by low) of its group that holds it, or nulls.
 
-    Points and spans meet in cells as wide as the mean span, so a group may have many
-    of both: a span is in two cells on average.  Repeated points stay; spans that end
-    before they start hold nothing.
+    A span lies in the one or two cells of its level, which are as wide as the next power
+    of two of its width, so a long span makes no more rows than a short one; a point is
+    asked at each level that its group has.  Repeated points stay; spans that end before
+    they start hold nothing.
     """
     real = spans.filter(F.col(low) <= F.col(high))
-    width = real.agg(F.avg(F.col(high).cast("double") - F.col(low).cast("double"))).first()[0] or 1.0
-    cell = lambda c: F.floor(F.col(c).cast("double") / F.lit(float(width))).cast("long")
-    asked = points.select(*on, point).distinct().withColumn("_cell", cell(point))
-    covered = real.select(*on, low, high, F.explode(F.sequence(cell(low), cell(high))).alias("_cell"))
-    hit = asked.join(covered, [*on, "_cell"]).filter(F.col(point).between(F.col(low), F.col(high)))
+    width = F.col(high).cast("double") - F.col(low).cast("double")
+    real = real.withColumn("_level", F.when(width > LEAST_SPAN, F.ceil(F.log2(width))).otherwise(F.lit(int(math.log2(LEAST_SPAN)))).cast("int"))
+    cell = lambda c: F.floor(F.col(c).cast("double") / F.pow(F.lit(2.0), F.col("_level"))).cast("long")
+    asked = points.select(*on, point).distinct().join(real.select(*on, "_level").distinct(), on).withColumn("_cell", cell(point))
+    covered = real.select(*on, low, high, "_level", F.explode(F.array_distinct(F.array(cell(low), cell(high)))).alias("_cell"))
+    hit = asked.join(covered, [*on, "_level", "_cell"]).filter(F.col(point).between(F.col(low), F.col(high)))
     first = hit.groupBy(*on, point).agg(F.min(low).alias(low), F.min_by(high, low).alias(high))
     return points.join(first, [*on, point], "left")
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinelake.functions import arrays, dates, num, text
-from kinelake.operators import aggregates, graph, jobs, kernels, pose, relational, rules, sequences
+from kinelake.operators import aggregates, graph, jobs, kernels, listings, pose, relational, rules, sequences
 from kinelake.sources import synthetic, tables
 from kinelake.streaming import jobs as streams
 
@@ -312,3 +312,23 @@ def test_running_sums_and_quantiles_by_brute_force(spark):
     for r in aggregates.mid_rank_percentile(df, ["g"], "v").collect():
         v = np.array([x for k, x in rows if k == r.g and x is not None])
         assert r.percentile is None if r.v is None else r.percentile == pytest.approx(100 * ((v < r.v).sum() + 0.5 * (v == r.v).sum()) / len(v))
+
+
+def test_spans_of_very_different_widths(spark):
+    r = random.Random(3)
+    spans = [(g, a, a + w) for g in (1, 2) for a, w in [(r.randint(-500, 500), r.choice([-1, 0, 1, 7, 300])) for _ in range(40)]] + [(1, -(10**12), 10**12), (3, 5, 5)]
+    points = [(g, x) for g in (1, 2, 3, 4) for x in range(-520, 820, 3)] + [(1, 10**12), (1, 10**12 + 1), (3, 5), (3, 5)]
+    got = relational.in_first_span(spark.createDataFrame(points, "g int, x long"), spark.createDataFrame(spans, "g int, lo long, hi long"), ["g"], "x", "lo", "hi")
+    want = []
+    for g, x in points:
+        hit = min(((lo, hi) for k, lo, hi in spans if k == g and lo <= x <= hi), default=(None, None), key=lambda s: s[0])
+        want.append((g, x, hit[0]))
+    assert sorted(map(str, ((q["g"], q["x"], q["lo"]) for q in got.collect()))) == sorted(map(str, want))
+
+
+def test_upper_medians_and_first_missing_keys_with_nulls(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 2.0), ("a", 9.0), ("b", None), (None, 4.0), ("c", 1.0), ("c", 5.0)], "g string, v double")
+    assert {r["g"]: r["upper_median"] for r in aggregates.upper_medians(rows, ["g"], "v").collect()} == {"a": 2.0, "b": None, None: 4.0, "c": 5.0}
+    ledger = spark.createDataFrame([(k, "x" if k % 2 else None) for k in range(10)] + [(None, "x"), (3, "x")], "k int, g string")
+    got = {r["g"]: (r["present"], r["missing"], r["first_missing"]) for r in listings.audited(ledger, spark.createDataFrame([(1,), (0,), (2,), (4,), (6,), (8,)], "k int"), "k", ["g"], 2).collect()}
+    assert got == {"x": (1, 6, [3, 5]), None: (5, 0, [])}
