@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
+from kinelake.functions.lineage import cut
 from kinelake.functions.num import finite
 from kinelake.operators.relational import small
 
@@ -161,9 +162,10 @@ def localised(docs: DataFrame, key: str, doc: str, translations: DataFrame, loca
     other; rows of one key are one document.  Translating twice changes nothing, if the
     translations keep translated texts.
     """
+    translations = cut(translations.select("text", "out", "missing"))  # counted, then joined
     distinct = F.array_distinct(texts_at(F.col(doc), prose))
     asked = docs.select(F.struct(key, doc).alias("_doc"), F.explode(distinct).alias("text"))
-    told = asked.join(small(translations.select("text", "out", "missing")), "text", "left")
+    told = asked.join(small(translations), "text", "left")
     told = told.withColumn("missing", F.when(F.col("out").isNull(), F.array("text")).otherwise(F.coalesce("missing", F.array().cast("array<string>"))))
     own = told.groupBy("_doc").agg(F.map_from_entries(F.collect_list(F.struct("text", F.coalesce("out", "text").alias("out")))).alias("_out"), F.map_from_entries(F.collect_list(F.struct("text", "missing"))).alias("_missing"))
     rows = docs.select(key, doc, F.struct(key, doc).alias("_doc")).join(own, "_doc", "left")
