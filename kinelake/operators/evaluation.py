@@ -11,9 +11,12 @@ from kinelake.operators.relational import small
 
 
 def folds(clips: DataFrame, owner: str, label: str, k: int = 5, seed: int = 0) -> DataFrame:
-    """Stratified folds by owner: all rows of an owner share a fold."""
+    """Stratified folds by owner: all rows of an owner share a fold.
+
+    Owners of a label are dealt in the order of the sha256 of `seed:owner`.
+    """
     owners = clips.groupBy(owner).agg(F.min(label).alias("_label"))
-    w = Window.partitionBy("_label").orderBy(F.xxhash64(F.lit(seed), owner), owner)
+    w = Window.partitionBy("_label").orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(owner).cast("string")), 256), owner)
     return clips.join(owners.select(owner, ((F.row_number().over(w) - 1) % k).alias("fold")), owner)
 
 

@@ -147,4 +147,4 @@ def blocked_observations(rows: DataFrame, checks: list[tuple[str, Column]]) -> D
 
 def score_band(score: Column) -> Column:
     """Fixed value: bands from 73, 47 and 20; no score is unmeasured."""
-    return F.when(score.isNull(), "unmeasured").when(score >= 73, "strong").when(score >= 47, "solid").when(score >= 20, "developing").otherwise("early")
+    return F.when(score.isNull(), "unmeasured").when(score >= 73, "strong").when(score >= 47, "solid").when(score >= 20, "shaky").otherwise("broken down")

@@ -94,7 +94,7 @@ def scored_reps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rep_scores(rows, {"range": 0.75, "smooth": 0.25})
 
 
-@query(f"WITH {_REPS} SELECT rep_id, refusal, score, score IS NOT NULL AND range IS NOT NULL AND smooth IS NOT NULL AS complete, CASE WHEN score IS NULL THEN 'unmeasured' WHEN score >= 73 THEN 'strong' WHEN score >= 47 THEN 'solid' WHEN score >= 20 THEN 'developing' ELSE 'early' END AS band FROM k")
+@query(f"WITH {_REPS} SELECT rep_id, refusal, score, score IS NOT NULL AND range IS NOT NULL AND smooth IS NOT NULL AS complete, CASE WHEN score IS NULL THEN 'unmeasured' WHEN score >= 73 THEN 'strong' WHEN score >= 47 THEN 'solid' WHEN score >= 20 THEN 'shaky' ELSE 'broken down' END AS band FROM k")
 def repetition_scores(spark, sf_dir):
     return scored_reps(spark, sf_dir).select("rep_id", "refusal", "score", "complete", rules.score_band(F.col("score")).alias("band"))
 
@@ -280,7 +280,8 @@ def leaf_differences(spark, sf_dir):
     return evaluation.leaf_differences(before, after, "k")
 
 
-@query()
+@query("""WITH c AS (SELECT doc_id, doc_id % 500 AS owner, toxic FROM labels), o AS (SELECT owner, min(toxic) AS l FROM c GROUP BY 1),
+    f AS (SELECT owner, (row_number() OVER (PARTITION BY l ORDER BY sha256('0:' || CAST(owner AS VARCHAR)), owner) - 1) % 5 AS fold FROM o) SELECT owner, doc_id, toxic, fold FROM c JOIN f USING (owner)""")
 def stratified_folds(spark, sf_dir):
     return evaluation.folds(table(spark, sf_dir, "labels").select("doc_id", (F.col("doc_id") % 500).alias("owner"), "toxic"), "owner", "toxic")
 
