@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from kinelake.plans import catalogue, clips, listing, measures, poses, texts  # noqa: F401
+from kinelake.plans import catalogue, clips, listing, measures, poses, records, texts  # noqa: F401
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
