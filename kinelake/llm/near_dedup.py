@@ -12,10 +12,13 @@ exactly on the full sets.
 
 Pairs are not expanded within a band's bucket at first: round 1 pairs every
 member with the bucket's medoid, confirms these links and merges components.
-Round 2 pairs only members of buckets that still hold several components, and
+Round 2 compares only members of buckets that still hold several components, and
 only across components; it is exact for the rest, as a link inside a component
-changes nothing.  Buckets of more than CHUNK members are split into chunks (and
-pairs of chunks), so no task holds an unbounded bucket.
+changes nothing.  Its candidates are never rows: members that have one get their set,
+a bucket's task confirms the pairs itself and returns a forest of the links, fewer
+than the bucket's members.  Buckets of more than CHUNK members, or in round 2 of more
+than SET_CHUNK shingles, are split into chunks (and pairs of chunks), so no task holds
+an unbounded bucket.
 
 Defined results: null text and text without words have an empty set, belong to
 no group and have themselves as component; fewer than 5 words are one shingle;
@@ -29,6 +32,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +52,8 @@ BATCH = 32
 #: Most pairs at the threshold that the sequential test loses, over all looks.
 MISS = 2e-4
 CHUNK = 1024
+#: Shingles that a chunk of round 2 has at most, but for a single longer set.
+SET_CHUNK = 1 << 21
 #: A node with more pairs in a bucket than HUB_PAIRS has them dealt to HUB_PARTS.
 HUB_PAIRS = 128
 HUB_PARTS = 64
@@ -60,6 +66,7 @@ _B = mix64(np.arange(1001, HASHES + 1001, dtype=np.uint64)).astype(np.uint32)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+@cache
 def banding(percent: int) -> tuple[int, int]:
     """Bands and rows of a band: the longest bands that HASHES leave room for."""
     t = percent / 100
@@ -126,18 +133,14 @@ def signatures(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def signed(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, n, node, sig (HASHES uint16) and bands (int64 each) of each row."""
-    bands, rows = banding(percent)
+    bands, _ = banding(percent)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, BLOCK, "text"):
             values, at = uniform_sets(*utf8(batch.column("text")))
             full = signatures(values, at)
             sig = ((full * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
-            band = np.zeros((len(full), bands), np.uint64)
-            # of the same 16 bits as the signature: first_shared sees what the bands see
-            for r in range(rows):
-                band = mix64(band * _STEP + sig[:, r : bands * rows : rows])
-            band = mix64(band + np.arange(1, bands + 1, dtype=np.uint64))
+            band = mix64(band_keys(sig, percent) + np.arange(1, bands + 1, dtype=np.uint64))
             raw = values.tobytes()
             node = [int.from_bytes(hashlib.blake2b(raw[8 * a : 8 * b], digest_size=8).digest(), "little", signed=True) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at).astype(np.int64)), pa.array(node, pa.int64()), pa.array([r.tobytes() for r in sig], pa.binary()), pa.array([r.tobytes() for r in band], pa.binary())], names=["doc_id", "n", "node", "sig", "bands"])
@@ -158,6 +161,7 @@ def band_rows(nodes: DataFrame, percent: int) -> DataFrame:
     return nodes.select("node", "bands").mapInArrow(work, "bucket long, band int, node long")
 
 
+@cache
 def least_matches(percent: int = PERCENT) -> list[int]:
     """Matches that a pair needs after BATCH, 2 * BATCH, ... hashes.
 
@@ -175,18 +179,21 @@ def least_matches(percent: int = PERCENT) -> list[int]:
     return out
 
 
-def first_shared(sig: np.ndarray, a: np.ndarray, b: np.ndarray, band: np.ndarray, percent: int) -> np.ndarray:
-    """Whether a pair shares no band before the one it met in."""
+def band_keys(sig: np.ndarray, percent: int) -> np.ndarray:
+    """The bands of each signature as 64-bit hashes, up to a number by band."""
     bands, rows = banding(percent)
-    used = slice(bands * rows)
-    same = (sig[a, used] == sig[b, used]).reshape(len(a), bands, rows).all(2)
-    return ~(same & (np.arange(bands) < band[:, None])).any(1)
+    keys = np.zeros((len(sig), bands), np.uint64)
+    # of the same 16 bits as the signature: a pair's first shared band is where its buckets are
+    for r in range(rows):
+        keys = mix64(keys * _STEP + sig[:, r : bands * rows : rows])
+    return keys
 
 
-def plausible(sig: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, band: np.ndarray | None = None, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+def plausible(sig: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int = PERCENT, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The pairs whose similarity may reach the threshold, by sequential tests.
 
-    With the rows' band, a pair is kept in the first band that it shares alone.
+    With the rows' keys of the bands before the one they met in, a pair is kept
+    in the first band that it shares alone.
     """
     fits = 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
     a, b = a[fits], b[fits]
@@ -195,10 +202,9 @@ def plausible(sig: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, b
         part = slice(i * BATCH, (i + 1) * BATCH)
         matches = matches + (sig[a, part] == sig[b, part]).sum(1)
         alive = matches >= least
+        if i == 0 and before is not None:
+            alive[alive] = ~(before[a[alive]] == before[b[alive]]).any(1)
         a, b, matches = a[alive], b[alive], matches[alive]
-    if band is not None and len(a):
-        new = first_shared(sig, a, b, band[a], percent)
-        a, b = a[new], b[new]
     return a, b
 
 
@@ -211,62 +217,53 @@ def medoid(sig: np.ndarray) -> int:
     return int(score.argmax())
 
 
-def bucket_pairs(members: DataFrame, every: bool, percent: int) -> DataFrame:
-    """a, b and part: plausible pairs of the members of each bucket.
+def by_bucket(members: DataFrame) -> DataFrame:
+    """The rows with each bucket's pair of chunks in one task, one after the other."""
+    return members.repartition(shuffle_parts(members.sparkSession), "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+
+
+def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows of whole buckets (pairs of chunks), and the edges between these."""
+
+    def edges(held: pa.Table) -> np.ndarray:
+        key = [held.column(c).to_numpy() for c in ("bucket", "lo", "hi")]
+        return np.flatnonzero((key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1])) + 1
+
+    held = None
+    for batch in batches:
+        part = pa.Table.from_batches([batch])
+        held = part if held is None else pa.concat_tables([held, part])
+        edge = edges(held)
+        if len(edge):
+            # whole buckets only; the last one may go on
+            yield held.slice(0, int(edge[-1])), np.r_[0, edge]
+            held = held.slice(int(edge[-1]))
+    if held is not None and held.num_rows:
+        yield held, np.r_[0, edges(held), held.num_rows]
+
 
-    members: bucket, band, lo, hi (chunks), chunk, label, node, n, sig.  Of a
-    bucket, the pairs with its medoid, or (every) all pairs with different labels
-    that share no earlier band, so that each comes from one bucket.
+def signature_rows(rows: pa.Table) -> np.ndarray:
+    raw, _ = utf8(rows.column("sig"))
+    return np.frombuffer(raw.tobytes(), np.uint16).reshape(-1, HASHES)
+
+
+def medoid_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """a, b and part: plausible pairs of each bucket's members with its medoid.
+
+    members: bucket, lo, hi (chunks), node, n, sig.
     """
-    ordered = members.repartition(shuffle_parts(members.sparkSession), "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-
-    def pairs(label, chunk, size, sig, band, one_chunk) -> tuple[np.ndarray, np.ndarray]:
-        count = len(label)
-        if not every:
-            pivot = medoid(sig) if count > 2 else 0
-            b = np.delete(np.arange(count), pivot)
-            a = np.full(len(b), pivot)
-            return plausible(sig, size, a, b, percent=percent)
-        found_a, found_b = [], []
-        for i in range(count):
-            other = np.arange(i + 1, count)
-            other = other[label[other] != label[i]]
-            if not one_chunk:
-                other = other[chunk[other] != chunk[i]]
-            if len(other):
-                a, b = plausible(sig, size, np.full(len(other), i), other, band, percent)
-                found_a.append(a)
-                found_b.append(b)
-        return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (np.zeros(0, np.int64),) * 2
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def groups():
-            held = None
-            for batch in batches:
-                part = pa.Table.from_batches([batch])
-                held = part if held is None else pa.concat_tables([held, part])
-                key = [held.column(c).to_numpy() for c in ("bucket", "lo", "hi")]
-                edge = np.flatnonzero((key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1])) + 1
-                if len(edge):
-                    # whole buckets only; the last one may go on
-                    yield held.slice(0, int(edge[-1])), np.r_[0, edge]
-                    held = held.slice(int(edge[-1]))
-            if held is not None and held.num_rows:
-                key = [held.column(c).to_numpy() for c in ("bucket", "lo", "hi")]
-                edge = np.flatnonzero((key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1])) + 1
-                yield held, np.r_[0, edge, held.num_rows]
-
-        for rows, edge in groups():
-            node, label, chunk, lo, hi, size, band = (rows.column(c).to_numpy() for c in ("node", "label", "chunk", "lo", "hi", "n", "band"))
-            raw, _ = utf8(rows.column("sig"))
-            sig = np.frombuffer(raw.tobytes(), np.uint16).reshape(-1, HASHES)
+        for rows, edge in whole_buckets(batches):
+            node, size = (rows.column(c).to_numpy() for c in ("node", "n"))
+            sig = signature_rows(rows)
             width = np.diff(edge)
             two = edge[:-1][width == 2]
-            two = two[(label[two] != label[two + 1]) & ((lo[two] == hi[two]) | (chunk[two] != chunk[two + 1]))]
-            got = [plausible(sig, size, two, two + 1, band if every else None, percent)]
+            got = [plausible(sig, size, two, two + 1, percent)]
             for s, e in zip(edge[:-1][width > 2], edge[1:][width > 2], strict=True):
-                a, b = pairs(label[s:e], chunk[s:e], size[s:e], sig[s:e], band[s:e], lo[s] == hi[s])
-                got.append((a + s, b + s))
+                pivot = s + medoid(sig[s:e])
+                b = np.delete(np.arange(s, e), pivot - s)
+                got.append(plausible(sig, size, np.full(len(b), pivot), b, percent))
             a, b = (node[np.concatenate([g[i] for g in got])] for i in (0, 1))
             # pairs of a node that has many here are dealt by their other node too
             _, at, times = np.unique(a, return_inverse=True, return_counts=True)
@@ -274,7 +271,87 @@ def bucket_pairs(members: DataFrame, every: bool, percent: int) -> DataFrame:
             pair = np.unique(np.stack([a, b, part]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pair], names=["a", "b", "part"])
 
-    return ordered.select("bucket", "band", "lo", "hi", "chunk", "label", "node", "n", "sig").mapInArrow(work, "a long, b long, part long").distinct()
+    return by_bucket(members).select("bucket", "lo", "hi", "node", "n", "sig").mapInArrow(work, "a long, b long, part long").distinct()
+
+
+MEMBER = ["bucket", "band", "lo", "hi", "chunk", "label", "node", "n", "sig"]
+
+
+def across(i: int, root: np.ndarray, chunk: np.ndarray, one_chunk: bool) -> np.ndarray:
+    """Later members of a bucket (pair of chunks) that i is compared with: those under another root."""
+    apart = root[i + 1 :] != root[i]
+    if not one_chunk:
+        apart &= chunk[i + 1 :] != chunk[i]
+    return np.flatnonzero(apart) + i + 1
+
+
+def with_candidates(members: DataFrame, percent: int) -> DataFrame:
+    """The members (MEMBER) that have a candidate with another label in their bucket."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, edge in whole_buckets(batches):
+            label, chunk, lo, hi, size, band = (rows.column(c).to_numpy() for c in ("label", "chunk", "lo", "hi", "n", "band"))
+            sig = signature_rows(rows)
+            keep = np.zeros(len(label), bool)
+            for s, e in zip(edge[:-1], edge[1:], strict=True):
+                before, kept = band_keys(sig[s:e], percent)[:, : band[s]], keep[s:e]
+                for i in range(e - s):
+                    other = across(i, label[s:e], chunk[s:e], lo[s] == hi[s])
+                    if kept[i]:
+                        other = other[~kept[other]]
+                    if len(other):
+                        a, b = plausible(sig[s:e], size[s:e], np.full(len(other), i), other, percent, before)
+                        kept[a] = kept[b] = True
+            yield from rows.filter(pa.array(keep)).to_batches()
+
+    return by_bucket(members).select(*MEMBER).mapInArrow(work, members.select(*MEMBER).schema)
+
+
+def common_shingles(code: np.ndarray, at: np.ndarray, i: int, others: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of set i with others; code, at: all sets; mark: all False."""
+    mark[code[at[i] : at[i + 1]]] = True
+    width = at[others + 1] - at[others]
+    first = np.cumsum(width) - width
+    where = np.repeat(at[others] - first, width) + np.arange(width.sum())
+    out = np.add.reduceat(mark[code[where]], first, dtype=np.int64)
+    mark[code[at[i] : at[i + 1]]] = False
+    return out
+
+
+def bucket_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a and b: a forest of the links between members (MEMBER) with different labels.
+
+    Each candidate is confirmed on the full sets where it is found, unless links that
+    were found before already join its members.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, edge in whole_buckets(batches):
+            node, label, chunk, lo, hi, size, band = (rows.column(c).to_numpy() for c in ("node", "label", "chunk", "lo", "hi", "n", "band"))
+            sig = signature_rows(rows)
+            found_a, found_b = [], []
+            for s, e in zip(edge[:-1], edge[1:], strict=True):
+                raw, at = utf8(rows.column("shingles").slice(s, e - s))
+                values, code = np.unique(np.frombuffer(raw.tobytes(), np.uint64), return_inverse=True)
+                at, mark = at // 8, np.zeros(len(values), bool)
+                root, before = np.unique(label[s:e], return_inverse=True)[1], band_keys(sig[s:e], percent)[:, : band[s]]
+                for i in range(e - s):
+                    b = across(i, root, chunk[s:e], lo[s] == hi[s])
+                    if len(b):
+                        _, b = plausible(sig[s:e], size[s:e], np.full(len(b), i), b, percent, before)
+                    if len(b):
+                        both = common_shingles(code, at, i, b, mark)
+                        b = b[100 * both >= percent * (at[i + 1] - at[i] + at[b + 1] - at[b] - both)]
+                        b = b[np.unique(root[b], return_index=True)[1]]
+                        found_a.append(np.full(len(b), node[s + i]))
+                        found_b.append(node[s + b])
+                        root[np.isin(root, root[b])] = root[i]
+            none = np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *x]), pa.int64()) for x in (found_a, found_b)], names=["a", "b"])
+
+    # a member's rows in many buckets compress well and so look small: no broadcast
+    full = with_candidates(members, percent).join(sets.hint("merge"), "node")
+    return by_bucket(full).select(*MEMBER, "shingles").mapInArrow(work, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -323,9 +400,13 @@ def components(links: DataFrame) -> DataFrame:
 def chunked(members: DataFrame, every: bool) -> DataFrame:
     """Rows of members (bucket, size, node, ...) dealt to chunks of a bucket.
 
-    With every, a row goes to each pair of chunks that its own is part of.
+    With every, a row goes to each pair of chunks that its own is part of, and a
+    bucket's shingles (all of its members') count too.
     """
-    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
+    chunks = F.ceil(F.col("size") / CHUNK)
+    if every:
+        chunks = F.least(F.greatest(chunks, F.ceil(F.col("shingles") / SET_CHUNK)), "size")
+    chunks = chunks.cast("int")
     rows = members.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int"))
     if not every:
         return rows.withColumn("lo", F.col("chunk")).withColumn("hi", F.col("chunk"))
@@ -346,13 +427,15 @@ def near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     light = light.select("node", "n", "sig")
 
     first = chunked(members.withColumn("label", F.col("node")), False).join(light, "node")
-    links = written(confirmed(bucket_pairs(first, False, percent), sets, percent), "links1")
+    links = written(confirmed(medoid_pairs(first, percent), sets, percent), "links1")
     labels = components(links)
     marked = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     marked = written(marked, "marked")
-    mixed = marked.groupBy("bucket").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi").select("bucket")
-    second = chunked(marked.join(mixed, "bucket", "left_semi"), True).join(light, "node")
-    more = written(confirmed(bucket_pairs(second, True, percent), sets, percent), "links2")
+    # round 1 has compared the one pair of a bucket of two
+    rest = marked.filter("size > 2").join(light.select("node", "n"), "node")
+    mixed = rest.groupBy("bucket").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.sum("n").alias("shingles")).filter("_lo <> _hi").select("bucket", "shingles")
+    second = chunked(marked.join(mixed, "bucket"), True).join(light, "node")
+    more = written(bucket_links(second, sets, percent), "links2")
     labels = components(links.union(more))
 
     low = nodes.select("node", "low").join(labels, "node")

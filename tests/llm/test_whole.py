@@ -172,6 +172,40 @@ def test_copies_don_t_multiply_pairs_when_every_slot_is_taken(spark, monkeypatch
     assert all(found[i] == 0 for i in range(2000)) and all(found[3000 + i] == 3000 + i for i in range(300))
 
 
+@pytest.mark.parametrize("set_chunk", [None, 3000])
+def test_alike_texts_that_are_no_links_make_no_rows_for_each_pair(spark, monkeypatch, set_chunk):
+    """150 texts begin alike and end apart, every two of them 79 % alike; some have kin that is linked."""
+    if set_chunk:
+        monkeypatch.setattr(near_dedup, "SET_CHUNK", set_chunk)
+    base = [f"w{i}" for i in range(200)]
+    texts = [[*base, *(f"t{i}_{k}" for k in range(26))] for i in range(150)]
+    for i in range(12):  # kin of kin: the first and the last of four are no link
+        for step in (8, 16, 24):
+            texts.append([*texts[i][:226 - step], *(f"k{i}_{k}_{step}" for k in range(step))])
+    texts = [" ".join(t) for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    component = list(range(len(texts)))
+    linked = [(a, b) for b in range(len(texts)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert 30 < len(linked) < 150 and sum(100 * len(sets[0] & s) >= 78 * len(sets[0] | s) for s in sets) > 140
+    for _ in texts:
+        for a, b in linked:
+            component[a] = component[b] = min(component[a], component[b])
+    counts, whole = [], near_dedup.written
+
+    def counted(df, name):
+        out = whole(df, name)
+        counts.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, 80).collect()}
+    assert found == dict(enumerate(component))
+    bands, _ = near_dedup.banding(80)
+    assert max(n for _, n in counts) <= bands * len(texts)
+    assert sum(n for name, n in counts if name == "links2") <= 2 * len(linked)
+
+
 def test_the_bitmap_is_that_of_its_slots(spark):
     slots = sorted(random.Random(2).sample(range(1 << 18), 3000))
     got = near_dedup.slot_bitmap(spark.createDataFrame([(s,) for s in slots + slots[:50]], "slot long"), 1 << 18)
