@@ -67,10 +67,10 @@ def hip_above_ankle(torso: Column, lower: bool = False) -> Column:
 
 
 def hip_line_offset(torso: Column) -> Column:
-    """Signed distance of the hips from the line of shoulders and ankles."""
+    """Signed distance of the hips from the line of shoulders and ankles; a vertical line counts as one to the right."""
     (sx, sy), (hx, hy), (ax, ay) = midpoint("left_shoulder", "right_shoulder"), midpoint("left_hip", "right_hip"), midpoint("left_ankle", "right_ankle")
     cross = (ax - sx) * (hy - sy) - (ay - sy) * (hx - sx)
-    return F.when(confident("left_shoulder", "right_shoulder", "left_hip", "right_hip", "left_ankle", "right_ankle"), cross / F.nullif(F.hypot(ax - sx, ay - sy), F.lit(0.0)) / torso * F.signum(ax - sx))
+    return F.when(confident("left_shoulder", "right_shoulder", "left_hip", "right_hip", "left_ankle", "right_ankle"), cross / F.nullif(F.hypot(ax - sx, ay - sy), F.lit(0.0)) / torso * F.when(ax - sx < 0, -1.0).otherwise(1.0))
 
 
 def body_line(least: float = CONFIDENT) -> Column:
