@@ -50,11 +50,16 @@ def reliability(pairs: DataFrame, most: float = 5.0) -> DataFrame:
 
 
 def degradation(reps: DataFrame, group: list[str], noise: float) -> DataFrame:
-    """Rank correlation of score and order, and the first against the last third."""
+    """Rank correlation of score and order, and the first against the last third, in 6 decimals.
+
+    The verdict reads the rounded values: a fall on the limit, or no correlation, is none
+    whatever the last places of the means.
+    """
     n = F.count(F.lit(1)).over(Window.partitionBy(*group))
     rows = reps.filter("score is not null").withColumn("_third", F.floor(3 * (F.row_number().over(Window.partitionBy(*group).orderBy("rep_index")) - 1) / n))
     ends = rows.groupBy(*group).agg((F.avg(F.when(F.col("_third") == 0, F.col("score"))) - F.avg(F.when(F.col("_third") == 2, F.col("score")))).alias("fall"))
-    return aggregates.rank_correlation(reps, group, "rep_index", "score").join(ends, group).withColumn("degrades", (F.col("rho") < 0) & (F.col("fall") > noise))
+    out = aggregates.rank_correlation(reps, group, "rep_index", "score").join(ends, group).withColumns({c: F.round(c, 6) for c in ("rho", "fall")})
+    return out.withColumn("degrades", (F.col("rho") < 0) & (F.col("fall") > noise))
 
 
 def sensitivity(baseline: DataFrame, degraded: DataFrame, noise: float) -> DataFrame:

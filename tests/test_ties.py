@@ -1,9 +1,12 @@
 """Values that lie on a limit, and equal values whose sums differ in the last place."""
 
+import itertools
+from fractions import Fraction
+
 import pytest
 from pyspark.sql import functions as F
 
-from kinelake.operators import pose
+from kinelake.operators import pose, quality
 
 
 def points(spark, rows):
@@ -16,3 +19,20 @@ def test_hips_off_a_vertical_line_have_an_offset(spark):
     rows = points(spark, [((0.0, 0.0), (3.0, 10.0), (0.0, 20.0)), ((0.0, 0.0), (3.0, 10.0), (1e-9, 20.0)), ((0.0, 0.0), (3.0, 10.0), (-1e-9, 20.0))])
     got = [r.v for r in rows.orderBy("frame").select(pose.hip_line_offset(F.lit(10.0)).alias("v")).collect()]
     assert got == pytest.approx([-0.3, -0.3, 0.3])
+
+
+def test_a_fall_on_the_limit_is_no_degradation(spark):
+    # a and b fall by 5 exactly; the difference of their float means is a little more
+    sets = {"a": [58, 19, 32, 81, 35, 67, 29, 30, 35], "b": [47, 70, 80, 97, 76, 38, 42, 43, 97]}
+    sets |= {f"s{i}": list(p) for i, p in enumerate(itertools.permutations((20, 40, 60, 80, 100)))}
+    rows = [(name, i, s) for name, scores in sets.items() for i, s in enumerate(scores, 1)]
+    out = quality.degradation(spark.createDataFrame(rows, "set string, rep_index int, score int"), ["set"], 5.0).collect()
+    assert len(out) == len(sets)
+    for r in out:
+        scores = sets[r["set"]]
+        n = len(scores)
+        doubled = [2 * sum(t < s for t in scores) + sum(t == s for t in scores) + 1 for s in scores]
+        cov = sum((2 * i + 2) * y for i, y in enumerate(doubled)) * n - sum(2 * i + 2 for i in range(n)) * sum(doubled)
+        third = [3 * i // n for i in range(n)]
+        mean = lambda k: Fraction(sum(s for s, t in zip(scores, third, strict=True) if t == k), third.count(k))
+        assert r["degrades"] == (cov < 0 and mean(0) - mean(2) > 5), scores
