@@ -36,20 +36,25 @@ def frame_confidence() -> Column:
     return sum((F.coalesce(F.col(f"{j}_c"), F.lit(0.0)) for j in BODY), F.lit(0.0)) / len(BODY)
 
 
+def length(dx: Column, dy: Column) -> Column:
+    """As SQL writes it, so that values on a limit fall on the same side of it."""
+    return F.sqrt(dx * dx + dy * dy)
+
+
 def torso_length() -> Column:
     (sx, sy), (hx, hy) = midpoint("left_shoulder", "right_shoulder"), midpoint("left_hip", "right_hip")
-    return F.hypot(sx - hx, sy - hy)
+    return length(sx - hx, sy - hy)
 
 
 def distance(a: str, b: str) -> Column:
-    return F.hypot(F.col(f"{a}_x") - F.col(f"{b}_x"), F.col(f"{a}_y") - F.col(f"{b}_y"))
+    return length(F.col(f"{a}_x") - F.col(f"{b}_x"), F.col(f"{a}_y") - F.col(f"{b}_y"))
 
 
 def angle(a: str, b: str, c: str, least: float = CONFIDENT) -> Column:
     """Inner angle at b in degrees; null for unseen joints and a side of length 0."""
     ux, uy = F.col(f"{a}_x") - F.col(f"{b}_x"), F.col(f"{a}_y") - F.col(f"{b}_y")
     vx, vy = F.col(f"{c}_x") - F.col(f"{b}_x"), F.col(f"{c}_y") - F.col(f"{b}_y")
-    cos = (ux * vx + uy * vy) / F.nullif(F.hypot(ux, uy) * F.hypot(vx, vy), F.lit(0.0))
+    cos = (ux * vx + uy * vy) / F.nullif(length(ux, uy) * length(vx, vy), F.lit(0.0))
     # greatest and least skip nulls
     return F.when(confident(a, b, c, least=least) & cos.isNotNull(), F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))))
 
@@ -70,7 +75,7 @@ def hip_line_offset(torso: Column) -> Column:
     """Signed distance of the hips from the line of shoulders and ankles; a vertical line counts as one to the right."""
     (sx, sy), (hx, hy), (ax, ay) = midpoint("left_shoulder", "right_shoulder"), midpoint("left_hip", "right_hip"), midpoint("left_ankle", "right_ankle")
     cross = (ax - sx) * (hy - sy) - (ay - sy) * (hx - sx)
-    return F.when(confident("left_shoulder", "right_shoulder", "left_hip", "right_hip", "left_ankle", "right_ankle"), cross / F.nullif(F.hypot(ax - sx, ay - sy), F.lit(0.0)) / torso * F.when(ax - sx < 0, -1.0).otherwise(1.0))
+    return F.when(confident("left_shoulder", "right_shoulder", "left_hip", "right_hip", "left_ankle", "right_ankle"), cross / F.nullif(length(ax - sx, ay - sy), F.lit(0.0)) / torso * F.when(ax - sx < 0, -1.0).otherwise(1.0))
 
 
 def body_line(least: float = CONFIDENT) -> Column:
@@ -113,7 +118,7 @@ def anchor_travel(frames: DataFrame, joint: str, clip: str = "video") -> DataFra
     """Robust travel of a joint pair in torso lengths; infinite for fewer than 5 frames."""
     rows = side_pair(frames, joint, clip).filter(F.col(f"{joint}_pc") >= CONFIDENT).join(clip_torso(frames, clip), clip)
     q = lambda c: F.percentile(c, F.lit(0.95)) - F.percentile(c, F.lit(0.05))
-    out = rows.groupBy(clip).agg((F.hypot(q(f"{joint}_px"), q(f"{joint}_py")) / F.first("torso")).alias("_t"), F.count(F.lit(1)).alias("_n"))
+    out = rows.groupBy(clip).agg((length(q(f"{joint}_px"), q(f"{joint}_py")) / F.first("torso")).alias("_t"), F.count(F.lit(1)).alias("_n"))
     return out.select(clip, F.when(F.col("_n") < 5, float("inf")).otherwise(F.col("_t")).alias("travel"))
 
 

@@ -1,6 +1,7 @@
 """Values that lie on a limit, and equal values whose sums differ in the last place."""
 
 import itertools
+import math
 from fractions import Fraction
 
 import pytest
@@ -36,3 +37,9 @@ def test_a_fall_on_the_limit_is_no_degradation(spark):
         third = [3 * i // n for i in range(n)]
         mean = lambda k: Fraction(sum(s for s, t in zip(scores, third, strict=True) if t == k), third.count(k))
         assert r["degrades"] == (cov < 0 and mean(0) - mean(2) > 5), scores
+
+
+def test_lengths_are_those_of_sql(spark):
+    rows = [(float(x) / 7, float(y) / 11) for x in range(40) for y in range(40)]
+    got = spark.createDataFrame(rows, "x double, y double").select("x", "y", pose.length(F.col("x"), F.col("y")).alias("d")).collect()
+    assert all(r.d == math.sqrt(r.x * r.x + r.y * r.y) for r in got)
