@@ -41,6 +41,11 @@ def length(dx: Column, dy: Column) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
+def even_mean(confidence: Column) -> Column:
+    """A mean for comparisons: sums of whole billionths have no order, so equal means are equal."""
+    return F.avg(F.rint(confidence * 1e9))
+
+
 def torso_length() -> Column:
     (sx, sy), (hx, hy) = midpoint("left_shoulder", "right_shoulder"), midpoint("left_hip", "right_hip")
     return length(sx - hx, sy - hy)
@@ -88,12 +93,12 @@ def side_pair(frames: DataFrame, joint: str, clip: str = "video", both_share: fl
     """<joint>_px, _py and _pc: the midpoint of both sides, or the near side.
 
     Decided once per clip: the midpoint if both are seen in enough frames, else
-    the side with the higher mean confidence.
+    the side with the higher mean confidence (of equal ones, the left).
     """
     (lx, ly, lc), (rx, ry, rc) = xy(f"left_{joint}"), xy(f"right_{joint}")
     w = Window.partitionBy(clip)
     both = F.avg(((lc >= CONFIDENT) & (rc >= CONFIDENT)).cast("double")).over(w) >= both_share
-    left = F.avg(lc).over(w) >= F.avg(rc).over(w)
+    left = even_mean(lc).over(w) >= even_mean(rc).over(w)
     pick = lambda m, a, b: F.when(both, m).when(left, a).otherwise(b)
     return frames.withColumns({f"{joint}_px": pick((lx + rx) / 2, lx, rx), f"{joint}_py": pick((ly + ry) / 2, ly, ry), f"{joint}_pc": pick(F.least(lc, rc), lc, rc)})
 

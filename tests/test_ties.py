@@ -1,13 +1,15 @@
 """Values that lie on a limit, and equal values whose sums differ in the last place."""
 
+import functools
 import itertools
 import math
+import operator
 from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
-from kinelake.operators import pose, quality
+from kinelake.operators import clip_features, pose, quality
 
 
 def points(spark, rows):
@@ -39,6 +41,17 @@ def test_a_fall_on_the_limit_is_no_degradation(spark):
         assert r["degrades"] == (cov < 0 and mean(0) - mean(2) > 5), scores
 
 
+@pytest.mark.parametrize("swap", [False, True])
+def test_the_left_side_stands_for_a_pair_of_equal_confidence(spark, swap):
+    # both sides have the same confidences in another order; their float sums differ
+    one, other = [0.1, 0.2, 0.3], [0.3, 0.2, 0.1]
+    assert functools.reduce(operator.add, one) != functools.reduce(operator.add, other)
+    left, right = (other, one) if swap else (one, other)
+    cells = [{"video": 1, "part": 0, "frame": i} | {f"{s}_{j}_{k}": v for j in clip_features.PAIRS for s, x, c in (("left", 1.0, a), ("right", 2.0, b)) for k, v in zip("xyc", (x, x, c), strict=True)} for i, (a, b) in enumerate(zip(left, right, strict=True))]
+    rows = spark.createDataFrame(cells).coalesce(1)
+    assert {r.wrist_px for r in pose.side_pair(rows, "wrist").collect()} == {1.0}
+
+
 def test_lengths_are_those_of_sql(spark):
     rows = [(float(x) / 7, float(y) / 11) for x in range(40) for y in range(40)]
     got = spark.createDataFrame(rows, "x double, y double").select("x", "y", pose.length(F.col("x"), F.col("y")).alias("d")).collect()
