@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kinelake.operators.pose import CONFIDENT, angle, both_sides, confident
+from kinelake.operators.pose import CONFIDENT, angle, both_sides, confident, even_mean, length
 from kinelake.sources.tables import JOINTS
 
 #: Fixed values of the measurement rules.
@@ -149,7 +149,7 @@ def with_pairs(rows: DataFrame, key: list[str]) -> DataFrame:
     for j in PAIRS:
         lc, rc = (F.coalesce(f"{s}_{j}_c", F.lit(0.0)) for s in ("left", "right"))
         share[f"_{j}_both"] = F.avg(((lc >= CONFIDENT) & (rc >= CONFIDENT)).cast("double")).over(w) >= BOTH_SHARE
-        share[f"_{j}_left"] = F.avg(lc).over(w) >= F.avg(rc).over(w)
+        share[f"_{j}_left"] = even_mean(lc).over(w) >= even_mean(rc).over(w)
     rows = rows.withColumns(share)
     out = {}
     for j in PAIRS:
@@ -164,7 +164,7 @@ def with_pairs(rows: DataFrame, key: list[str]) -> DataFrame:
 def with_torso(rows: DataFrame, key: list[str]) -> DataFrame:
     """torso: the median over well seen frames, five at least, else over all."""
     w = Window.partitionBy(*key)
-    own = F.hypot(F.col("shoulder_x") - F.col("hip_x"), F.col("shoulder_y") - F.col("hip_y"))
+    own = length(F.col("shoulder_x") - F.col("hip_x"), F.col("shoulder_y") - F.col("hip_y"))
     rows = rows.withColumn("_own", F.when(own > 1e-6, own))
     rows = rows.withColumn("_good", F.when(F.col("shoulder_ok") & F.col("hip_ok"), F.col("_own")))
     middle = lambda c: F.percentile(c, F.lit(0.5)).over(w)
@@ -203,7 +203,7 @@ def clip_windows(rows: DataFrame, key: list[str], fps: float) -> DataFrame:
 def _crooked(a: str, b: str, c: str, ok: Column) -> Column:
     """Inner angle at b; 90 degrees for a side of no length."""
     ux, uy, vx, vy = (F.col(f"{p}_{k}") - F.col(f"{b}_{k}") for p in (a, c) for k in "xy")
-    norm = F.hypot(ux, uy) * F.hypot(vx, vy)
+    norm = length(ux, uy) * length(vx, vy)
     cos = F.when(norm > 1e-6, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (ux * vx + uy * vy) / norm))).otherwise(0.0)
     return F.when(ok & confident(a, b, c), F.degrees(F.acos(cos)))
 
@@ -218,7 +218,7 @@ def frame_series(rows: DataFrame, key: list[str], fps: float) -> DataFrame:
     gone = F.lag(F.struct(*[c(f"{j}_{k}") for j in JOINTS for k in "xyc"])).over(Window.partitionBy(*key).orderBy("at"))
     # what is used twice becomes a column first
     rows = rows.withColumn("_before", gone)
-    rows = rows.withColumns({f"_step_{j}": F.when(confident(j) & (F.coalesce(c(f"_before.{j}_c"), F.lit(0.0)) >= CONFIDENT), F.hypot(c(f"{j}_x") - c(f"_before.{j}_x"), c(f"{j}_y") - c(f"_before.{j}_y"))) for j in JOINTS})
+    rows = rows.withColumns({f"_step_{j}": F.when(confident(j) & (F.coalesce(c(f"_before.{j}_c"), F.lit(0.0)) >= CONFIDENT), length(c(f"{j}_x") - c(f"_before.{j}_x"), c(f"{j}_y") - c(f"_before.{j}_y"))) for j in JOINTS})
     rows = rows.withColumns({f"_low_{j}": F.when(confident(j), ((c(f"{j}_y") - c("wrist_y")) / t > LOW_MARGIN).cast("int")) for j in BODY_POINTS})
     # nulls are left out of both the sum and the count
     total = lambda columns: sum((F.coalesce(x, F.lit(0)) for x in columns), F.lit(0))
@@ -226,7 +226,7 @@ def frame_series(rows: DataFrame, key: list[str], fps: float) -> DataFrame:
     mean = lambda columns: F.try_divide(total(columns), count(columns))
     edge = lambda f, k: f(*[F.when(confident(j), c(f"{j}_{k}")) for j in JOINTS])
     bx, by = c("hip_x") - c("shoulder_x"), c("hip_y") - c("shoulder_y")
-    line = F.nullif(F.when(F.hypot(bx, by) > 1e-6, F.hypot(bx, by)), F.lit(0.0))
+    line = F.nullif(F.when(length(bx, by) > 1e-6, length(bx, by)), F.lit(0.0))
     off_line = lambda px, py, ox, oy: ((px - ox) * -by + (py - oy) * bx) / line / t
     knee_side = seen("shoulder", "hip", "knee") * off_line(c("knee_x"), c("knee_y"), c("hip_x"), c("hip_y"))
     nose_side = F.when(nose_ok, seen("shoulder", "hip") * off_line(c("nose_x"), c("nose_y"), c("shoulder_x"), c("shoulder_y")))
@@ -244,8 +244,8 @@ def frame_series(rows: DataFrame, key: list[str], fps: float) -> DataFrame:
         "below": F.when(c("wrist_ok"), mean([c(f"_low_{j}") for j in BODY_POINTS])),
         "hand_dy": F.when(both("wrist"), F.abs(c("left_wrist_y") - c("right_wrist_y")) / t),
         "hand_dx": F.when(both("wrist"), F.abs(c("left_wrist_x") - c("right_wrist_x")) / t),
-        "wrist_to_shoulder": seen("wrist", "shoulder") * F.hypot(c("wrist_x") - c("shoulder_x"), c("wrist_y") - c("shoulder_y")) / t,
-        "wrist_to_hip": seen("wrist", "hip") * F.hypot(c("wrist_x") - c("hip_x"), c("wrist_y") - c("hip_y")) / t,
+        "wrist_to_shoulder": seen("wrist", "shoulder") * length(c("wrist_x") - c("shoulder_x"), c("wrist_y") - c("shoulder_y")) / t,
+        "wrist_to_hip": seen("wrist", "hip") * length(c("wrist_x") - c("hip_x"), c("wrist_y") - c("hip_y")) / t,
         "nose_side": nose_side,
         "knee_side": knee_side,
         "width": (edge(F.greatest, "x") - edge(F.least, "x")) / t,

@@ -50,6 +50,7 @@ def test_the_left_side_stands_for_a_pair_of_equal_confidence(spark, swap):
     cells = [{"video": 1, "part": 0, "frame": i} | {f"{s}_{j}_{k}": v for j in clip_features.PAIRS for s, x, c in (("left", 1.0, a), ("right", 2.0, b)) for k, v in zip("xyc", (x, x, c), strict=True)} for i, (a, b) in enumerate(zip(left, right, strict=True))]
     rows = spark.createDataFrame(cells).coalesce(1)
     assert {r.wrist_px for r in pose.side_pair(rows, "wrist").collect()} == {1.0}
+    assert {(r.wrist_x, r.ankle_y) for r in clip_features.with_pairs(rows, ["video", "part"]).collect()} == {(1.0, 1.0)}
 
 
 def test_lengths_are_those_of_sql(spark):
