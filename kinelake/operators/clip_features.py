@@ -52,7 +52,8 @@ class RunningSpread:
         place = q * (len(self.values) - 1)
         low = int(place)
         high = min(low + 1, len(self.values) - 1)
-        return self.values[low] + (self.values[high] - self.values[low]) * (place - low)
+        # one rounding less, as DuckDB's build has it: equal windows are then equal in both
+        return math.fma(self.values[low], 1 - (place - low), self.values[high] * (place - low))
 
     def value(self) -> float:
         return self.at(0.95) - self.at(0.05)
@@ -60,7 +61,10 @@ class RunningSpread:
 
 def travel_of(x: RunningSpread, y: RunningSpread) -> float:
     """Robust way of a point; infinite for fewer than 5 places."""
-    return math.hypot(x.value(), y.value()) if len(x.values) >= 5 else math.inf
+    if len(x.values) < 5:
+        return math.inf
+    dx, dy = x.value(), y.value()
+    return math.sqrt(dx * dx + dy * dy)
 
 
 def sliding_travel(x: list[float], y: list[float], seen: list[bool], width: int, starts: Callable[[int], bool] = lambda start: True):

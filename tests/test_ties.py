@@ -53,6 +53,13 @@ def test_the_left_side_stands_for_a_pair_of_equal_confidence(spark, swap):
     assert {(r.wrist_x, r.ankle_y) for r in clip_features.with_pairs(rows, ["video", "part"]).collect()} == {(1.0, 1.0)}
 
 
+def test_percentiles_of_windows_are_rounded_once():
+    # the 5th percentile of 8 values lies between the first two: 0.65 * 0.1 + 0.35 * 0.7
+    low = clip_features.RunningSpread([0.1, 0.7, *[1.0] * 6]).at(0.05)
+    place = 0.05 * 7
+    assert low == float(Fraction(0.1) * Fraction(1 - place) + Fraction(0.7 * place))
+
+
 def test_lengths_are_those_of_sql(spark):
     rows = [(float(x) / 7, float(y) / 11) for x in range(40) for y in range(40)]
     got = spark.createDataFrame(rows, "x double, y double").select("x", "y", pose.length(F.col("x"), F.col("y")).alias("d")).collect()
